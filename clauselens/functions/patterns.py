@@ -23,11 +23,18 @@ _WS_BODY_NO_SPACE = (
 _WS_BODY = r"\x20" + _WS_BODY_NO_SPACE
 _WORD_BODY = r"\p{L}\p{N}_"
 
-WS = f"[{_WS_BODY}]"
-NOT_WS = f"[^{_WS_BODY}]"
-WORD = f"[{_WORD_BODY}]"
+# The same sets without nesting, for RE2.
+PLAIN_WS = f"[{_WS_BODY}]"
+PLAIN_NOT_WS = f"[^{_WS_BODY}]"
+PLAIN_WORD = f"[{_WORD_BODY}]"
+
+# Java asks the members of a class one after the other, so the common case
+# (visible ASCII) comes first.
+WS = f"[[^!-~]&&[{_WS_BODY}]]"
+NOT_WS = f"[[!-~][^{_WS_BODY}]]"
+WORD = f"[a-zA-Z0-9{_WORD_BODY}]"
 # A whitespace run that is anything else than one plain space.
-WS_RUN_TO_COLLAPSE = f"(?:\\x20{WS}+|[{_WS_BODY_NO_SPACE}]{WS}*)"
+WS_RUN_TO_COLLAPSE = f"(?:\\x20{WS}+|[[^ -~]&&[{_WS_BODY_NO_SPACE}]]{WS}*)"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 _BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"

@@ -28,7 +28,10 @@ def is_blank(col: Column) -> Column:
 
 
 def words(col: Column) -> Column:
-    return all_matches(col, f"{NOT_WS}+")
+    """Whitespace-separated words; [] for a blank text."""
+    text = strip(col)
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(
+        F.split(text, f"{WS}+", -1))
 
 
 def word_count(col: Column) -> Column:
@@ -95,39 +98,37 @@ def clean_text(col: Column) -> Column:
 # Stands for a protected dot.  Made of word characters, so that word
 # boundaries next to a protected abbreviation vanish as they should.
 _DOT = "_ꙮ_"
-_DECIMAL_DOT = r"(?<=\p{Nd})\.(?=\p{Nd})"
 
 
-
-def _protect(col: Column, abbreviations) -> Column:
-    """Swap the dots of the given abbreviations for the marker."""
-    # A one-dot abbreviation is stem + dot; two-dot ones are done whole.
-    one_dot = [a[:-1] for a in abbreviations if a.count(".") == 1]
-    two_dot = [a for a in abbreviations if a.count(".") == 2]
-    if one_dot:
-        col = F.regexp_replace(
-            col, f"(?iu)(?<!{WORD})({'|'.join(one_dot)})\\.", "$1" + _DOT)
-    for a in two_dot:
-        first, second = a.split(".")[:2]
-        col = F.regexp_replace(
-            col, f"(?iu)(?<!{WORD})({first})\\.({second})\\.", f"$1{_DOT}$2{_DOT}")
-    return col
+def _dot_regex(abbreviations, decimals: bool) -> str:
+    """Matches every dot to protect.  It starts at the dot and looks back, so
+    only dots cost anything."""
+    edge = f"(?<!{WORD})"
+    ends = "|".join(a[:-1].replace(".", r"\.") for a in abbreviations)
+    cases = [f"(?<={edge}(?:{ends})\\.)"]
+    for a in abbreviations:
+        if a.count(".") == 2:
+            first, second = a.split(".")[:2]
+            cases.append(f"(?<={edge}{first}\\.)(?={second}\\.)")
+    if decimals:
+        cases.append(r"(?<=\p{Nd}\.)(?=\p{Nd})")
+    return r"(?iu)\.(?:" + "|".join(cases) + ")"
 
 
 def protect_dots(col: Column) -> Column:
     """Dots of decimals and abbreviations replaced by the marker.
 
-    One pass per kind is exact unless abbreviations touch ("No.Rs."): a
-    protected one hides the boundary of its neighbour, so list order matters
-    there, and those rare texts take one pass per abbreviation.
+    One pass is exact unless abbreviations touch ("No.Rs."): a protected one
+    hides the boundary of its neighbour, so list order matters there, and those
+    rare texts take one pass per abbreviation.
     """
-    base = F.regexp_replace(col, _DECIMAL_DOT, _DOT)
-    bodies = "|".join(a.replace(".", r"\.") for a in fv.ABBREVIATIONS)
-    touching = F.rlike(base, F.lit(f"(?iu)(?:{bodies})(?:{bodies})"))
-    in_order = base
+    ends = "|".join(a.replace(".", r"\.") for a in fv.ABBREVIATIONS)
+    touching = F.rlike(col, F.lit(f"(?iu)\\.(?<=(?:{ends}))(?:{ends})"))
+    in_order = F.regexp_replace(col, r"(?<=\p{Nd})\.(?=\p{Nd})", _DOT)
     for a in fv.ABBREVIATIONS:
-        in_order = _protect(in_order, [a])
-    return F.when(touching, in_order).otherwise(_protect(base, fv.ABBREVIATIONS))
+        in_order = F.regexp_replace(in_order, _dot_regex([a], decimals=False), _DOT)
+    one_pass = F.regexp_replace(col, _dot_regex(fv.ABBREVIATIONS, decimals=True), _DOT)
+    return F.when(touching, in_order).otherwise(one_pass)
 
 
 def sentences(col: Column) -> Column:

@@ -26,6 +26,7 @@ from clauselens.operators.matching import (
     merge_labels,
 )
 from clauselens.operators.scoring import choose_advice, score_documents
+from clauselens.sources.pages import assemble_pages
 
 
 @dataclass
@@ -64,6 +65,16 @@ def raw_clauses(chunks: DataFrame, rules: DataFrame, labels: DataFrame | None =
     return assemble_clauses(kept.join(texts, ["doc_id", "chunk_index"]), rules)
 
 
+def document_entities(pages: DataFrame, single_page: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, key_entities) of the usable documents, and the failed ones."""
+    docs = (
+        pages.select("doc_id", "text") if single_page
+        else assemble_pages(pages).select("doc_id", F.col("full_text").alias("text"))
+    )
+    usable, failed = split_failures(docs)
+    return extract_entities(usable).drop("text"), failed
+
+
 def analyse(
     pages: DataFrame,
     rules: DataFrame,
@@ -75,17 +86,10 @@ def analyse(
 
     ``single_page`` says that every document is one row.
     """
-    if single_page:
-        docs = pages.select("doc_id", "text")
-    else:
-        from clauselens.sources.pages import assemble_pages
-
-        docs = assemble_pages(pages).withColumnRenamed("full_text", "text")
-    usable, failed = split_failures(docs)
+    entities, failed = document_entities(pages, single_page)
     chunks = chunk(pages, single_page=single_page)
     clauses = choose_advice(
         collapse_clauses(raw_clauses(chunks, rules, labels), long_documents(pages)), advice)
-    entities = extract_entities(usable).drop("text")
     return Analysis(chunks, clauses, score_documents(entities, clauses), failed)
 
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from clauselens import schemas
-from clauselens.plans.report import analyse
+from clauselens.operators.chunking import chunk
+from clauselens.operators.clauses import collapse_clauses, long_documents
+from clauselens.operators.scoring import choose_advice, score_documents
+from clauselens.plans.report import document_entities, raw_clauses
 from clauselens.sources.tables import BUCKETS, materialise, write_results
 
 
@@ -18,22 +21,17 @@ def store_analysis(pages: DataFrame, rules: DataFrame, out: str, single_page: bo
     Every table is written before the next one is built from it, so texts are
     parsed and matched once.
     """
-    from clauselens.operators.clauses import collapse_clauses, long_documents
-    from clauselens.operators.scoring import choose_advice, score_documents
-    from clauselens.plans.report import raw_clauses
-
     ids = pages.select("doc_id").distinct()
-    whole = analyse(pages, rules, single_page=single_page)
-    chunks = materialise(whole.chunks, "chunks")
-    write_results(chunks, f"{out}/document_chunks", ids, buckets=buckets)
+    entities, failed = document_entities(pages, single_page)
+    chunks = materialise(chunk(pages, single_page=single_page), "chunks")
     raw = materialise(raw_clauses(chunks, rules), "clauses")
-    clauses = materialise(
-        choose_advice(collapse_clauses(raw, long_documents(pages))), "collapsed")
-    write_results(clauses, f"{out}/risk_clauses", ids, buckets=buckets)
-    entities = whole.reports.drop("composite_risk_score", "overall_risk", "total_risks_found")
-    write_results(
-        score_documents(entities, clauses), f"{out}/analysis_reports", ids, buckets=buckets)
-    write_results(whole.failed, f"{out}/failed", ids, buckets=buckets)
+    clauses = materialise(choose_advice(collapse_clauses(raw, long_documents(pages))), "collapsed")
+    reports = score_documents(entities, clauses)
+    for df, name in (
+        (chunks, "document_chunks"), (clauses, "risk_clauses"), (reports, "analysis_reports"),
+        (failed, "failed_documents"),
+    ):
+        write_results(df, f"{out}/{name}", ids, buckets=buckets)
 
 
 def page_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
