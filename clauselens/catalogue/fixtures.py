@@ -15,6 +15,9 @@ from clauselens.operators.rules import default_rules
 
 GROUPS = 8
 
+# Keywords tried in the simulation: they replace those of the rules named in it.
+OVERRIDE = "gdpr compliance, meter, indemnity"
+
 # One preamble per group, put before the text.
 PREAMBLES = (
     'THIS LEASE is made between RAVI KUMAR S/O Mohan Kumar, hereinafter called the "Landlord". '
@@ -119,11 +122,16 @@ def contracts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def contract_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """conversations as documents of several pages, with a clause on every page
-    that starts at another place per document and changes every second page."""
+    """conversations as documents of several pages."""
+    return as_contract_pages(texts(spark, sf, "conversations"))
+
+
+def as_contract_pages(conversations: DataFrame) -> DataFrame:
+    """Turns as pages, each with a clause of the bank: documents start at
+    different places of the bank and go on every second page."""
     bank = [c for _, c in CLAUSES]
     pick = F.col("conv_id") + F.floor(F.col("turn") / 2)
-    return texts(spark, sf, "conversations").select(
+    return conversations.select(
         F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"),
         F.concat("text", F.lit("\n\n"), _pick(bank, pick)).alias("text"))
 

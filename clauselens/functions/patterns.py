@@ -41,7 +41,7 @@ _BOUNDARY = f"(?:(?<={WORD})(?!{WORD})|(?<!{WORD})(?={WORD}))"
 _NOT_AFTER_WORD = f"(?<!{WORD})"
 
 
-def expand_classes(pattern: str, boundary) -> str:
+def expand_classes(pattern: str, boundary, ws: str = WS, word: str = WORD) -> str:
     r"""Spell out ``\w \s \d``; ``boundary(pattern, position)`` renders ``\b``."""
     out, i, in_class = [], 0, False
     while i < len(pattern):
@@ -49,9 +49,9 @@ def expand_classes(pattern: str, boundary) -> str:
         if c == "\\" and i + 1 < len(pattern):
             n = pattern[i + 1]
             if n == "w":
-                out.append(_WORD_BODY if in_class else WORD)
+                out.append(_WORD_BODY if in_class else word)
             elif n == "s":
-                out.append(_WS_BODY if in_class else WS)
+                out.append(_WS_BODY if in_class else ws)
             elif n == "d":
                 out.append(r"\p{Nd}")
             elif n == "b" and not in_class:

@@ -42,6 +42,22 @@ def aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(fv.CATEGORY_ALIASES), schemas.ALIASES)
 
 
+# Up to this many rules count as configuration that every task may hold.
+PIN_LIMIT = 200
+
+
+def pin_rules(rules: DataFrame) -> DataFrame:
+    """A rules table of checked, small size as local data; larger ones as they are.
+
+    Spark knows the size of local data, so joins with it are broadcast and never
+    shuffle the texts by rule.
+    """
+    table = rules.limit(PIN_LIMIT + 1).toArrow()
+    if table.num_rows > PIN_LIMIT:
+        return rules
+    return rules.sparkSession.createDataFrame(table, rules.schema)
+
+
 def definition_key(category: Column) -> Column:
     """R1 as an expression: alias, else whole-word key, else substring key.
 

@@ -25,6 +25,7 @@ from clauselens.operators.matching import (
     match_rules,
     merge_labels,
 )
+from clauselens.operators.rules import pin_rules
 from clauselens.operators.scoring import choose_advice, score_documents
 from clauselens.sources.pages import assemble_pages
 
@@ -55,6 +56,7 @@ def raw_clauses(chunks: DataFrame, rules: DataFrame, labels: DataFrame | None =
     Without labels this is one narrow pass.  With labels, only ids and evidence
     are shuffled for the union; the text is joined back for the hits that stay.
     """
+    rules = pin_rules(rules)
     if labels is None:
         hits = match_rules(chunks, rules, ["chunk_text", "_sentences"], with_sentences)
         kept = apply_threshold(hits.withColumn("confirmed", F.lit(False)), rules)
@@ -137,7 +139,7 @@ def simulate(texts: DataFrame, rules: DataFrame, override: str | None = None) ->
 
     Matches below the threshold stay, marked; the threshold is taken as it is.
     """
-    tried = override_keywords(rules, override)
+    tried = override_keywords(pin_rules(rules), override)
     chunks = texts.select(
         "doc_id", F.lit(0).alias("chunk_index"), F.lit(1).alias("page_number"),
         F.col("text").alias("chunk_text"))
