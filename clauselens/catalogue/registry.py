@@ -80,7 +80,9 @@ def _when_page(df):
 
 
 def _block_clauses(s, d):
-    return _when_page(_with_ids(rp.raw_clauses(_page_chunks(s, d), fx.rules(s))))
+    """Stored clauses, as the operators on clauses expect them."""
+    made = _when_page(_with_ids(rp.raw_clauses(_page_chunks(s, d), fx.rules(s))))
+    return tables.materialise(made, "block-clauses")
 
 
 def _stamp(c):
@@ -681,7 +683,7 @@ _LINKS = f"""SELECT DISTINCT h.doc_id, h.chunk_index, c.clause_id, c.risk_level
 
 def _links(s, d):
     chunks = _page_chunks(s, d)
-    clauses = _with_ids(rp.raw_clauses(chunks, fx.rules(s)))
+    clauses = tables.materialise(_with_ids(rp.raw_clauses(chunks, fx.rules(s))), "linked-clauses")
     return pf.link_chunks(chunks, clauses), clauses
 
 
