@@ -531,10 +531,11 @@ def b5(s, d):
 
 
 @query("q1_documents_of", q.build(
-    f"SELECT doc_id, original_filename, status, {STAMP.format('uploaded_at')} AS uploaded_at FROM uploads WHERE user_id = 'src3'", "uploads"))
+    f"SELECT user_id, doc_id, original_filename, status, {STAMP.format('uploaded_at')} AS uploaded_at FROM uploads "
+    "WHERE user_id IN (SELECT user_id FROM users WHERE is_active)", "uploads", "users"))
 def q1(s, d):
-    return pf.documents_of(fx.uploads(s, d), "src3").select(
-        "doc_id", "original_filename", "status", _stamp("uploaded_at").alias("uploaded_at"))
+    return pf.documents_of(fx.uploads(s, d), fx.users(s, d).filter("is_active")).select(
+        "user_id", "doc_id", "original_filename", "status", _stamp("uploaded_at").alias("uploaded_at"))
 
 
 @query("q2_guarded", q.build("""
@@ -546,9 +547,10 @@ def q2(s, d):
     return pf.guarded(fx.uploads(s, d), asked)
 
 
-@query("q3_chunks_of", q.build("SELECT chunk_index, page_number, token_count, chunk_text FROM pchunks WHERE doc_id = 1", "pchunks"))
+@query("q3_chunks_of", q.build("""
+SELECT doc_id, chunk_index, page_number, token_count, chunk_text FROM pchunks WHERE doc_id IN (SELECT doc_id FROM labels)""", "pchunks"))
 def q3(s, d):
-    return pf.chunks_of(_page_chunks(s, d), 1)
+    return pf.chunks_of(_page_chunks(s, d), fx.table(s, d, "labels"))
 
 
 def _dated(reports):

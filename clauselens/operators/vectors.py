@@ -62,7 +62,8 @@ def cosine_topk(
     else:
         on = ["_part", "_block"] if partition else ["_block"]
         v = v.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(_GRID)))
-        q = q.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(_GRID - 1))).cast("long"))
+        blocks = F.sequence(F.lit(0).cast("long"), F.lit(_GRID - 1).cast("long"))
+        q = q.withColumn("_block", F.explode(blocks))
     pairs = v.join(q, on).select(
         "query_id", "vec_id", (1.0 - dot(F.col("_vec_id"), F.col("_query_id"))).alias("distance"))
     return _top(pairs, k)

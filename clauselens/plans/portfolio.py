@@ -12,9 +12,13 @@ from clauselens.sources.tables import export_reports
 # --- documents and chunks of a user ----------------------------------------
 
 
-def documents_of(docs: DataFrame, owner: str) -> DataFrame:
-    """Q1."""
-    return docs.filter(F.col("user_id") == owner).orderBy(F.desc("uploaded_at"), "doc_id")
+def documents_of(docs: DataFrame, owner: str | DataFrame) -> DataFrame:
+    """Q1: documents of one owner, or of all owners in a table (user_id), newest first."""
+    if isinstance(owner, DataFrame):
+        mine = docs.join(owner.select("user_id").distinct(), "user_id", "left_semi")
+    else:
+        mine = docs.filter(F.col("user_id") == owner)
+    return mine.orderBy("user_id", F.desc("uploaded_at"), "doc_id")
 
 
 def guarded(df: DataFrame, requests: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -32,9 +36,13 @@ def guarded(df: DataFrame, requests: DataFrame, key: str = "doc_id") -> DataFram
 
 
 def chunks_of(chunks: DataFrame, doc_id) -> DataFrame:
-    """Q3."""
-    return chunks.filter(F.col("doc_id") == doc_id).orderBy("chunk_index").select(
-        "chunk_index", "page_number", "token_count", "chunk_text")
+    """Q3: chunks of one document, or of all documents in a table (doc_id), in order."""
+    if isinstance(doc_id, DataFrame):
+        wanted = chunks.join(doc_id.select("doc_id").distinct(), "doc_id", "left_semi")
+    else:
+        wanted = chunks.filter(F.col("doc_id") == doc_id)
+    return wanted.orderBy("doc_id", "chunk_index").select(
+        "doc_id", "chunk_index", "page_number", "token_count", "chunk_text")
 
 
 # --- reports ---------------------------------------------------------------

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from clauselens import schemas
 from clauselens.session import checkpoint_dir
@@ -79,7 +80,8 @@ def write_results(
 
 def read_results(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table of ``write_results`` without its bucket column."""
-    return spark.read.schema(schema.add("doc_bucket", "int")).parquet(path).drop("doc_bucket")
+    stored = StructType([*schema.fields, StructField("doc_bucket", IntegerType())])
+    return spark.read.schema(stored).parquet(path).drop("doc_bucket")
 
 
 _NESTED = (

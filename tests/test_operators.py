@@ -294,3 +294,26 @@ def test_matching_plan_is_narrow(spark):
     for word in ("Exchange hash", "Cartesian", "NestedLoop", "Python", "SortMergeJoin"):
         assert word not in plan, word
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+def test_health_reset_and_seeds(spark, tmp_path):
+    from clauselens.plans import portfolio as pf
+
+    rules = ru.default_rules(spark)
+    assert rules.count() == 19
+    tables.reset(spark, str(tmp_path), rules)
+    assert tables.load(spark, str(tmp_path), "risk_rules_config").count() == 19
+    assert tables.load(spark, str(tmp_path), "risk_clauses").count() == 0
+    spark.range(1).createOrReplaceTempView("present_table")
+    checks = pf.data_health(spark, ["present_table", "absent_table"], rules)
+    got = {r["name"]: r["status"] for r in checks.collect()}
+    assert got == {"present_table": "PASS", "absent_table": "FAIL", "seeded rules": "PASS"}
+    assert pf.rollup_checks(checks).first()["overall_status"] == "SYSTEM_DEGRADED"
+
+
+def test_nested_parts_are_bounded_and_whole(spark, monkeypatch):
+    monkeypatch.setattr(tables, "CHUNKS_PER_PART", 2)
+    reports = spark.createDataFrame([(1, "High"), (2, "Low")], "doc_id long, overall_risk string")
+    rows = tables.export_reports(reports, clause_rows(spark, COLLAPSE)).collect()
+    assert sorted((r["doc_id"], r["part"], len(r["risk_clauses"])) for r in rows) == [(1, 0, 2), (1, 1, 2), (1, 2, 1), (2, 0, 0)]
+    assert tables.report_json(tables.export_reports(reports, clause_rows(spark, COLLAPSE))).count() == 4
