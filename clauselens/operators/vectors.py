@@ -71,28 +71,31 @@ def cosine_topk(
 
 def approx_topk(
     vectors: DataFrame, queries: DataFrame, k: int = 1,
-    tables: int = 8, bucket_length: float = 0.5, seed: int = 7,
+    tables: int = 16, bits: int = 4, bucket_length: float = 0.5, seed: int = 7,
 ) -> DataFrame:
     """V2: like V1, from hash candidates with an exact re-rank.
 
     On unit vectors Euclidean order is cosine order, so random-projection
-    hashing applies.  Vectors that share a hash with a query are compared.
+    hashing applies.  A table's key joins ``bits`` projections, which keeps
+    buckets small; a vector that shares a key with a query is compared.  More
+    tables raise recall, more bits cut work.
     """
     as_vector = lambda df, out: df.withColumn("features", array_to_vector(F.col(f"_{out}")))
     v = as_vector(_units(vectors, "vec_id", "vec_id", None), "vec_id")
     q = as_vector(_units(queries, "query_id", "query_id", None), "query_id")
     lsh = BucketedRandomProjectionLSH(
         inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-        numHashTables=tables, seed=seed)
+        numHashTables=tables * bits, seed=seed)
     model = lsh.fit(v)
 
     def hashed(df: DataFrame, out: str) -> DataFrame:
-        rows = model.transform(df).select(
-            out, F.posexplode("hashes").alias("_table", "_hash"))
-        return rows.select(out, "_table", vector_to_array("_hash").getItem(0).alias("_bucket"))
+        cell = lambda i: vector_to_array(F.col("hashes")[i])[0]
+        keys = [
+            F.xxhash64(*[cell(i) for i in range(t * bits, (t + 1) * bits)]) for t in range(tables)]
+        return model.transform(df).select(out, F.posexplode(F.array(*keys)).alias("_table", "_key"))
 
     shared = (
-        hashed(v, "vec_id").join(hashed(q, "query_id"), ["_table", "_bucket"])
+        hashed(v, "vec_id").join(hashed(q, "query_id"), ["_table", "_key"])
         .select("query_id", "vec_id").distinct()
     )
     pairs = (

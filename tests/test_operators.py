@@ -274,7 +274,7 @@ def test_topk_grid_equals_broadcast_and_lsh_recall(spark, monkeypatch):
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
     key = lambda df: {(r["query_id"], r["vec_id"]) for r in df.collect()}
     exact = key(ve.cosine_topk(e, q, 5))
-    approx = key(ve.approx_topk(e, q, 5, tables=12, bucket_length=1.0))
+    approx = key(ve.approx_topk(e, q, 5, tables=16, bits=3))
     assert len(exact & approx) >= 0.9 * len(exact)
     monkeypatch.setattr(ve, "BROADCAST_QUERIES", 10)
     assert key(ve.cosine_topk(e, q, 5)) == exact
