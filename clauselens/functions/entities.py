@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselens import fixed_values as fv
-from clauselens.functions.patterns import WS, all_matches, first_match, java_regex
+from clauselens.functions.patterns import WS, all_matches, first_group, java_regex
 from clauselens.functions.text import strip, words
 
 
+# The words that close a party block.
+_CLOSING = fv.PARTY_BLOCK[fv.PARTY_BLOCK.rindex("WHEREAS|"):-1]
+
+
 def _first_distinct(matches: Column, n: int) -> Column:
     return F.slice(F.array_distinct(F.transform(matches, strip)), 1, n)
 
@@ -35,7 +39,7 @@ def _title(col: Column) -> Column:
 
 
 def _first_place(col: Column, patterns) -> Column:
-    found = [_title(strip(first_match(col, java_regex(p), 1))) for p in patterns]
+    found = [_title(strip(first_group(col, java_regex(p), 1))) for p in patterns]
     return F.coalesce(*found, F.lit(fv.NOT_SPECIFIED))
 
 
@@ -51,42 +55,40 @@ def jurisdiction(col: Column) -> Column:
 
 def _party_name(side: Column) -> Column:
     side = strip(side)
-    leading = F.rtrim(
-        strip(F.regexp_extract(side, java_regex(fv.LEADING_NAME, ignore_case=False), 1)), F.lit(","))
-    first_words = F.rtrim(
-        F.array_join(F.slice(words(side), 1, fv.PARTY_NAME_WORDS), " "), F.lit(","))
-    has_leading = F.rlike(side, F.lit(java_regex(fv.LEADING_NAME, ignore_case=False)))
-    return F.when(has_leading, leading).otherwise(first_words)
+    leading = strip(first_group(side, java_regex(fv.LEADING_NAME, ignore_case=False), 1))
+    first_words = F.array_join(F.slice(words(side), 1, fv.PARTY_NAME_WORDS), " ")
+    return F.rtrim(F.coalesce(leading, first_words), F.lit(","))
 
 
 def _party(side: Column) -> Column:
     name = _party_name(side)
-    term = strip(first_match(side, java_regex(fv.DEFINED_TERM), 1))
+    term = strip(first_group(side, java_regex(fv.DEFINED_TERM), 1))
     labelled = F.when(term.isNotNull(), F.concat(name, F.lit(" ("), term, F.lit(")")))
     return F.when(name != "", F.coalesce(labelled, name))
 
 
 def block_parties(col: Column) -> Column:
-    """E5: parties named in a "between X and Y" block."""
+    """E5: parties named in a "between X and Y" block; null when there is none.
+
+    The text is cut after its last closing word first.  A block that starts can
+    then be closed, and the lazy pattern never tries every "and" in vain, which
+    would take time that grows with the square of the text.
+    """
     regex = java_regex(fv.PARTY_BLOCK, dot_all=True)
-    # Most texts lack one of the words; a plain search is cheaper than the regex.
-    low = F.lower(col)
-    possible = F.contains(low, F.lit("between")) & F.rlike(
-        low, F.lit("whereas|now this|now,? therefore|in witness"))
-    sides = F.when(
-        possible,
-        F.array(first_match(col, regex, 1), first_match(col, regex, 2)),
-    )
-    return F.coalesce(
-        F.array_compact(F.transform(sides, _party)), F.array().cast("array<string>"))
+    until_last = F.regexp_extract(col, java_regex(f"^.*(?:{_CLOSING})", dot_all=True), 0)
+    cut = F.when(F.contains(F.lower(col), F.lit("between")), until_last)
+    first = F.regexp_extract(cut, regex, 1)
+    sides = F.when(first != "", F.array(first, F.regexp_extract(cut, regex, 2)))
+    none = F.array().cast("array<string>")
+    return F.nullif(F.array_compact(F.transform(sides, _party)), none)
 
 
 def offer_parties(col: Column) -> Column:
     """Employer and employee of an offer letter."""
-    employer = F.nullif(strip(first_match(col, java_regex(fv.OFFER_EMPLOYER), 1)), F.lit(""))
+    employer = F.nullif(strip(first_group(col, java_regex(fv.OFFER_EMPLOYER), 1)), F.lit(""))
     employee = F.nullif(
-        strip(first_match(col, java_regex(fv.OFFER_EMPLOYEE, ignore_case=False), 1)), F.lit(""))
-    role = F.nullif(strip(first_match(col, java_regex(fv.OFFER_ROLE), 1)), F.lit(""))
+        strip(first_group(col, java_regex(fv.OFFER_EMPLOYEE, ignore_case=False), 1)), F.lit(""))
+    role = F.nullif(strip(first_group(col, java_regex(fv.OFFER_ROLE), 1)), F.lit(""))
     return F.array_compact(F.array(
         F.concat(employer, F.lit(" (Employer)")),
         F.concat(employee, F.lit(" ("), F.coalesce(role, F.lit("Employee")), F.lit(")")),
@@ -94,8 +96,7 @@ def offer_parties(col: Column) -> Column:
 
 
 def parties(col: Column) -> Column:
-    block = block_parties(col)
-    return F.when(F.size(block) > 0, block).otherwise(offer_parties(col))
+    return F.coalesce(block_parties(col), offer_parties(col))
 
 
 def key_entities(col: Column) -> Column:

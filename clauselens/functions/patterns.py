@@ -92,9 +92,12 @@ def starts_word(text: str) -> str:
     return "(?d)" + edge + quote(text)
 
 
-def first_match(col: Column, regex: str, group: int = 0) -> Column:
-    """Group of the first match, null when the pattern does not match."""
-    return F.when(F.rlike(col, F.lit(regex)), F.regexp_extract(col, regex, group))
+def first_group(col: Column, regex: str, group: int = 1) -> Column:
+    """A group of the first match, null when the pattern does not match.
+
+    The group must not be able to match nothing; so one run of the regex tells.
+    """
+    return F.nullif(F.regexp_extract(col, regex, group), F.lit(""))
 
 
 def all_matches(col: Column, regex: str, group: int = 0) -> Column:

@@ -317,3 +317,14 @@ def test_nested_parts_are_bounded_and_whole(spark, monkeypatch):
     rows = tables.export_reports(reports, clause_rows(spark, COLLAPSE)).collect()
     assert sorted((r["doc_id"], r["part"], len(r["risk_clauses"])) for r in rows) == [(1, 0, 2), (1, 1, 2), (1, 2, 1), (2, 0, 0)]
     assert tables.report_json(tables.export_reports(reports, clause_rows(spark, COLLAPSE))).count() == 4
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("Lease between A Co and B Co. WHEREAS it is so", ["A Co", "B Co."]),
+    ("WHEREAS first, then between us and them", []),
+    ("IN WITNESS of a deal between X and Y; NOW THEREFORE z. between P and Q", ["X", "Y;"]),
+    ("between " + "x and " * 60000, []),
+    ("WHEREAS " + "between a and b " * 30000, []),
+])
+def test_parties(spark, text, expected):
+    assert value(spark, text, key_entities)["parties"] == expected
