@@ -58,7 +58,7 @@ def _raw(s, d):
 
 
 def _collapsed(s, d):
-    return cl.collapse_clauses(_raw(s, d), cl.long_documents(fx.contracts(s, d)))
+    return cl.collapse_clauses(_raw(s, d))
 
 
 def _analysis(s, d, **kw):
@@ -354,7 +354,8 @@ def r15(s, d):
 @query("r15_collapse_streamed", q.build(_CLAUSE_SQL.format("pcollapsed"), "pcollapsed"))
 def r15_streamed(s, d):
     raw = rp.raw_clauses(_page_chunks(s, d), fx.rules(s)).withColumn("_category", F.lower("category"))
-    return cl._fold_streamed(raw, ["doc_id", "_category"]).select(*_CLAUSE)
+    keys = ["doc_id", "_category"]
+    return cl._fold_streamed(raw.repartition(*keys), keys).select(*_CLAUSE)
 
 
 @query("r16_scores", q.build(_REPORT_SQL.format("reports"), "reports"))

@@ -14,7 +14,6 @@ from clauselens.operators.chunking import chunk
 from clauselens.operators.clauses import (
     assemble_clauses,
     collapse_clauses,
-    long_documents,
     rule_facts,
     with_sentences,
     with_snippet,
@@ -90,8 +89,7 @@ def analyse(
     """
     entities, failed = document_entities(pages, single_page)
     chunks = chunk(pages, single_page=single_page)
-    clauses = choose_advice(
-        collapse_clauses(raw_clauses(chunks, rules, labels), long_documents(pages)), advice)
+    clauses = choose_advice(collapse_clauses(raw_clauses(chunks, rules, labels)), advice)
     return Analysis(chunks, clauses, score_documents(entities, clauses), failed)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from clauselens import schemas
 from clauselens.operators.chunking import chunk
-from clauselens.operators.clauses import collapse_clauses, long_documents
+from clauselens.operators.clauses import collapse_clauses
 from clauselens.operators.scoring import choose_advice, score_documents
 from clauselens.plans.report import document_entities, raw_clauses
 from clauselens.sources.tables import BUCKETS, materialise, write_results
@@ -25,7 +25,7 @@ def store_analysis(pages: DataFrame, rules: DataFrame, out: str, single_page: bo
     entities, failed = document_entities(pages, single_page)
     chunks = materialise(chunk(pages, single_page=single_page), "chunks")
     raw = materialise(raw_clauses(chunks, rules), "clauses")
-    clauses = materialise(choose_advice(collapse_clauses(raw, long_documents(pages))), "collapsed")
+    clauses = materialise(choose_advice(collapse_clauses(raw)), "collapsed")
     reports = score_documents(entities, clauses)
     for df, name in (
         (chunks, "document_chunks"), (clauses, "risk_clauses"), (reports, "analysis_reports"),

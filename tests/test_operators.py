@@ -195,7 +195,8 @@ def test_collapse_against_brute_force(spark, seed):
              for _ in range(120)]
     df = clause_rows(spark, items)
     folded = cl.collapse_clauses(df)
-    streamed = cl._fold_streamed(df.withColumn("_category", F.lower("category")), ["doc_id", "_category"])
+    keys = ["doc_id", "_category"]
+    streamed = cl._fold_streamed(df.withColumn("_category", F.lower("category")).repartition(*keys), keys)
     for out in (folded, streamed):
         assert sorted(repr((r["page_number"], r["clause_text"], r["confidence_score"])) for r in out.collect()) == greedy(items)
 
@@ -286,6 +287,18 @@ def test_failures_are_data(spark):
     assert ok.count() == 1 and {r["doc_id"] for r in failed.collect()} == {2, 3}
 
 
+def test_collapse_reads_one_exchange(spark):
+    """Both folds share the shuffle, so matching runs once."""
+    from clauselens.catalogue import fixtures as fx
+
+    chunks = chunk(fx.contracts(spark, "/root/testdata/sf0.001"), single_page=True)
+    df = cl.collapse_clauses(rp.raw_clauses(chunks, fx.rules(spark)))
+    df.collect()
+    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = df._jdf.queryExecution().explainString(formatted)
+    assert "ReusedExchange" in plan[:plan.index("== Initial Plan ==")]
+
+
 def test_matching_plan_is_narrow(spark):
     """No Python, no shuffle and no product between chunks and hits."""
     path = "/root/testdata/sf0.001/documents.parquet"
