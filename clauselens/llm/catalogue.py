@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselens.llm import packing, quality_rules, token_counts, vptree
+from clauselens.llm import ans, contextual_pii, packing, quality_rules, tiling, token_counts, vptree
 from clauselens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,11 +34,27 @@ def op2(s, d):
     return quality_rules.judge_quality(table(s, d, "documents"), table(s, d, "labels"))
 
 
+@query("op3_string_tiling")
+def op3(s, d):
+    found = tiling.contaminated(table(s, d, "documents"), table(s, d, "benchmark"))
+    return found.select("doc_id", "item_id", "n_words", "n_tiles", "covered", "coverage")
+
+
 @query("op5_packing")
 def op5(s, d):
     return packing.piece_digests(packing.pack(table(s, d, "documents")))
 
 
+@query("op7_ans_archive")
+def op7(s, d):
+    return ans.document_digests(ans.round_trip(table(s, d, "documents")))
+
+
+@query("op9_contextual_pii")
+def op9(s, d):
+    return contextual_pii.private_data(table(s, d, "documents"))
+
+
 @query("op10_simhash_vptree")
 def op10(s, d):
     found = vptree.near_duplicates(table(s, d, "documents"))

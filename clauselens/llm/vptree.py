@@ -252,6 +252,8 @@ def near_duplicates(
     moved = member.join(least, "root").select("fp", "component_id")
     named = first.join(moved, "fp", "left").select(
         "fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # Stored, so that the join's sides are plain shuffles and a hot fingerprint can be split.
+    named = materialise(named, "fingerprint-names")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
