@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselens.llm import ans, contextual_pii, packing, quality_rules, tiling, token_counts, vptree
+from clauselens.llm import ans, contextual_pii, packing, quality_rules, tiling, token_counts, vptree, warc
 from clauselens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,22 @@ def op7(s, d):
     return ans.document_digests(ans.round_trip(table(s, d, "documents")))
 
 
+# Base32 of a SHA-1: eight groups of five hexadecimal digits, four letters of five bits from each.
+_BASE32 = """array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((('0x' || substr(sha, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '')"""
+
+
+@query("op8_warc_bundles", f"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS sha FROM p),
+l AS (SELECT *, max(page_id) OVER (PARTITION BY sha) AS last FROM d)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to FROM l""")
+def op8(s, d):
+    return warc.round_trip(table(s, d, "pages")).drop("payload", "url")
+
+
 @query("op9_contextual_pii")
 def op9(s, d):
     return contextual_pii.private_data(table(s, d, "documents"))

@@ -37,7 +37,7 @@ class Writer:
         self.name = f"{uuid.uuid4().hex}{suffix}"
         store, base = _open(folder)
         store.create_dir(base, recursive=True)
-        self._out, self.at = store.open_output_stream(f"{base}/{self.name}"), 0
+        self._out, self.at = store.open_output_stream(f"{base}/{self.name}", compression=None), 0
 
     def write(self, data: bytes) -> int:
         """Appends and returns the offset at which the data begins."""
