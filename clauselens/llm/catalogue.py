@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselens.llm import ans, contextual_pii, packing, quality_rules, tiling, token_counts, vptree, warc
+from clauselens.llm import ans, contextual_pii, ordinal, packing, quality_rules, tag_paths, tiling, token_counts, vptree, warc
 from clauselens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,19 +40,34 @@ def op3(s, d):
     return found.select("doc_id", "item_id", "n_words", "n_tiles", "covered", "coverage")
 
 
+@query("op4_ordinal_quality")
+def op4(s, d):
+    labels = table(s, d, "labels")
+    ratings = labels.select("doc_id", ordinal.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    docs = table(s, d, "documents")
+    return ordinal.select_by_grade(ordinal.score(docs, ordinal.fit_on(docs, ratings))).select(
+        "doc_id", F.round("expected_grade", 6).alias("expected_grade"),
+        F.round("tail_probability", 6).alias("tail_probability"), "kept")
+
+
 @query("op5_packing")
 def op5(s, d):
     return packing.piece_digests(packing.pack(table(s, d, "documents")))
 
 
+@query("op6_tag_paths")
+def op6(s, d):
+    return tag_paths.extract_text(table(s, d, "pages"))
+
+
 @query("op7_ans_archive")
 def op7(s, d):
     return ans.document_digests(ans.round_trip(table(s, d, "documents")))
 
 
 # Base32 of a SHA-1: eight groups of five hexadecimal digits, four letters of five bits from each.
-_BASE32 = """array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-  1 + ((('0x' || substr(sha, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '')"""
+_BASE32 = """array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + ((('0x' || substr(sha, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1) for i in range(32)], '')"""
 
 
 @query("op8_warc_bundles", f"""
