@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Pieces remembered by one task, and the longest piece worth remembering.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 40
 
 # Western letters and common marks: the tokenizers here change nothing in them
@@ -25,6 +25,10 @@ LONGEST_REMEMBERED = 40
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?%$&#*|()<>-"
 _ODD = re.compile(rf"[^\x20\n{_LETTERS}{_MARKS}]")
 _SPACED = re.compile(rf"\x20?[{_LETTERS}]+|\x20?[{_MARKS}]+|[\x20\n]+(?![^\x20\n])|[\x20\n]+")
+# The same where some words hold other characters: such a word is one piece.
+_OTHER = rf"(?=[^\x20\n]*[^\x20\n{_LETTERS}{_MARKS}])[^\x20\n]+"
+_SPACED_MIXED = re.compile(rf"\x20?{_OTHER}|\x20?[{_LETTERS}]+|\x20?[{_MARKS}]+|\n")
+_BARE_MIXED = re.compile(rf"{_OTHER}|[{_LETTERS}]+|[{_MARKS}]+")
 _BARE = re.compile(rf"[{_LETTERS}]+|[{_MARKS}]+")
 _SPACED_WORD = re.compile(rf"\x20[{_LETTERS}]+").fullmatch
 _BARE_WORD = re.compile("[a-zß-öø-ÿ]+").fullmatch
@@ -65,10 +69,10 @@ class Encoder:
         if self.plain and not _ODD.search(text):
             return _SPACED.findall(text) if self.keeps_space else _BARE.findall(text.lower())
         if not self.keeps_space:
-            return text.replace("\n", " ").split(" ")
-        if " ".join(text.split()) != text.replace("\n", " ") or "\x01" in text:
+            return _BARE_MIXED.findall(text) if self.plain else text.replace("\n", " ").split(" ")
+        if " ".join(text.split()) != text.replace("\n", " ") or not self.plain:
             return _CUT.split(text)
-        return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
+        return _SPACED_MIXED.findall(text)
 
     def _learn_words(self, words: list[str]) -> None:
         """Many words in one call; the ids tell where a word begins or ends."""

@@ -38,7 +38,7 @@ SAMPLE = 20_000
 STEPS = 500
 RATE = 1.0
 # Standard errors asked for at a full sample; as many fewer as the root of a smaller one.
-EVIDENCE = 8.0
+EVIDENCE = 12.0
 LEAST_EVIDENCE = 3.5
 LEAST_PROBABILITY = 0.6
 STEM = 4
@@ -95,10 +95,13 @@ def fit_places(places: list[list[int]], grades: list[int], steps: int = STEPS, r
     col = np.concatenate([np.asarray(p, np.int32) for p in places])
     reached = (y[:, None] > np.arange(top)[None, :]).astype(float)
     share = reached.mean(axis=0).clip(1e-3, 1 - 1e-3)
-    # Without weights the error of a document depends on its grade alone.
-    error = (share - reached).sum(axis=1)
-    count = np.bincount(col, minlength=PLACES)
-    strength = np.abs(np.bincount(col, error[row], PLACES)) / np.sqrt(np.maximum(count, 1) * error.var())
+    # Without weights the error of a document depends on its grade alone; each threshold is asked by itself.
+    count = np.maximum(np.bincount(col, minlength=PLACES), 1)
+    strength = np.zeros(PLACES)
+    for k in range(top):
+        error = share[k] - reached[:, k]
+        apart = np.abs(np.bincount(col, error[row], PLACES)) / np.sqrt(count * share[k] * (1 - share[k]))
+        strength = np.maximum(strength, apart)
     telling = strength >= max(LEAST_EVIDENCE, evidence * math.sqrt(n / SAMPLE))
     row, col = row[telling[col]], col[telling[col]]
     used, col = np.unique(col, return_inverse=True)

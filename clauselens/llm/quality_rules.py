@@ -27,7 +27,8 @@ from clauselens.llm.common import compute_once, word_array
 
 BUCKETS = 1 << 16
 TRUSTED_LIMIT = 100_000
-SMOOTHING = 0.5
+# Occurrences in the raw corpus that stand for no difference at all.
+SMOOTHING = 1.0
 # Least mean weight per n-gram, in thousandths of a nat.
 THRESHOLD = -200
 SCALE = 1000
@@ -84,9 +85,10 @@ def gram_weights(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = S
         return None
     from math import log
 
-    rest = log((raw + smoothing * buckets) / (target + smoothing * buckets))
+    # Both counts shrink towards the same share, so rare n-grams and small tables stay near zero.
+    scale = raw / target
     return [
-        round(SCALE * (log((found[b][1] + smoothing) / (found[b][0] + smoothing)) + rest)) if b in found else 0
+        round(SCALE * log((found[b][1] * scale + smoothing) / (found[b][0] + smoothing))) if b in found else 0
         for b in range(buckets)
     ]
 

@@ -1,0 +1,473 @@
+"""Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from clauselens.llm import (
+    ans, contextual_pii, ordinal, packing, quality_rules, tag_paths, tiling, token_counts, vptree, warc,
+)
+from clauselens.llm.encode import Encoder, default_tokenizer
+
+LONG = "word stream of many parts, " * 4000
+TEXTS = [
+    (1, None), (2, ""), (3, " \n\t "), (4, "one two"), (5, LONG), (6, "same text in two rows of it"),
+    (7, "same text in two rows of it"), (7, "same text in two rows of it"), (None, "a row without a key"),
+    (8, "mail ann@host.example or 10.0.0.1, call +1 (988) 555-2485"), (9, "Größe ÇA 日本語 x"),
+]
+CLASHING = "kept string, ids string, part string, row string, fp string, start string, base string, kind string"
+SCHEMA = "doc_id long, text string, " + CLASHING
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, *["x"] * 8) for r in TEXTS], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(5, 1, 0), (6, 1, None), (None, 1, 0), (4, 0, 0), (4, 0, 0)],
+                                 "doc_id long, quality int, toxic int")
+
+
+def keys(rows):
+    return Counter(r["doc_id"] for r in rows)
+
+
+EVERY = Counter(k for k, _ in TEXTS)
+
+
+def test_token_counts(docs, nothing):
+    lengths = token_counts.token_lengths(docs).collect()
+    assert keys(lengths) == EVERY
+    encode = Encoder(default_tokenizer("byte_bpe_50k.json"))
+    expected = Counter(len(x) // 4 for x in encode([t for _, t in TEXTS]))
+    table = token_counts.length_histogram(token_counts.token_lengths(docs))
+    assert {r.n_tokens: r.n_docs for r in table.collect()} == expected
+    assert token_counts.length_histogram(token_counts.token_lengths(nothing)).count() == 0
+
+
+def test_histogram_answers(spark):
+    lengths = [0, 0, 3, 3, 8, 100, 5000]
+    table = token_counts.length_histogram(spark.createDataFrame([(i, n) for i, n in enumerate(lengths)],
+                                                                "doc_id long, n_tokens long"))
+    for r in table.collect():
+        n = r.n_tokens
+        assert r.docs_within == sum(x <= n for x in lengths) and r.docs_longer == sum(x > n for x in lengths)
+        assert r.tokens_longer == sum(x for x in lengths if x > n)
+        assert r.truncated_total == sum(min(x, n) for x in lengths)
+        assert (r.total_docs, r.total_tokens) == (7, sum(lengths))
+    for r in token_counts.at_limits(table, [0, 5, 8, 9999]).collect():
+        assert r.truncated_total == sum(min(x, r.context_limit) for x in lengths)
+        assert r.docs_within == sum(x <= r.context_limit for x in lengths)
+    assert [r.n_tokens for r in token_counts.quantile_lengths(table, [0.5, 1.0]).collect()] == [3, 5000]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_are_those_of_the_library(name):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_tokenizer(name))
+    plain.encode_special_tokens = True
+    rng = np.random.default_rng(7)
+    letters = list("ab 'st.,\n\t\x01\x1c é9ÀßÅ") + ["́", " ", "  ", "\n\n", "<|endoftext|>"]
+    texts = [t or "" for _, t in TEXTS] + ["".join(rng.choice(letters, rng.integers(0, 50))) for _ in range(1500)]
+    for text, raw in zip(texts, Encoder(default_tokenizer(name))(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing(docs, nothing):
+    window = 16
+    pieces = packing.pack(docs, window=window).collect()
+    encode = Encoder(default_tokenizer("word_bpe_49k.json"))
+    whole = sorted(x + (2).to_bytes(4, "little") for x in encode([t for _, t in TEXTS]))
+    by_place = sorted(pieces, key=lambda r: (r.sequence_id, r.offset))
+    at, texts, open_piece = 0, [], b""
+    for r in by_place:
+        assert r.sequence_id * window + r.offset == at and len(r.ids) == 4 * r.length > 0
+        assert r.start * 4 == len(open_piece)
+        open_piece, at = open_piece + bytes(r.ids), at + r.length
+        if r.start + r.length == r.doc_tokens:
+            texts.append(open_piece)
+            open_piece = b""
+    assert sorted(texts) == whole and keys(pieces).keys() == EVERY.keys()
+    assert {r.ids_crc32 for r in packing.piece_digests(packing.pack(docs)).collect()} >= {
+        zlib.crc32((2).to_bytes(4, "little"))}
+    assert packing.pack(nothing).count() == 0
+
+
+def test_archive(docs, nothing):
+    rows = ans.round_trip(docs, block=64, lanes=8).collect()
+    assert keys(rows) == EVERY
+    encode = Encoder(default_tokenizer("byte_bpe_50k.json"))
+    at = 0
+    order = sorted(rows, key=lambda r: r.start)
+    assert [r.doc_id for r in order] == sorted(EVERY.elements(), key=lambda k: (k is not None, k))
+    known = dict(TEXTS)
+    for r in order:
+        assert r.start == at and bytes(r.ids) == encode([known[r.doc_id]])[0] + (2).to_bytes(4, "little")
+        at += r.n_tokens
+    assert ans.round_trip(nothing).count() == 0
+    assert ans.round_trip(docs, end_id=None).filter("doc_id = 2 AND n_tokens = 0").count() == 1
+
+
+def test_coder_detects_damage():
+    rng = np.random.default_rng(1)
+    for n, different in ((1, 1), (7, 1), (1000, 3), (70_000, 5000)):
+        ids = np.minimum(rng.zipf(1.3, n) - 1, different - 1).astype(np.uint32)
+        table = ans.Table.from_bytes(ans.Table(dict(Counter(ids.tolist()))).to_bytes())
+        assert table.freq.sum() == 1 << ans.BITS and table.freq.min() > 0
+        raw = ans.encode_block(ids, table, 5)
+        first, back = ans.decode_block(raw, table)
+        assert first == 5 and (back == ids).all()
+    spoilt = bytearray(raw)
+    spoilt[-3] ^= 64
+    with pytest.raises(ValueError):
+        ans.decode_block(bytes(spoilt), table)
+
+
+def _base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    windows = {}
+    for i in range(len(words) - 7):
+        windows.setdefault(tuple(words[i:i + 8]), []).append(i)
+    covered = {j for at in windows.values() if len(at) > 1 for i in at for j in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""),
+            len(lines) - len(set(lines)), len(covered))
+
+
+def test_quality(spark, docs, nothing, labels):
+    more = [(100, "a b c d e f g h a b c d e f g h"), (101, "# * $ x\nx\n\nx\n "), (102, "a " * 30),
+            (103, "# 😀 é & |")]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows = quality_rules.judge_quality(both, labels).collect()
+    known = dict(TEXTS + more)
+    assert keys(rows) == EVERY + Counter(k for k, _ in more)
+    for r in rows:
+        base = _base(known[r.doc_id])
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == base
+        assert r.base_failed == (base[0] < 20 or 100 * base[4] > 30 * base[0])
+        assert not (r.base_failed and r.kept)
+    kept = quality_rules.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert quality_rules.judge_quality(nothing, labels).count() == 0
+    # Without any trusted document the base rules decide alone.
+    assert all(r.kept != r.base_failed for r in quality_rules.judge_quality(docs, labels.filter("doc_id = 4")).collect())
+
+
+def test_quality_score_by_hand(spark, labels):
+    """Weights and scores against the definition, with n-grams as they are instead of their places."""
+    from math import floor, log
+
+    good, bad = "plain words stand in a quiet row here " * 3, "SHOUT!! LOUD!! NOISE!! " * 9
+    texts = [(i, f"{good} {chr(97 + i)}") for i in range(8)] + [(20 + i, f"{bad} {chr(97 + i)}") for i in range(8)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    trusted = spark.createDataFrame([(i, 1, 0) for i in range(4)], "doc_id long, quality int, toxic int")
+
+    def grams(text):
+        runs = re.findall(r"\w+|[^\w\s]+", text)
+        return runs + [("=",) if a == b else (a, b) for a, b in zip(runs, runs[1:])]
+
+    raw = Counter(g for _, t in texts for g in grams(t))
+    target = Counter(g for i, t in texts if i < 4 for g in grams(t))
+    scale = sum(raw.values()) / sum(target.values())
+    weight = {g: round(1000 * log((target[g] * scale + 1) / (raw[g] + 1))) for g in raw}
+    for r in quality_rules.judge_quality(docs, trusted).collect():
+        own = grams(dict(texts)[r.doc_id])
+        assert r.score_milli == floor(sum(weight[g] for g in own) / len(own))
+    kept = quality_rules.judge_quality(docs, trusted).filter("score_milli >= -200").collect()
+    assert {r.doc_id for r in kept} == set(range(8))
+
+
+def _fingerprint(text):
+    import xxhash
+
+    words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    words = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in words]
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints_and_groups(spark, docs, nothing):
+    rows = vptree.near_duplicates(docs).collect()
+    assert keys(rows) == EVERY
+    known = dict(TEXTS)
+    assert all(r.fp % (1 << 64) == _fingerprint(known[r.doc_id]) for r in rows)
+    found = {r.doc_id: r.component_id for r in rows}
+    assert found[1] == found[2] == found[3] == 1 and found[7] == found[6] == 6
+    assert vptree.near_duplicates(nothing).count() == 0
+    one = vptree.one_of_each(docs)
+    assert one.columns == docs.columns
+    assert keys(one.collect()) == Counter([1, 4, 5, 6, None, 8, 9])
+
+
+def test_near_links_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
+    near = [x]
+    for _ in range(4):
+        y = near[-1][:400].copy()
+        for _ in range(2):
+            y ^= np.uint64(1) << rng.integers(0, 63, len(y)).astype(np.uint64)
+        near.append(y)
+    # A dense group: all words of few bits.
+    near.append(np.array([(1 << a) | (1 << b) for a in range(40) for b in range(a)], np.uint64))
+    x = np.unique(np.concatenate(near))
+    parent = list(range(len(x)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(x)):
+        for j in np.flatnonzero(np.bitwise_count(x[i + 1:] ^ x[i]) <= 2) + i + 1:
+            a, b = root(i), root(int(j))
+            parent[max(a, b)] = min(a, b)
+    frame = spark.createDataFrame([(int(v),) for v in x.view(np.int64)], "fp long")
+    links = vptree.near_links(frame, sample=256, shard=64)
+    got = {r.node: r.root for r in vptree.components(links).collect()}
+    groups = {}
+    for i in range(len(x)):
+        groups.setdefault(root(i), set()).add(int(x.view(np.int64)[i]))
+    want = {v: min(g) for g in groups.values() for v in g if v != min(g)}
+    assert got == want
+
+
+SENTENCE = "the quick brown fox jumps over the lazy dog while seven grey owls watch from an old oak tree".split()
+
+
+def test_tiling(spark, nothing):
+    items = spark.createDataFrame(
+        [(1, " ".join(SENTENCE), "x"), (2, "Tiny Item", "x"), (3, None, "x"), (4, "", "x"), (5, "alone " * 6, "x"),
+         (1, " ".join(SENTENCE), "x")], "item_id long, text string, coverage string")
+    moved = SENTENCE[9:] + ["and"] + SENTENCE[:9]
+    texts = [(1, " ".join(["x"] * 50 + SENTENCE + ["y"] * 5)), (2, "Well, " + ", ".join(moved).upper()),
+             (3, " ".join(SENTENCE[:8])), (4, None), (5, ""), (6, "a tiny, item!"), (None, " ".join(SENTENCE)),
+             (7, " ".join(SENTENCE)), (7, " ".join(SENTENCE)), (8, "alone " * 300), (9, "alone alone alone alone")]
+    docs = spark.createDataFrame([(*r, "x") for r in texts], "doc_id long, text string, seed string")
+    pairs = {(r.doc_id, r.item_id): (r.n_tiles, r.covered) for r in tiling.tile_pairs(docs, items).collect()}
+    assert pairs == {(1, 1): (1, 19), (2, 1): (2, 19), (3, 1): (1, 8), (6, 2): (1, 2), (None, 1): (1, 19),
+                     (7, 1): (1, 19), (8, 5): (1, 6)}
+    assert {r.doc_id for r in tiling.contaminated(docs, items).collect()} == {1, 2, 6, None, 7, 8}
+    clean = tiling.keep_clean(docs, items)
+    assert clean.columns == docs.columns and {r.doc_id for r in clean.collect()} == {3, 4, 5, 9}
+    assert tiling.contaminated(nothing, items).count() == 0
+    assert tiling.keep_clean(docs, items.filter("false")).count() == len(texts)
+
+
+def test_tiles_against_plain_search():
+    rng = np.random.default_rng(3)
+
+    def plain(a, t, least):
+        marked_a, marked_t, total = [False] * len(a), [False] * len(t), 0
+        while True:
+            best, size = [], least - 1
+            for i in range(len(a)):
+                for j in range(len(t)):
+                    k = 0
+                    while i + k < len(a) and j + k < len(t) and a[i + k] == t[j + k] \
+                            and not marked_a[i + k] and not marked_t[j + k]:
+                        k += 1
+                    if k > size:
+                        size, best = k, [(i, j)]
+                    elif k == size >= least:
+                        best.append((i, j))
+            if size < least:
+                return total
+            for i, j in best:
+                if not any(marked_a[i:i + size]) and not any(marked_t[j:j + size]):
+                    marked_a[i:i + size] = marked_t[j:j + size] = [True] * size
+                    total += size
+
+    for _ in range(150):
+        least, letters = int(rng.integers(1, 4)), int(rng.choice([2, 3, 6]))
+        a, t = (rng.integers(0, letters, int(rng.integers(least, n))).tolist() for n in (25, 12))
+        seeds = [[hash(tuple(x[i:i + least])) for i in range(len(x) - least + 1)] for x in (a, t)]
+        shared = [i for i, s in enumerate(seeds[0]) if s in seeds[1]]
+        got = tiling.tiles(np.array(shared, int), np.array([seeds[0][i] for i in shared]), np.array(seeds[1]),
+                           np.arange(len(seeds[1])), least)
+        assert sum(x[2] for x in got) == plain(a, t, least)
+
+
+def test_ordinal(spark, docs, nothing):
+    rng = np.random.default_rng(2)
+    common = [f"w{i}" for i in range(60)]
+    texts, grades = [], []
+    for i in range(900):
+        words, g = rng.choice(common, 40).tolist(), i % 3
+        words += {0: ["zzz!!"] * 3, 1: [str(rng.choice(["vile", "nasty"]))], 2: []}[g]
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        grades.append(g)
+    model = ordinal.fit(texts[:600], grades[:600])
+    assert np.all(np.diff(model.thresholds) >= 0)
+    held = model.tails(np.array([sum(model.weights[ordinal.place(w)] for w in ordinal.features(t)) for t in texts[600:]]))
+    right = np.mean((held >= 0.5).sum(axis=1) == np.array(grades[600:]))
+    assert right > 0.97
+    rows = ordinal.score(docs, model).collect()
+    assert keys(rows) == EVERY and all(0 <= r.tail_probability <= r.expected_grade <= 2 for r in rows)
+    assert ordinal.score(nothing, model).count() == 0
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "x")], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, g) for i, g in enumerate(grades)] + [(None, 1), (5, None)],
+                                    "doc_id long, grade int")
+    again = ordinal.fit_on(frame, ratings)
+    assert np.array_equal(again.weights, ordinal.fit(texts, grades).weights)
+    with pytest.raises(ValueError):
+        ordinal.fit_on(frame, ratings.filter("grade = 2"))
+
+
+PAGES = {
+    "": "", "<p>Hi &amp; you</p>": "Hi & you", "a < b and c": "a < b and c", "<!-- open": "", "<p title='x>y": "y",
+    "<html><body><div id=header>Site</div><ul class=menu><li><a href=x>One</a><li><a>Two</a></ul><div id='content'>"
+    "<h1>T</h1><p>First, para.<p>Sec<b>on</b>d\n  para.</div><div class='comments'><p>nice, one. indeed</p></div>"
+    "<div id=footer>(c)</div></body>": "T\n\nFirst, para.\n\nSecond para.",
+    "<body><div><a>Home</a> <a>About</a></div><div><p>This is a long paragraph, with marks. It goes on, and on.</p>"
+    "<p>Short.</p><p>Another long paragraph, that has marks, too. Yes, it has.</p></div><div>x</div>":
+        "This is a long paragraph, with marks. It goes on, and on.\n\nShort.\n\n"
+        "Another long paragraph, that has marks, too. Yes, it has.",
+    "<main><article><header><h1>H</h1></header><p>x, y.</p><form><p>Mail?</p></form><aside>no</aside><p>z</p>"
+    "</article></main>": "H\n\nx, y.\n\nz",
+    "<p>x</p><script>var a='<p>b</p>'": "x", "<article><p><b>Open.<br><p>Next &copy;</article>": "Open.\n\nNext ©",
+}
+
+
+def test_main_text(spark):
+    rows = [(i, f"u{i}", h, "x") for i, h in enumerate(PAGES)] + [(None, None, None, "x"), (99, "u", "<p>" * 3000 + "d", "x")]
+    pages = spark.createDataFrame(rows + rows[:2], "page_id long, url string, html string, text string")
+    got = tag_paths.extract_text(pages).collect()
+    assert len(got) == len(rows) + 2
+    texts = {r.page_id: r.text for r in got}
+    for i, want in enumerate(PAGES.values()):
+        assert texts[i] == want
+    assert texts[None] == "" and texts[99] == "d" and all(r.n_chars == len(r.text) for r in got)
+    assert tag_paths.extract_text(pages.filter("false")).count() == 0
+
+
+def test_path_ratios():
+    blocks = tag_paths.page_blocks("<div><p>One, two. Three!</p><p>Four.</p><ul><li>a</li><li>b</li></ul></div>")
+    scores = tag_paths.path_scores(blocks)
+    assert scores == {"div/p": (16 + 5) / 2 * (1 + 4 / 2), "div/ul/li": 1.0}
+
+
+def test_bundles(spark):
+    rows = [(1, "http://a", "x"), (5, "http://b", "x"), (3, None, "x"), (2, "http://c\r\nZ: 1", None), (4, "u", ""),
+            (6, "u", "é" * 3000), (None, "u", "x"), (None, "u", "lonely"), (8, "u", "twice"), (8, "u", "twice")]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload string")
+    made = warc.write_bundles(pages, warc.new_folder(spark, "test-warc"), frame=2000, bundle=6000)
+    got = warc.read_bundles(made).collect()
+    assert len(got) == len(rows)
+    want = Counter()
+    for page, _, html in rows:
+        raw = (html or "").encode()
+        last = max((p for p, _, h in rows if p is not None and (h or "") == (html or "")), default=None)
+        to = None if last is None or page == last else last
+        want[page, len(raw), warc.digest32(raw), "response" if to is None else "revisit", to] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    six = warc.read_records(made, spark.createDataFrame([(6,), (1,)], "page_id long")).collect()
+    assert {r.page_id: r.payload and bytes(r.payload).decode() for r in six} == {6: "é" * 3000, 1: None}
+    # Plain Zstandard readers see all records, one after the other.
+    import zstandard
+
+    reader = warc.Reader(made.folder)
+    names = [r[0] for r in made.index.select("bundle").distinct().collect()]
+    total = 0
+    for name in names:
+        raw = reader.read(name, 0, reader.size(name))
+        plain = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
+        total += plain.count(b"WARC/1.1\r\n")
+    assert total == len(rows)
+    assert warc.round_trip(pages.filter("false")).count() == 0
+
+
+FORMS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        v = int(c) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def _seeds(text):
+    found = []
+    for order, (kind, form) in enumerate(FORMS.items()):
+        for m in re.finditer(form, text or ""):
+            digits = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(len(p.lstrip("0")) > 3 or int(p) > 255 for p in m[0].split(".")):
+                continue
+            if kind == "card" and not (12 <= len(digits) <= 19 and _luhn(digits)):
+                continue
+            if kind == "phone" and not 9 <= len(digits) <= 15:
+                continue
+            found.append((m.start(), order, f"{kind}:{m.start()}:{m.end()}"))
+    return sorted(found)
+
+
+HARD = [
+    (20, "a@b.c@d.e x_y@f.g. 1.2.3.4.5.6.7.8 999999.1.2.3.4 007.1.1.1"), (21, "1 2 3 4 " * 5000),
+    (22, "é+12 345-678 901 a.b.c@d-e.f..g 4111 1111 1111 1111 4111-1111--1111"), (23, "x" * 100_000),
+    (24, "1" * 4000 + ".2.3.4"), (25, "+1 (988) 555-2485 +1234567890123456 ++49 30 1234567-"),
+    (26, "a@" + "b." * 20_000 + "c"), (27, "4111111111111111 😀 4111111111111111"),
+]
+
+
+def test_private_data(spark, docs, nothing):
+    more = spark.createDataFrame(HARD, "doc_id long, text string")
+    both = docs.select("doc_id", "text").unionByName(more)
+    rows = contextual_pii.private_data(both).collect()
+    known = dict(TEXTS + HARD)
+    assert keys(rows) == EVERY + Counter(k for k, _ in HARD)
+    for r in rows:
+        want = _seeds(known[r.doc_id])
+        n = Counter(o for _, o, _ in want)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == (n[0], n[1], n[2], n[3]), r.doc_id
+        labels = ",".join(x[2] for x in want)
+        assert r.base_sha256 == hashlib.sha256(labels.encode()).hexdigest() and r.spans == labels
+    assert contextual_pii.private_data(nothing).count() == 0
+    plan = contextual_pii.private_data(both)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_context_finds_unseen_identifiers(spark):
+    texts = [(i, f"filler words here and customer account {4111111111111111} was billed by mail") for i in range(1)]
+    cards = ["4111111111111111", "5500005555555559", "340000000000009", "6011000000000004"]
+    texts = [(i, f"Row {w}: the customer account {c} was billed") for i, (c, w) in enumerate(zip(cards, "abcd"))]
+    texts += [(10, "Here the customer account 77-1234-X was billed"), (11, "In the year 199999 nothing was billed"),
+              (12, "version 2.0.2025 was released")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in contextual_pii.private_data(frame, min_confidence=0.7).collect()}
+    assert got[10] == "context:26:35" and got[11] == got[12] == ""
+    clean = {r.doc_id: r.text for r in contextual_pii.redact(frame, min_confidence=0.7).collect()}
+    assert clean[10] == "Here the customer account <CONTEXT> was billed" and clean[12] == texts[-1][1]
+    assert clean[0] == "Row a: the customer account <CARD> was billed"
+
+
+def test_redaction_keeps_columns(spark, docs, nothing):
+    frame = docs.withColumn("n_chars", docs["doc_id"] * 0)
+    clean = contextual_pii.redact(frame, length="n_chars")
+    assert clean.columns == frame.columns and contextual_pii.redact(nothing).count() == 0
+    rows = clean.collect()
+    assert keys(rows) == EVERY
+    eight = next(r for r in rows if r.doc_id == 8)
+    assert eight.text == "mail <EMAIL> or <IP>, call <PHONE>" and eight.n_chars == len(eight.text)
+    assert next(r for r in rows if r.doc_id == 1).text is None and eight.kept == "x"
