@@ -39,7 +39,7 @@ CLAUSES = (
     (0, "The annual rent shall increase by 10% every year, see Sec. 14(2) of the Act."),
     (0, "Either side may end the deal with 30 days written notice; a fee of Rs. 2,500.50 applies."),
     (0, "The default setting of the heater shall stay unless an administrator changes it."),
-    (1, "Your employment may be terminated by either party without cause, or with compensation in\nlieu thereof."),
+    (1, "Either side may terminate this engagement by letter, or at once with salary in\nlieu of notice."),
     (1, "During the probation period of six months the employer reviews your performance."),
     (1, "All inventions and work product belong to the employer as intellectual property."),
     (1, "You shall not solicit any client of the business for twelve months after leaving."),
@@ -221,7 +221,7 @@ def blocks(pages: DataFrame) -> DataFrame:
 
 
 NOISE_LINES = (
-    "01O98327498273498237abc", "Szz0H rreDF", "eSigned using Aadhaar OTP", "Date: Mon Jan 12 2024",
+    "04Q55120987765401239abc", "Szz0H rreDF", "eSigned using Aadhaar OTP", "Date: Mon Jan 12 2024",
     "oe br Pe ae cecitet", "x 12 his /", "ee", "Pay %500 on the 10\" day", "all érsons named",
     "7<« clause", "ee Mrs. Rao", "e NOW it is agreed", "   ", "", "", "", "a plain line  ",
 )

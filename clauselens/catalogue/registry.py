@@ -229,14 +229,32 @@ def c2(s, d):
     return _page_chunks(s, d)
 
 
+@query("c2_odd_page_numbers", q.build("""
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY turn, i) - 1 AS INTEGER) AS chunk_index, page_number, chunk_text
+FROM (SELECT conv_id AS doc_id, turn, page_number, i,
+    CASE WHEN len(w) <= 20 THEN page ELSE array_to_string(w[i * 10 + 1 : i * 10 + 20], ' ') END AS chunk_text
+  FROM (SELECT *, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 20 THEN [0]
+      ELSE range(0, CAST(ceil((len(w) - 20) / 10.0) AS BIGINT) + 1) END) AS i
+    FROM (SELECT conv_id, turn, CAST(CASE turn % 3 WHEN 0 THEN NULL WHEN 1 THEN 7 ELSE turn END AS INTEGER) AS page_number,
+      """ + q.strip("text") + " AS page, " + q.words("text") + """ AS w FROM conversations)))"""))
+def c2_odd(s, d):
+    """Null and repeated page numbers, with a column of its own for the order."""
+    at = F.pmod("turn", F.lit(3))
+    pages = fx.texts(s, d, "conversations").select(
+        F.col("conv_id").alias("doc_id"), "turn", "text",
+        F.when(at == 1, 7).when(at == 2, F.col("turn")).cast("int").alias("page_number"))
+    return chunk(pages, 20, 10, order="turn").select("doc_id", "chunk_index", "page_number", "chunk_text")
+
+
 @query("c1_small_windows", q.build(f"""
-SELECT doc_id, i AS chunk_index, array_to_string(w[i * 10 + 1 : i * 10 + 20], ' ') AS chunk_text FROM (
-  SELECT doc_id, w, unnest(CASE WHEN len(w) <= 20 THEN [] ELSE range(0, CAST(ceil((len(w) - 20) / 10.0) AS BIGINT) + 1) END) AS i
-  FROM (SELECT doc_id, {q.words('text')} AS w FROM documents))"""))
+SELECT doc_id, i AS chunk_index,
+  CASE WHEN len(w) <= 20 THEN {q.strip('text')} ELSE array_to_string(w[i * 10 + 1 : i * 10 + 20], ' ') END AS chunk_text FROM (
+  SELECT doc_id, text, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) <= 20 THEN [0]
+    ELSE range(0, CAST(ceil((len(w) - 20) / 10.0) AS BIGINT) + 1) END) AS i
+  FROM (SELECT doc_id, text, {q.words('text')} AS w FROM documents))"""))
 def c1_small(s, d):
     docs = fx.texts(s, d, "documents").select("doc_id", F.lit(1).alias("page_number"), "text")
-    long = docs.filter(tx.word_count(F.col("text")) > 20)
-    return chunk(long, 20, 10, single_page=True).select(
+    return chunk(docs, 20, 10, single_page=True).select(
         "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "chunk_text")
 
 
@@ -308,7 +326,7 @@ SELECT doc_id, chunk_index, matched FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, matched ORDER BY chunk_index) AS r FROM (
     SELECT c.doc_id, c.chunk_index, token_count, h.doc_id IS NOT NULL AS matched FROM chunks c
     LEFT JOIN (SELECT DISTINCT doc_id, chunk_index FROM hits) h ON c.doc_id = h.doc_id AND c.chunk_index = h.chunk_index)
-  WHERE matched OR token_count >= 30) WHERE CASE WHEN matched THEN r <= 12 ELSE r <= 3 END""", "hits"))
+  WHERE matched OR token_count >= 30)""", "hits"))
 def r10(s, d):
     chunks = _chunks(s, d)
     return ma.model_candidates(chunks, ma.match_rules(chunks, fx.rules(s))).select(
@@ -351,11 +369,9 @@ def r15(s, d):
     return _collapsed(s, d).select(*_CLAUSE)
 
 
-@query("r15_collapse_streamed", q.build(_CLAUSE_SQL.format("pcollapsed"), "pcollapsed"))
-def r15_streamed(s, d):
-    raw = rp.raw_clauses(_page_chunks(s, d), fx.rules(s)).withColumn("_category", F.lower("category"))
-    keys = ["doc_id", "_category"]
-    return cl._fold_streamed(raw.repartition(*keys), keys).select(*_CLAUSE)
+@query("r15_collapse_pages", q.build(_CLAUSE_SQL.format("pcollapsed"), "pcollapsed"))
+def r15_pages(s, d):
+    return cl.collapse_clauses(rp.raw_clauses(_page_chunks(s, d), fx.rules(s))).select(*_CLAUSE)
 
 
 @query("r16_scores", q.build(_REPORT_SQL.format("reports"), "reports"))
@@ -476,7 +492,7 @@ def _prompt_sql(template, **parts):
     return out
 
 
-_B1 = _prompt_sql(pr.CLASSIFY_TEMPLATE, categories=_RULE_LINES, passage="chunk_text[1:1200]")
+_B1 = _prompt_sql(pr.CLASSIFY_TEMPLATE, categories=_RULE_LINES, passage="chunk_text")
 
 
 @query("b1_classify_prompts", q.build(f"SELECT doc_id, chunk_index, {_B1} AS prompt FROM pchunks", "pchunks", "rules"))
@@ -486,16 +502,16 @@ def b1(s, d):
 
 @query("b2_advice_prompts", q.build(f"""
 SELECT doc_id, {_prompt_sql(pr.ADVICE_TEMPLATE, clauses='lines')} AS prompt FROM (
-  SELECT doc_id, string_agg('- Category: "' || category || '" | Excerpt: "' || {q.strip("replace(clause_text[1:250], chr(10), ' ')")} || '"',
+  SELECT doc_id, string_agg('- Category: "' || category || '" | Excerpt: "' || {q.strip("replace(clause_text, chr(10), ' ')")} || '"',
     chr(10) ORDER BY r) AS lines
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule_id) AS r FROM clauses) WHERE r <= 6 GROUP BY doc_id)""",
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule_id) AS r FROM clauses) GROUP BY doc_id)""",
   "clauses"))
 def b2(s, d):
     return pr.advice_prompts(_raw(s, d))
 
 
 @query("b3_summary_prompts", q.build(
-    f"SELECT doc_id, {_prompt_sql(pr.SUMMARY_TEMPLATE, passage='text[1:4000]')} AS prompt FROM contracts", "contracts"))
+    f"SELECT doc_id, {_prompt_sql(pr.SUMMARY_TEMPLATE, passage='text')} AS prompt FROM contracts", "contracts"))
 def b3(s, d):
     return pr.summary_prompts(fx.contracts(s, d))
 
@@ -514,7 +530,7 @@ def _stub(prompts):
 
 @query("b4_score_prompts", q.build(f"""
 SELECT doc_id, CASE WHEN length(p) % 2 = 1 THEN CAST(length(p) AS VARCHAR) END AS response, CASE WHEN length(p) % 2 = 0 THEN 'even' END AS error
-FROM (SELECT doc_id, {_prompt_sql(pr.SUMMARY_TEMPLATE, passage='text[1:4000]')} AS p FROM contracts)""", "contracts"))
+FROM (SELECT doc_id, {_prompt_sql(pr.SUMMARY_TEMPLATE, passage='text')} AS p FROM contracts)""", "contracts"))
 def b4(s, d):
     return pr.score_prompts(pr.summary_prompts(fx.contracts(s, d)), _stub)
 
@@ -681,7 +697,7 @@ _V = lambda x: _VIEW.format(x, q.text(pf._VIEWER_WS))
 _LINKS = f"""SELECT DISTINCT h.doc_id, h.chunk_index, c.clause_id, c.risk_level FROM
   (SELECT *, {_V('chunk_text')} AS a FROM pchunks) h
   JOIN (SELECT *, doc_id || ':' || chunk_index || ':' || rule_id AS clause_id, {_V('clause_text')} AS b FROM pclauses) c ON h.doc_id = c.doc_id
-  WHERE contains(a, b[1:45]) OR contains(b, a[1:45])"""
+  WHERE contains(a, b) OR contains(b, a)"""
 
 
 def _links(s, d):

@@ -140,11 +140,11 @@ def clean(x: str) -> str:
     return strip(f"regexp_replace({joined}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
-def _first_n(matches: str, n: int) -> str:
-    """Trimmed, distinct in order, the first n, joined."""
+def _distinct(matches: str) -> str:
+    """Trimmed, distinct in order, joined."""
     t = f"list_transform({matches}, lambda m: {strip('m')})"
     d = f"list_filter({t}, lambda m, i: list_position({t}, m) = i)"
-    return f"array_to_string(({d})[1:{n}], '|')"
+    return f"array_to_string({d}, '|')"
 
 
 def _title(x: str) -> str:
@@ -164,7 +164,7 @@ def _name(side: str) -> str:
     lead = text(re2(fv.LEADING_NAME, ignore_case=False))
     return (f"CASE WHEN regexp_matches({side}, {lead}) THEN "
             f"rtrim({strip(f'regexp_extract({side}, {lead}, 1)')}, ',') ELSE "
-            f"rtrim(array_to_string(({words(side)})[1:8], ' '), ',') END")
+            f"rtrim(array_to_string({words(side)}, ' '), ',') END")
 
 
 def _party(side: str) -> str:
@@ -188,10 +188,10 @@ def entities(x: str) -> dict[str, str]:
                      "lambda p: p IS NOT NULL), '|')")
     return {
         "parties": f"coalesce(nullif(CASE WHEN regexp_matches({x}, {block}) THEN {block_parties} END, ''), {offer})",
-        "effective_dates": _first_n(dates, fv.MAX_DATES),
+        "effective_dates": _distinct(dates),
         "governing_law": _place(x, fv.GOVERNING_LAW_PATTERNS),
         "jurisdiction": _place(x, fv.JURISDICTION_PATTERNS),
-        "monetary_amounts": _first_n(f"regexp_extract_all({x}, {text(re2(fv.AMOUNT_PATTERN))})", fv.MAX_AMOUNTS),
+        "monetary_amounts": _distinct(f"regexp_extract_all({x}, {text(re2(fv.AMOUNT_PATTERN))})"),
     }
 
 
@@ -361,7 +361,7 @@ def snippet(hits: str, sentenced: str, rules: str = "rules") -> str:
     hit = _by_definition(
         lambda b, closed: f"regexp_matches(s, {text(f'(?i){START}(?:{b})' + (END if closed else ''))})")
     return f"""
-SELECT *, CASE WHEN {strip('chunk_text')} = '' THEN '' WHEN len(sents) = 0 THEN {strip('chunk_text[1:250]')}
+SELECT *, CASE WHEN {strip('chunk_text')} = '' THEN '' WHEN len(sents) = 0 THEN {strip('chunk_text')}
   WHEN len(sents) = 1 THEN sents[1]
   WHEN top = 0 THEN CASE WHEN {wc('sents[1]')} < 25 THEN sents[1] || ' ' || sents[2] ELSE sents[1] END
   WHEN b < len(sents) AND (scores[b + 1] > 0 OR ends_with(sents[b], ':')) AND {wc('sents[b]')} + {wc('sents[b + 1]')} <= 65

@@ -134,14 +134,11 @@ JURISDICTION_PATTERNS = (
     r"subject to the jurisdiction of ([A-Za-z\s]{3,40})",
 )
 
-_SHORT_MONTHS = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
-_LONG_MONTHS = (
-    "January|February|March|April|May|June|July|August|September|October|November|December"
-)
 DATE_PATTERNS = (
-    rf"(?:{_LONG_MONTHS})\s+\d{{1,2}},?\s+\d{{4}}",
-    rf"\d{{1,2}}(?:st|nd|rd|th)?\s+(?:day of\s+)?(?:{_SHORT_MONTHS}|{_LONG_MONTHS})[,\s]+\d{{4}}",
-    rf"\d{{1,2}}[-/](?:{_SHORT_MONTHS})[-/]\d{{4}}",
+    r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}",
+    r"\d{1,2}(?:st|nd|rd|th)?\s+(?:day of\s+)?(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+    r"|January|February|March|April|May|June|July|August|September|October|November|December)[,\s]+\d{4}",
+    r"\d{1,2}[-/](?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[-/]\d{4}",
     r"\b\d{1,2}[-/]\d{1,2}[-/]\d{4}\b",
 )
 
@@ -150,6 +147,7 @@ PARTY_BLOCK = (  # dot matches newlines
     r"(?:\n\s*\n\s*(?:WHEREAS|NOW THIS|NOW,? THEREFORE|IN WITNESS)"
     r"|WHEREAS|NOW THIS|NOW,? THEREFORE|IN WITNESS)"
 )
+PARTY_BLOCK_END = r"WHEREAS|NOW THIS|NOW,? THEREFORE|IN WITNESS"  # the words that close a party block
 DEFINED_TERM = (
     r"(?:hereinafter\s+(?:called|referred to as)|hereinafter)\s+(?:the\s+)?"
     r"[\"']?([A-Za-z][A-Za-z\s/]{2,40}?)[\"']?[\.\)]"
@@ -437,6 +435,7 @@ CURATED_ADVICE = (
     ("intellectual property", "Ensure IP assignment applies strictly to work product created during working hours using employer equipment."),
 )
 GENERIC_ADVICE = "Review this %s clause carefully with your legal counsel before signing."
+NO_DESCRIPTION = "No description provided."
 GENERIC_EXPLANATION = "Flagged risky clause under category %s."
 GENERIC_SUMMARY = "Summary of %s: Legal agreement containing %d clause sections."
 

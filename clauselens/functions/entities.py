@@ -10,23 +10,20 @@ from clauselens.functions.patterns import WS, all_matches, first_group, java_reg
 from clauselens.functions.text import strip, words
 
 
-# The words that close a party block.
-_CLOSING = fv.PARTY_BLOCK[fv.PARTY_BLOCK.rindex("WHEREAS|"):-1]
+def _distinct(matches: Column, most: int | None) -> Column:
+    found = F.array_distinct(F.transform(matches, strip))
+    return found if most is None else F.slice(found, 1, most)
 
 
-def _first_distinct(matches: Column, n: int) -> Column:
-    return F.slice(F.array_distinct(F.transform(matches, strip)), 1, n)
+def amounts(col: Column, most: int | None = None) -> Column:
+    """All different amounts, or the first ``most``."""
+    return _distinct(all_matches(col, java_regex(fv.AMOUNT_PATTERN)), most)
 
 
-def amounts(col: Column) -> Column:
-    """E1."""
-    return _first_distinct(all_matches(col, java_regex(fv.AMOUNT_PATTERN)), fv.MAX_AMOUNTS)
-
-
-def dates(col: Column) -> Column:
-    """All hits of the first pattern, then of the second, and so on."""
+def dates(col: Column, most: int | None = None) -> Column:
+    """All hits of the first pattern, then of the second, and so on, or the first ``most``."""
     hits = F.concat(*[all_matches(col, java_regex(p)) for p in fv.DATE_PATTERNS])
-    return _first_distinct(hits, fv.MAX_DATES)
+    return _distinct(hits, most)
 
 
 def _title(col: Column) -> Column:
@@ -53,21 +50,22 @@ def jurisdiction(col: Column) -> Column:
     return _first_place(col, fv.JURISDICTION_PATTERNS)
 
 
-def _party_name(side: Column) -> Column:
+def _party_name(side: Column, most_words: int | None) -> Column:
     side = strip(side)
     leading = strip(first_group(side, java_regex(fv.LEADING_NAME, ignore_case=False), 1))
-    first_words = F.array_join(F.slice(words(side), 1, fv.PARTY_NAME_WORDS), " ")
+    named = words(side) if most_words is None else F.slice(words(side), 1, most_words)
+    first_words = F.array_join(named, " ")
     return F.rtrim(F.coalesce(leading, first_words), F.lit(","))
 
 
-def _party(side: Column) -> Column:
-    name = _party_name(side)
+def _party(side: Column, most_words: int | None) -> Column:
+    name = _party_name(side, most_words)
     term = strip(first_group(side, java_regex(fv.DEFINED_TERM), 1))
     labelled = F.when(term.isNotNull(), F.concat(name, F.lit(" ("), term, F.lit(")")))
     return F.when(name != "", F.coalesce(labelled, name))
 
 
-def block_parties(col: Column) -> Column:
+def block_parties(col: Column, most_words: int | None = None) -> Column:
     """E5: parties named in a "between X and Y" block; null when there is none.
 
     The text is cut after its last closing word first.  A block that starts can
@@ -75,12 +73,12 @@ def block_parties(col: Column) -> Column:
     would take time that grows with the square of the text.
     """
     regex = java_regex(fv.PARTY_BLOCK, dot_all=True)
-    until_last = F.regexp_extract(col, java_regex(f"^.*(?:{_CLOSING})", dot_all=True), 0)
+    until_last = F.regexp_extract(col, java_regex(f"^.*(?:{fv.PARTY_BLOCK_END})", dot_all=True), 0)
     cut = F.when(F.contains(F.lower(col), F.lit("between")), until_last)
     first = F.regexp_extract(cut, regex, 1)
     sides = F.when(first != "", F.array(first, F.regexp_extract(cut, regex, 2)))
     none = F.array().cast("array<string>")
-    return F.nullif(F.array_compact(F.transform(sides, _party)), none)
+    return F.nullif(F.array_compact(F.transform(sides, lambda side: _party(side, most_words))), none)
 
 
 def offer_parties(col: Column) -> Column:
@@ -95,19 +93,21 @@ def offer_parties(col: Column) -> Column:
     ))
 
 
-def parties(col: Column) -> Column:
-    return F.coalesce(block_parties(col), offer_parties(col))
+def parties(col: Column, most_words: int | None = None) -> Column:
+    return F.coalesce(block_parties(col, most_words), offer_parties(col))
 
 
-def key_entities(col: Column) -> Column:
-    """The entity struct of a report."""
+def key_entities(
+    col: Column, most_amounts: int | None = None, most_dates: int | None = None, most_name_words: int | None = None,
+) -> Column:
+    """The entity struct of a report; nothing is cut unless a limit is given."""
     text = F.coalesce(col, F.lit(""))
     return F.struct(
-        parties(text).alias("parties"),
-        dates(text).alias("effective_dates"),
+        parties(text, most_name_words).alias("parties"),
+        dates(text, most_dates).alias("effective_dates"),
         governing_law(text).alias("governing_law"),
         jurisdiction(text).alias("jurisdiction"),
-        amounts(text).alias("monetary_amounts"),
+        amounts(text, most_amounts).alias("monetary_amounts"),
     )
 
 

@@ -35,25 +35,21 @@ def chunk(
     size: int = fv.CHUNK_WORDS,
     overlap: int = fv.CHUNK_OVERLAP_WORDS,
     single_page: bool = False,
+    order: str = "page_number",
 ) -> DataFrame:
     """Chunks of pages (doc_id, page_number, text).
 
-    ``chunk_index`` runs across the pages of a document.  With ``single_page``
-    (one row per document) it is the position on the page and nothing is
-    shuffled.  Otherwise each page is joined with its offset on (document,
-    page), so a document of very many pages spreads over the cluster.
+    ``chunk_index`` runs across the pages of a document in the order of the
+    numeric column ``order``, null first and equal ones by text.  With
+    ``single_page`` (one row per document) it is the position on the page and
+    nothing is shuffled.  Otherwise pages are shuffled once by document and
+    block of pages, so a document of very many pages spreads over the cluster.
     """
     stride = max(size - overlap, 1)
     if single_page:
         placed = pages.withColumn("_offset", F.lit(0))
     else:
-        counts = pages.select(
-            "doc_id", "page_number", _window_count(F.col("text"), size, stride))
-        offsets = page_offsets(counts).withColumnsRenamed({"doc_id": "_d", "page_number": "_p"})
-        placed = pages.join(
-            offsets,
-            (F.col("doc_id") == F.col("_d")) & F.col("page_number").eqNullSafe(F.col("_p")),
-        )
+        placed = _with_offsets(pages, size, stride, order)
     return (
         placed.select("doc_id", "page_number", "_offset", strip(F.col("text")).alias("_page"))
         .withColumn("_tokens", words(F.coalesce(F.col("_page"), F.lit(""))))
@@ -82,30 +78,34 @@ def _window_count(text: Column, size: int, stride: int) -> Column:
     )
 
 
-def page_offsets(counts: DataFrame) -> DataFrame:
-    """Exclusive running sum of ``_count`` over the pages of each document.
+def _with_offsets(pages: DataFrame, size: int, stride: int, order: str) -> DataFrame:
+    """Adds ``_offset``, the windows of all earlier pages of the document.
 
-    Pages with a null number come first.  (doc_id, page_number) must be unique.
-    The sum has two levels, so that no task holds more than PAGE_BLOCK pages of
-    one document at the lower level and one row per block at the upper.
+    Every page row gets its own running sum, whatever its number.  The sum has
+    two levels, so that no task holds more than PAGE_BLOCK pages of one document
+    at the lower level (or those without a number) and one row per block at the
+    upper.
     """
-    block = F.floor(F.coalesce(F.col("page_number"), F.lit(-1)) / PAGE_BLOCK)
+    block = F.floor(F.coalesce(F.col(order), F.lit(-1)) / PAGE_BLOCK)
+    blocked = pages.select(
+        "doc_id", "page_number", "text", F.col(order).alias("_order"), block.alias("_block"),
+        _window_count(F.col("text"), size, stride))
     in_block = (
-        Window.partitionBy("doc_id", "_block").orderBy(F.asc_nulls_first("page_number"))
+        Window.partitionBy("doc_id", "_block")
+        .orderBy(F.asc_nulls_first("_order"), F.asc_nulls_first("text"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     before_block = (
         Window.partitionBy("_d").orderBy("_b")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    blocked = counts.withColumn("_block", block)
     totals = (
         blocked.groupBy(F.col("doc_id").alias("_d"), F.col("_block").alias("_b"))
         .agg(F.sum("_count").alias("_total"))
-        .withColumn("_before", F.sum("_total").over(before_block) - F.col("_total"))
+        .select("_d", "_b", (F.sum("_total").over(before_block) - F.col("_total")).alias("_before"))
     )
     return (
         blocked.withColumn("_within", F.sum("_count").over(in_block) - F.col("_count"))
-        .join(totals, (F.col("doc_id") == F.col("_d")) & (F.col("_block") == F.col("_b")))
-        .select("doc_id", "page_number", (F.col("_before") + F.col("_within")).alias("_offset"))
+        .join(totals, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_block") == F.col("_b")))
+        .withColumn("_offset", F.col("_before") + F.col("_within"))
     )

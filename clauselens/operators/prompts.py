@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from clauselens import fixed_values as fv
 from clauselens.functions.text import clip, strip
-from clauselens.operators.matching import unfence
+from clauselens.operators.matching import strict_json, unfence
 
 CLASSIFY_TEMPLATE = (
     "Below is a list of risk categories and one passage of a contract. Answer with a JSON "
@@ -41,7 +41,13 @@ def _fill(template: str, **parts: Column) -> Column:
     return F.concat(*pieces, F.lit(rest))
 
 
-def classify_prompts(chunks: DataFrame, rules: DataFrame, template: str = CLASSIFY_TEMPLATE) -> DataFrame:
+def _passage(col: Column, most_chars: int | None) -> Column:
+    return col if most_chars is None else clip(col, most_chars)
+
+
+def classify_prompts(
+    chunks: DataFrame, rules: DataFrame, template: str = CLASSIFY_TEMPLATE, most_chars: int | None = None,
+) -> DataFrame:
     """B1: one prompt per candidate chunk, listing the active rules.
 
     The list is one aggregated value of the (configuration-sized) rules table,
@@ -49,7 +55,7 @@ def classify_prompts(chunks: DataFrame, rules: DataFrame, template: str = CLASSI
     """
     line = F.concat(
         F.lit("- "), F.col("category"), F.lit(": "),
-        F.coalesce(F.nullif("description", F.lit("")), F.lit("No description provided.")))
+        F.coalesce(F.nullif("description", F.lit("")), F.lit(fv.NO_DESCRIPTION)))
     listed = rules.filter("is_active").agg(
         F.array_join(
             F.transform(
@@ -63,26 +69,29 @@ def classify_prompts(chunks: DataFrame, rules: DataFrame, template: str = CLASSI
             "doc_id", "chunk_index",
             _fill(
                 template, categories=F.col("_listed"),
-                passage=clip(F.col("chunk_text"), fv.CLASSIFY_PROMPT_CHARS)).alias("prompt"))
+                passage=_passage(F.col("chunk_text"), most_chars)).alias("prompt"))
     )
 
 
-def advice_prompts(clauses: DataFrame, template: str = ADVICE_TEMPLATE) -> DataFrame:
-    """B2: one prompt per document from its first six clauses.
+def advice_prompts(
+    clauses: DataFrame, template: str = ADVICE_TEMPLATE, most_clauses: int | None = None,
+    most_chars: int | None = None,
+) -> DataFrame:
+    """B2: one prompt per document from all its clauses, or the first ``most_clauses``.
 
-    The rank filter keeps at most six rows per document and task before the
-    shuffle, so the collected array is bounded.
+    A prompt is one text for one model call, so its clauses meet in one row.
     """
     order = Window.partitionBy("doc_id").orderBy("chunk_index", "rule_id")
     excerpt = strip(F.replace(
-        clip(F.col("clause_text"), fv.ADVICE_PROMPT_CHARS), F.lit("\n"), F.lit(" ")))
+        _passage(F.col("clause_text"), most_chars), F.lit("\n"), F.lit(" ")))
     line = F.concat(
         F.lit('- Category: "'), F.col("category"), F.lit('" | Excerpt: "'), excerpt, F.lit('"'))
     first = (
         clauses.select("doc_id", "chunk_index", "rule_id", line.alias("line"))
         .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= fv.ADVICE_PROMPT_CLAUSES)
     )
+    if most_clauses is not None:
+        first = first.filter(F.col("_rank") <= most_clauses)
     return first.groupBy("doc_id").agg(
         _fill(
             template,
@@ -92,11 +101,11 @@ def advice_prompts(clauses: DataFrame, template: str = ADVICE_TEMPLATE) -> DataF
                 "\n")).alias("prompt"))
 
 
-def summary_prompts(docs: DataFrame, template: str = SUMMARY_TEMPLATE) -> DataFrame:
-    """One prompt per document from the start of its text."""
+def summary_prompts(docs: DataFrame, template: str = SUMMARY_TEMPLATE, most_chars: int | None = None) -> DataFrame:
+    """One prompt per document from its text, or the start of it."""
     return docs.select(
         "doc_id",
-        _fill(template, passage=clip(F.col("text"), fv.SUMMARY_PROMPT_CHARS)).alias("prompt"))
+        _fill(template, passage=_passage(F.col("text"), most_chars)).alias("prompt"))
 
 
 def score_prompts(prompts: DataFrame, fn: Callable[[pd.Series], pd.Series]) -> DataFrame:
@@ -134,9 +143,8 @@ def drop_thinking(raw: Column) -> Column:
 
 
 def parse_advice_text(raw: Column) -> Column:
-    """Map of category to advice, or null when the text is no JSON object."""
-    body = unfence(raw)
-    return F.when(F.startswith(body, F.lit("{")), F.from_json(body, "map<string,string>"))
+    """Map of category to advice, or null when the text is no JSON object of texts."""
+    return strict_json(unfence(raw), "{", "map<string,string>")
 
 
 def parse_advice(responses: DataFrame) -> DataFrame:

@@ -233,9 +233,9 @@ def _viewer_form(col: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), _VIEWER_WS, " ")
 
 
-def link_chunks(chunks: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Q17: (doc_id, chunk_index, clause_id) when one holds the start of the other."""
-    start = lambda c: F.substring(c, 1, fv.LINK_PREFIX_CHARS)
+def link_chunks(chunks: DataFrame, clauses: DataFrame, prefix_chars: int | None = None) -> DataFrame:
+    """Q17: (doc_id, chunk_index, clause_id) when one holds the other, or the first ``prefix_chars`` of it."""
+    start = lambda c: c if prefix_chars is None else F.substring(c, 1, prefix_chars)
     ch = chunks.filter("chunk_text != ''").select(
         "doc_id", "chunk_index", _viewer_form(F.col("chunk_text")).alias("text"))
     cl = clauses.select("doc_id", "clause_id", _viewer_form(F.col("clause_text")).alias("text"))

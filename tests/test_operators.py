@@ -11,6 +11,7 @@ from clauselens.functions import text as tx
 from clauselens.functions.entities import key_entities
 from clauselens.operators import clauses as cl
 from clauselens.operators import matching as ma
+from clauselens.operators import prompts as pr
 from clauselens.operators import rules as ru
 from clauselens.operators import scoring as sc
 from clauselens.operators import vectors as ve
@@ -146,11 +147,11 @@ def test_snippet(spark):
 
 
 COLLAPSE = [
-    ("Indemnity", 2, "Tenant shall indemnify landlord against lease damages.", .88),
-    ("Indemnity", 2, "Tenant shall indemnify landlord against lease damages.", .88),
-    ("Indemnity", 4, "Employee agrees to indemnify the company against third-party IP claims.", .95),
-    ("Indemnity", 5, "Mutual indemnification applies in case of gross negligence.", .78),
-    ("Arbitration", 6, "All disputes shall be referred to arbitration in Delhi.", .88)]
+    ("Indemnity", 2, "The lessee covers every loss that its guests cause in the flat.", .88),
+    ("Indemnity", 2, "The lessee covers every loss that its guests cause in the flat.", .88),
+    ("Indemnity", 4, "A contractor pays the firm back for patent suits brought by strangers.", .95),
+    ("Indemnity", 5, "Both sides hold each other free of harm from reckless acts.", .78),
+    ("Arbitration", 6, "A panel of three seated in Pune decides any quarrel for good.", .88)]
 
 
 def test_collapse_keeps_distinct_pages(spark):
@@ -195,16 +196,29 @@ def test_collapse_against_brute_force(spark, seed):
              for _ in range(120)]
     df = clause_rows(spark, items)
     folded = cl.collapse_clauses(df)
-    keys = ["doc_id", "_category"]
-    streamed = cl._fold_streamed(df.withColumn("_category", F.lower("category")).repartition(*keys), keys)
-    for out in (folded, streamed):
-        assert sorted(repr((r["page_number"], r["clause_text"], r["confidence_score"])) for r in out.collect()) == greedy(items)
+    assert sorted(repr((r["page_number"], r["clause_text"], r["confidence_score"])) for r in folded.collect()) == greedy(items)
+    plan = folded._jdf.queryExecution().toString()
+    assert "Python" not in plan and "MapInPandas" not in plan
 
 
-def test_collapse_of_a_big_group_uses_the_streamed_fold(spark, monkeypatch):
-    monkeypatch.setattr(cl, "FOLD_LIMIT", 3)
-    got = cl.collapse_clauses(clause_rows(spark, COLLAPSE * 2))
-    assert got.count() == 4
+@pytest.mark.parametrize("text", [
+    '["Indemnity"] Hope this helps', "['Indemnity']", '["Indemnity"] ["Arbitration"]', '{"Indemnity":"x"} trailing',
+    "{'Indemnity':'x'}", '["a"], "w": ["b"]', '["a"', "", None])
+def test_text_that_is_not_json_gives_nothing(spark, text):
+    assert value(spark, text, ma.parse_label_array) is None
+    assert value(spark, text, pr.parse_advice_text) is None
+
+
+def test_json_answers_are_read(spark):
+    assert value(spark, '```json\n["Indemnity", "Nope"]\n```', ma.parse_label_array) == ["Indemnity", "Nope"]
+    assert value(spark, ' {"Indemnity": "Cap it."} ', pr.parse_advice_text) == {"Indemnity": "Cap it."}
+
+
+def test_pages_with_null_and_repeated_numbers(spark):
+    rows = [(1, None, "a b"), (1, None, "c d"), (1, 1, "e f"), (1, 1, "g h"), (1, 1, "g h"), (1, 2001, "i"), (1, None, None)]
+    got = chunk(spark.createDataFrame(rows, "doc_id long, page_number int, text string")).collect()
+    assert sorted((r.chunk_index, r.chunk_text) for r in got) == [
+        (0, "a b"), (1, "c d"), (2, "e f"), (3, "g h"), (4, "g h"), (5, "i")]
 
 
 @pytest.mark.parametrize("clauses, level, score", [
@@ -225,7 +239,7 @@ def test_entities(spark):
 
 
 def test_clean_text(spark):
-    got = value(spark, "a\n\n\n\nb\n01O98327498273498237\nPay %500 on the 10\" day\nee Mrs. Rao\n", tx.clean_text)
+    got = value(spark, "a\n\n\n\nb\n04Q55120987765401239\nPay %500 on the 10\" day\nee Mrs. Rao\n", tx.clean_text)
     assert got == "a\n\nb\nPay ₹500 on the 10th day\nMrs. Rao"
     assert value(spark, None, tx.clean_text) == ""
 
@@ -288,7 +302,7 @@ def test_failures_are_data(spark):
 
 
 def test_collapse_reads_one_exchange(spark):
-    """Both folds share the shuffle, so matching runs once."""
+    """One shuffle of the clauses, by document and category, and matching runs once."""
     from clauselens.catalogue import fixtures as fx
 
     chunks = chunk(fx.contracts(spark, "/root/testdata/sf0.001"), single_page=True)
@@ -296,7 +310,9 @@ def test_collapse_reads_one_exchange(spark):
     df.collect()
     formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     plan = df._jdf.queryExecution().explainString(formatted)
-    assert "ReusedExchange" in plan[:plan.index("== Initial Plan ==")]
+    final = plan[:plan.index("== Initial Plan ==")]
+    shuffles = [x for x in final.split("\n") if x.startswith("Arguments: hashpartitioning(") and "_category" in x]
+    assert len(shuffles) == 1 and final.count("Scan parquet") <= 2  # once in the tree, once in the list
 
 
 def test_matching_plan_is_narrow(spark):
