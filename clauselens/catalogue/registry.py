@@ -549,9 +549,9 @@ def b5(s, d):
 
 @query("q1_documents_of", q.build(
     f"SELECT user_id, doc_id, original_filename, status, {STAMP.format('uploaded_at')} AS uploaded_at FROM uploads "
-    "WHERE user_id IN (SELECT user_id FROM users WHERE is_active)", "uploads", "users"))
+    "WHERE user_id IN (SELECT user_id FROM users)", "uploads", "users"))
 def q1(s, d):
-    return pf.documents_of(fx.uploads(s, d), fx.users(s, d).filter("is_active")).select(
+    return pf.documents_of(fx.uploads(s, d), fx.users(s, d)).select(
         "user_id", "doc_id", "original_filename", "status", _stamp("uploaded_at").alias("uploaded_at"))
 
 
@@ -855,9 +855,19 @@ def v1_filtered(s, d):
         "query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query("v2_approx_topk")
+@query("v2_approx_topk", f"""
+SELECT query_id, vec_id, distance, true AS recalled FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM ({_TOP.format(_CENTROIDS, "true")})) WHERE r = 1""")
 def v2(s, d):
-    return ve.approx_topk(fx.table(s, d, "embeddings"), _centroids(s, d), 10)
+    """The nearest vector of every query, and whether 9 of the 10 true nearest ones were found."""
+    vectors, queries = fx.table(s, d, "embeddings"), tables.materialise(_centroids(s, d), "centroids")
+    found = tables.materialise(ve.approx_topk(vectors, queries, 10, tables=32, bits=3), "approx")
+    exact = ve.cosine_topk(vectors, queries, 10).select("query_id", "vec_id")
+    recall = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left") \
+        .groupBy("query_id").agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled"))
+    nearest = found.groupBy("query_id").agg(F.min(F.struct("distance", "vec_id")).alias("n"))
+    return nearest.join(recall, "query_id").select(
+        "query_id", "n.vec_id", F.round("n.distance", 6).alias("distance"), "recalled")
 
 
 # --- locating clauses (L) --------------------------------------------------
@@ -900,9 +910,15 @@ def l4(s, d):
 
 @query("x1_stream_analysis", q.build(_REPORT_SQL.format("preports"), "preports"))
 def x1(s, d):
+    """Odd and even turns of the conversations arrive in two batches, the second one twice."""
     base = f"{checkpoint_dir(s)}/x1-{uuid.uuid4().hex}"
-    source = s.readStream.schema(fx.table(s, d, "conversations").schema).parquet(f"{d}/conversations*.parquet")
-    inc.stream_analysis(fx.as_contract_pages(source), fx.rules(s), f"{base}/out", f"{base}/state", buckets=8).awaitTermination()
+    turns = fx.table(s, d, "conversations")
+    source = s.readStream.schema(turns.schema).parquet(f"{base}/in/*")
+    for part in ("first", "second", "again"):
+        rest = 0 if part == "first" else 1
+        turns.filter(F.col("turn") % 2 == rest).write.parquet(f"{base}/in/{part}")
+        inc.stream_analysis(fx.as_contract_pages(source), fx.rules(s), f"{base}/out", f"{base}/state", buckets=8) \
+            .awaitTermination()
     return s.read.parquet(f"{base}/out/analysis_reports").select(*_REPORT)
 
 

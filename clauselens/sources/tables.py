@@ -11,8 +11,6 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from clauselens import schemas
 from clauselens.session import checkpoint_dir
 
-# Chunks per nested report row; longer documents go on in further rows.
-CHUNKS_PER_PART = 1000
 BUCKETS = 256
 
 
@@ -90,23 +88,27 @@ _NESTED = (
 )
 
 
-def nest_clauses(clauses: DataFrame) -> DataFrame:
-    """(doc_id, part, risk_clauses): clause arrays in chunk order.
+def nest_clauses(clauses: DataFrame, chunks_per_part: int | None = None) -> DataFrame:
+    """(doc_id, part, risk_clauses): clause arrays in chunk order, one row per document.
 
-    A part covers CHUNKS_PER_PART chunks, so an array is bounded; a document
-    shorter than that has part 0 alone.
+    With ``chunks_per_part`` a document's clauses go on in a further row (part)
+    after so many chunks.
     """
     fields = [c for c in _NESTED if c in clauses.columns]
     return (
-        clauses.withColumn("part", F.floor(F.col("chunk_index") / CHUNKS_PER_PART).cast("int"))
+        clauses.withColumn("part", _part(chunks_per_part))
         .groupBy("doc_id", "part")
         .agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("risk_clauses"))
     )
 
 
-def export_reports(reports: DataFrame, clauses: DataFrame) -> DataFrame:
+def _part(chunks: int | None):
+    return F.lit(0) if chunks is None else F.floor(F.col("chunk_index") / chunks).cast("int")
+
+
+def export_reports(reports: DataFrame, clauses: DataFrame, chunks_per_part: int | None = None) -> DataFrame:
     """Reports with their clauses nested; no clause gives an empty array."""
-    nested = nest_clauses(clauses)
+    nested = nest_clauses(clauses, chunks_per_part)
     kind = nested.schema["risk_clauses"].dataType.simpleString()
     return (
         reports.join(nested, "doc_id", "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -48,12 +48,24 @@ def stream_analysis(
 ) -> StreamingQuery:
     """Analyses what has arrived and stops.
 
-    A batch that is replayed after a failure replaces its own results, so every
-    document counts once.  All pages of a document have to arrive together.
+    Arriving pages are stored first, in a partition of their batch; then every
+    document that the batch touches is analysed from all its stored pages, so
+    pages of one document may come in any number of batches.  Of a page number
+    that arrives again, the newest batch counts.  A replayed batch overwrites
+    its own partition and its documents' results.
     """
 
-    def run(batch: DataFrame, _: int) -> None:
-        store_analysis(batch, rules, out, single_page, buckets)
+    def run(batch: DataFrame, number: int) -> None:
+        spark, pages = batch.sparkSession, f"{out}/arrived_pages"
+        batch.write.mode("overwrite").parquet(f"{pages}/batch={number}")
+        stored = spark.read.option("basePath", pages).parquet(f"{pages}/batch=*")
+        touched = stored.filter(F.col("batch") == number).select("doc_id").distinct()
+        newest = Window.partitionBy("doc_id", "page_number").orderBy(F.desc("batch"))
+        current = (
+            stored.join(touched, "doc_id", "left_semi").withColumn("_age", F.rank().over(newest))
+            .filter("_age = 1").select(*batch.columns)
+        )
+        store_analysis(materialise(current, "touched-pages"), rules, out, single_page, buckets)
 
     return (
         stream.writeStream.foreachBatch(run)

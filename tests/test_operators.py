@@ -117,12 +117,16 @@ def test_match_by_join_agrees(spark):
     texts = ["hold harmless the tenant", "pay rent in paris", "the premises; vacate them", "a\tb c", "parental leave", "É rent"]
     chunks = chunk(spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], PAGE), single_page=True)
     extra = [(50, "Renting", "Low", 0.1, 1.0, "", "rent, a", True), (51, "b c", "Low", 0.1, 1.0, "", None, True),
-             (52, "Off", "Low", 0.1, 1.0, "", "the", False), (53, "X", "Low", 0.1, 1.0, "", "in paris,paris", True)]
+             (52, "Off", "Low", 0.1, 1.0, "", "the", False), (53, "X", "Low", 0.1, 1.0, "", "in paris,paris", True),
+             (54, None, "Low", 0.1, 1.0, "", None, True), (55, "", "Low", 0.1, 1.0, "", " , ", True),
+             (56, "Y", "Low", 0.1, 1.0, "", "(,p,.", True), (57, None, "Low", 0.1, 1.0, None, "rent", True)]
     rules = ru.default_rules(spark).unionByName(spark.createDataFrame(extra, ru.default_rules(spark).schema))
     cols = ["doc_id", "rule_id", "evidence"]
-    one = {tuple(r) for r in ma.match_rules(chunks, rules).select(*cols).collect()}
-    two = {tuple(r) for r in ma.match_rules_by_join(chunks, rules).select(*cols).collect()}
-    assert one == two and one
+    compiled, joined = ma.match_rules(chunks, rules), ma.match_rules_by_join(chunks, rules)
+    assert compiled.schema["rule_id"].dataType == joined.schema["rule_id"].dataType
+    one = {tuple(r) for r in compiled.select(*cols).collect()}
+    two = {tuple(r) for r in joined.select(*cols).collect()}
+    assert one == two and len({r for r in one if r[1] == 54}) == len(texts)
 
 
 @pytest.mark.parametrize("evidence, confirmed, expected", [
@@ -340,12 +344,13 @@ def test_health_reset_and_seeds(spark, tmp_path):
     assert pf.rollup_checks(checks).first()["overall_status"] == "SYSTEM_DEGRADED"
 
 
-def test_nested_parts_are_bounded_and_whole(spark, monkeypatch):
-    monkeypatch.setattr(tables, "CHUNKS_PER_PART", 2)
+def test_nested_parts_are_whole(spark):
     reports = spark.createDataFrame([(1, "High"), (2, "Low")], "doc_id long, overall_risk string")
-    rows = tables.export_reports(reports, clause_rows(spark, COLLAPSE)).collect()
+    rows = tables.export_reports(reports, clause_rows(spark, COLLAPSE), chunks_per_part=2).collect()
     assert sorted((r["doc_id"], r["part"], len(r["risk_clauses"])) for r in rows) == [(1, 0, 2), (1, 1, 2), (1, 2, 1), (2, 0, 0)]
-    assert tables.report_json(tables.export_reports(reports, clause_rows(spark, COLLAPSE))).count() == 4
+    whole = tables.export_reports(reports, clause_rows(spark, COLLAPSE))
+    assert sorted((r["doc_id"], r["part"], len(r["risk_clauses"])) for r in whole.collect()) == [(1, 0, 5), (2, 0, 0)]
+    assert tables.report_json(whole).count() == 2
 
 
 @pytest.mark.parametrize("text, expected", [
