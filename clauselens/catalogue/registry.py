@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clauselens import fixed_values as fv
@@ -99,6 +99,15 @@ _REPORT_SQL = "SELECT {} FROM {{}}".format(", ".join(_REPORT))
 # --- sources (S) -----------------------------------------------------------
 
 
+@query("s1_load", q.build("SELECT rule_id, category, default_risk_level, keywords, is_active FROM tenant_rules", "tenant_rules"))
+def s1(s, d):
+    """A stored table, read back with its declared schema."""
+    base = f"{checkpoint_dir(s)}/s1-{uuid.uuid4().hex}"
+    fx.tenant_rules(s, d).write.parquet(f"{base}/risk_rules_config")
+    return tables.load(s, base, "risk_rules_config").select(
+        "rule_id", "category", "default_risk_level", "keywords", "is_active")
+
+
 @query("s3_ingest_gate", q.build("""
 SELECT doc_id, CASE WHEN contains(original_filename, '.') THEN upper(string_split(original_filename, '.')[-1]) ELSE '' END AS file_type,
   CASE WHEN doc_id % 4 = 3 THEN 'unsupported format' WHEN file_size_bytes > 52428800 THEN 'too large'
@@ -547,12 +556,19 @@ def b5(s, d):
 # --- relational queries (Q) ------------------------------------------------
 
 
+def _places(df, group):
+    """Adds ``place``, the number of a row among its group's in the order in which the rows come."""
+    came = df.withColumn("_came", F.monotonically_increasing_id())
+    return came.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("_came"))).drop("_came")
+
+
 @query("q1_documents_of", q.build(
-    f"SELECT user_id, doc_id, original_filename, status, {STAMP.format('uploaded_at')} AS uploaded_at FROM uploads "
+    f"SELECT user_id, doc_id, original_filename, status, {STAMP.format('uploaded_at')} AS uploaded_at, "
+    "row_number() OVER (PARTITION BY user_id ORDER BY uploads.uploaded_at DESC, doc_id) AS place FROM uploads "
     "WHERE user_id IN (SELECT user_id FROM users)", "uploads", "users"))
 def q1(s, d):
-    return pf.documents_of(fx.uploads(s, d), fx.users(s, d)).select(
-        "user_id", "doc_id", "original_filename", "status", _stamp("uploaded_at").alias("uploaded_at"))
+    return _places(pf.documents_of(fx.uploads(s, d), fx.users(s, d)), "user_id").select(
+        "user_id", "doc_id", "original_filename", "status", _stamp("uploaded_at").alias("uploaded_at"), "place")
 
 
 @query("q2_guarded", q.build("""
@@ -565,9 +581,10 @@ def q2(s, d):
 
 
 @query("q3_chunks_of", q.build("""
-SELECT doc_id, chunk_index, page_number, token_count, chunk_text FROM pchunks WHERE doc_id IN (SELECT doc_id FROM labels)""", "pchunks"))
+SELECT doc_id, chunk_index, page_number, token_count, chunk_text, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) AS place
+FROM pchunks WHERE doc_id IN (SELECT doc_id FROM labels)""", "pchunks"))
 def q3(s, d):
-    return pf.chunks_of(_page_chunks(s, d), fx.table(s, d, "labels"))
+    return _places(pf.chunks_of(_page_chunks(s, d), fx.table(s, d, "labels")), "doc_id")
 
 
 def _dated(reports):

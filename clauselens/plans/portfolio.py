@@ -135,8 +135,8 @@ def system_stats(users: DataFrame, docs: DataFrame, reports: DataFrame, clauses:
 
 
 def list_rules(rules: DataFrame) -> DataFrame:
-    """Q9."""
-    return rules.orderBy("category")
+    """Q9: by category, equal ones by id."""
+    return rules.orderBy("category", "rule_id")
 
 
 def risk_distribution(reports: DataFrame, docs: DataFrame) -> DataFrame:
