@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,10 @@ def load(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.schema(schemas.TABLES[name]).parquet(f"{directory}/{name}")
 
 
+# Folders that ``materialise`` has made in this process, oldest first.
+_made: list[str] = []
+
+
 def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Writes a frame to the shared folder and reads it back.
 
@@ -26,10 +32,28 @@ def materialise(df: DataFrame, label: str, compression: str | None = None) -> Da
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
     df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, what ``materialise`` has stored inside; frames that read it are then void."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            _delete(spark, path)
+        del _made[before:]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _bucket(key: str, buckets: int):
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("doc_bucket")
 
@@ -72,8 +96,7 @@ def write_results(
     # Dynamic overwrite leaves partitions alone that get no row at all.
     filled = {r[0] for r in merged.select("doc_bucket").distinct().limit(buckets).collect()}
     for b in set(touched) - filled:
-        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/doc_bucket={b}")
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, f"{path}/doc_bucket={b}")
 
 
 def read_results(spark: SparkSession, path: str, schema) -> DataFrame:

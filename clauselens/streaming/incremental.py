@@ -11,7 +11,7 @@ from clauselens.operators.chunking import chunk
 from clauselens.operators.clauses import collapse_clauses
 from clauselens.operators.scoring import choose_advice, score_documents
 from clauselens.plans.report import document_entities, raw_clauses
-from clauselens.sources.tables import BUCKETS, materialise, write_results
+from clauselens.sources.tables import BUCKETS, materialise, scratch, write_results
 
 
 def store_analysis(pages: DataFrame, rules: DataFrame, out: str, single_page: bool = False,
@@ -65,7 +65,8 @@ def stream_analysis(
             stored.join(touched, "doc_id", "left_semi").withColumn("_age", F.rank().over(newest))
             .filter("_age = 1").select(*batch.columns)
         )
-        store_analysis(materialise(current, "touched-pages"), rules, out, single_page, buckets)
+        with scratch(spark):
+            store_analysis(materialise(current, "touched-pages"), rules, out, single_page, buckets)
 
     return (
         stream.writeStream.foreachBatch(run)

@@ -362,3 +362,11 @@ def test_nested_parts_are_whole(spark):
 ])
 def test_parties(spark, text, expected):
     assert value(spark, text, key_entities)["parties"] == expected
+
+
+def test_scratch_folders_go(spark):
+    with tables.scratch(spark):
+        kept = tables.materialise(spark.range(3), "scratch-test")
+        folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert kept.count() == 3 and tables._exists(spark, folder)
+    assert not tables._exists(spark, folder)
