@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clauselens.functions.once import compute_once
 from clauselens.sources.tables import materialise
 
-__all__ = ["compute_once", "keep_rows", "materialise", "source_rows", "table", "word_array"]
+__all__ = ["bounded_sample", "compute_once", "keep_rows", "materialise", "source_rows", "table", "word_array"]
 
 # White space between words: space and the controls from tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -30,6 +30,20 @@ def word_array(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
+def bounded_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most ``limit`` rows, those whose keys come first by hash; the same ones in any run.
+
+    Every task passes on only rows that can be among them: those with a hash
+    below the share that is wanted and six standard errors more.
+    """
+    n, span = rows.count(), 1 << 30
+    if n <= limit:
+        return rows
+    place = F.pmod(F.xxhash64(key), F.lit(span))
+    likely = rows.filter(place < int(min(1.0, (limit + 6 * limit ** 0.5 + 20) / n) * span))
+    return likely.orderBy(place, key).limit(limit)
+
+
 def keep_rows(df: DataFrame, key: str, keys: DataFrame, how: str) -> DataFrame:
     """Semi or anti join on a key column that may be null; ``df`` keeps its columns."""
     named = keys.select(F.col(keys.columns[0]).alias("_llm_key"))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselens.llm.common import compute_once, word_array
+from clauselens.llm.common import bounded_sample, compute_once, word_array
 
 BUCKETS = 1 << 16
 TRUSTED_LIMIT = 100_000
@@ -46,7 +46,7 @@ def trusted_keys(labels: DataFrame, limit: int = TRUSTED_LIMIT, key: str = "doc_
     """At most ``limit`` keys of labelled documents of good quality that are not toxic."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(key).cast("long").alias("trusted_id"))
     good = good.filter("trusted_id IS NOT NULL").distinct()
-    return good.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(limit)
+    return bounded_sample(good, "trusted_id", limit)
 
 
 def _runs(text: str) -> Column:

@@ -26,7 +26,8 @@ def _open(path: str):
         scheme, rest = path.split(":", 1)
         if scheme == "file":
             return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-        return fs.FileSystem.from_uri(path)
+        # Hadoop's names for a store that pyarrow calls s3.
+        return fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1).replace("s3n:", "s3:", 1))
     return fs.LocalFileSystem(), path
 
 

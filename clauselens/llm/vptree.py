@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselens.llm.common import compute_once, keep_rows, materialise, source_rows
+from clauselens.llm.common import bounded_sample, keep_rows, materialise, source_rows
 
 SHINGLE = 3
 RADIUS = 2
@@ -184,8 +184,8 @@ def near_links(distinct: DataFrame, k: int = RADIUS, sample: int = SAMPLE, shard
     """(a, b) links that span all groups of different fingerprints (column fp) at most k apart."""
     spark = distinct.sparkSession
     n = distinct.count()
-    drawn = distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample)
-    points = np.array([r[0] for r in drawn.collect()], dtype=np.int64).view(np.uint64)
+    drawn = sorted(r[0] for r in bounded_sample(distinct.select("fp"), "fp", sample).collect())
+    points = np.array(drawn, dtype=np.int64).view(np.uint64)
     leaves = max(1, min(-(-n // shard), sample // 16))
     tree = spark.sparkContext.broadcast(grow(points, leaves, k, np.random.default_rng(SEED)))
 

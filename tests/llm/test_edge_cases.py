@@ -11,6 +11,7 @@ import pytest
 from clauselens.llm import (
     ans, contextual_pii, ordinal, packing, quality_rules, tag_paths, tiling, token_counts, vptree, warc,
 )
+from clauselens.llm.common import bounded_sample
 from clauselens.llm.encode import Encoder, default_tokenizer
 
 LONG = "word stream of many parts, " * 4000
@@ -214,6 +215,14 @@ def test_fingerprints_and_groups(spark, docs, nothing):
     assert keys(one.collect()) == Counter([1, 4, 5, 6, None, 8, 9])
 
 
+def test_bounded_sample(spark):
+    rows = spark.range(20_000).withColumnRenamed("id", "key")
+    for n in (1, 500, 20_000, 30_000):
+        one, two = ({r.key for r in bounded_sample(rows.repartition(p), "key", n).collect()} for p in (1, 7))
+        assert one == two and len(one) == min(n, 20_000)
+    assert bounded_sample(rows.filter("false"), "key", 5).count() == 0
+
+
 def test_near_links_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 1500, dtype=np.uint64)
