@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselens.llm.common import source_rows
+from clauselens.llm.common import bounded_sample, source_rows
 
 PLACES = 1 << 20
 SAMPLE = 20_000
@@ -84,7 +84,7 @@ def fit(texts: list[str | None], grades: list[int], **options) -> OrdinalModel:
     return fit_places([sorted({place(w) for w in features(t)}) for t in texts], grades, **options)
 
 
-def fit_places(places: list[list[int]], grades: list[int], steps: int = STEPS, rate: float = RATE,
+def fit_places(places: list, grades: list[int], steps: int = STEPS, rate: float = RATE,
                evidence: float = EVIDENCE) -> OrdinalModel:
     """The fit itself, on the places of each document's features."""
     y = np.asarray(grades, np.int64)
@@ -129,18 +129,20 @@ def fit_on(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE, key: str =
     rated = ratings.select(F.col(rating_key).cast("long").alias("rated_id"), F.col(rating).cast("int").alias("grade"))
     rated = rated.filter("rated_id IS NOT NULL AND grade IS NOT NULL").groupBy("rated_id").agg(
         F.max("grade").alias("grade"))
-    drawn = rated.orderBy(F.xxhash64("rated_id"), "rated_id").limit(sample)
+    drawn = bounded_sample(rated, "rated_id", sample)
     rows = source_rows(docs, key, text).join(F.broadcast(drawn), F.col("doc_id") == F.col("rated_id"))
-    # The sample's texts come to the driver as short lists of places, not as texts.
-    found = rows.select("doc_id", "text", "grade").mapInPandas(_places, "doc_id long, grade int, places array<int>")
-    got = sorted(found.collect(), key=lambda r: (r[0], r[1], r[2]))
-    return fit_places([r[2] for r in got], [r[1] for r in got], **options)
+    # The sample's texts come to the driver as four bytes per feature, not as texts.
+    found = rows.select("doc_id", "text", "grade").mapInPandas(_places, "doc_id long, grade int, places binary")
+    got = found.toArrow().to_pylist()
+    got.sort(key=lambda r: (r["doc_id"], r["grade"], r["places"]))
+    return fit_places([np.frombuffer(r["places"], "<i4") for r in got], [r["grade"] for r in got], **options)
 
 
 def _places(frames):
     for frame in frames:
         yield pd.DataFrame({"doc_id": frame["doc_id"].array, "grade": frame["grade"].array,
-                            "places": [sorted({place(w) for w in features(t)}) for t in frame["text"].tolist()]})
+                            "places": [np.array(sorted({place(w) for w in features(t)}), "<i4").tobytes()
+                                       for t in frame["text"].tolist()]})
 
 
 def score(docs: DataFrame, model: OrdinalModel, wanted: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
