@@ -39,8 +39,8 @@ from clauselens.llm.stores import Reader, Writer, new_folder
 MAGIC = b"RANSIDS1"
 HEADER = struct.Struct("<IIIIQ")
 BITS = 20
-LANES = 1024
-BLOCK = 1 << 18
+LANES = 4096
+BLOCK = 1 << 19
 END_ID = 2
 _LOW = np.uint64(1 << 32)
 
@@ -111,10 +111,11 @@ def encode_block(ids: np.ndarray, table: Table, first: int, lanes: int = LANES)
     for row in range((len(ids) - 1) // lanes, -1, -1):
         f, s = freq[row * lanes:(row + 1) * lanes], start[row * lanes:(row + 1) * lanes]
         x = state[:len(f)]
-        full = (x >> room) >= f
-        if full.any():
-            out.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
-            x[full] >>= np.uint64(32)
+        full = np.flatnonzero((x >> room) >= f)
+        if len(full):
+            moved = x[full]
+            out.append(moved.astype("<u4"))  # the lower half
+            x[full] = moved >> np.uint64(32)
         q = x // f
         state[:len(f)] = (q << bits) + (x - q * f) + s
     words = np.concatenate(out[::-1]) if out else np.zeros(0, "<u4")
@@ -137,11 +138,10 @@ def decode_block(raw: bytes, table: Table) -> tuple[int, np.ndarray]:
         place = slots[low]
         out[row:row + lanes] = place
         x = freq[place] * (x >> bits) + low - start[place]
-        short = x < _LOW
-        need = int(np.count_nonzero(short))
-        if need:
-            x[short] = (x[short] << np.uint64(32)) | words[at:at + need]
-            at += need
+        short = np.flatnonzero(x < _LOW)
+        if len(short):
+            x[short] = (x[short] << np.uint64(32)) | words[at:at + len(short)]
+            at += len(short)
         state[:len(x)] = x
     ids = table.ids[out].astype("<u4")
     if zlib.crc32(ids.tobytes()) != crc:
@@ -167,17 +167,14 @@ def _packed(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
         for frame in frames:
             for at in range(0, len(frame), 256):
                 piece = frame.iloc[at:at + 256]
-                # Each byte of the numbers apart from the others: most of the upper ones are zero.
-                planes = [np.frombuffer(x + end, np.uint8).reshape(-1, 4).T.tobytes()
-                          for x in encoder(piece["text"].tolist())]
-                yield pd.DataFrame({"doc_id": piece["doc_id"].array, "ids": [shrink(x) for x in planes]})
+                found = encoder(piece["text"].tolist())
+                yield pd.DataFrame({"doc_id": piece["doc_id"].array, "ids": [shrink(x + end) for x in found]})
 
     return docs.mapInPandas(run, "doc_id long, ids binary")
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+    return np.frombuffer(zstandard.decompress(raw), "<u4")
 
 
 def write_archive(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = END_ID,

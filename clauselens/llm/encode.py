@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Pieces remembered by one task, and the longest piece worth remembering.
-REMEMBERED = 500_000
+REMEMBERED = 800_000
 LONGEST_REMEMBERED = 40
 
 # Western letters and common marks: the tokenizers here change nothing in them
