@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauselens.llm.common import source_rows
+from clauselens.llm.common import materialise, source_rows
 from clauselens.llm.encode import default_tokenizer, encoder_of
 
 
@@ -52,7 +52,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     Lengths lie in bands of an eighth of a power of two; sums run inside a band
     and over the few bands, so no task sees all lengths.
     """
-    counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
+    # Stored: the counts are read twice, and texts must be encoded once.
+    counts = materialise(lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs")), "length-counts")
     counts = counts.withColumn("band", F.floor(F.log2(F.col("n_tokens") + 1) * 8).cast("int"))
     tokens = F.col("n_docs") * F.col("n_tokens")
     bands = counts.groupBy("band").agg(F.sum("n_docs").alias("band_docs"), F.sum(tokens).alias("band_tokens"))
