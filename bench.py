@@ -36,11 +36,14 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - start, 3)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    chunks, clauses = (QUERIES[name](spark, sf_dir).count() for name in ("c1_c3_chunks", "r13_r14_clauses"))
     scale = re.search(r"sf([\d.]+)", sf_dir)
     print(json.dumps({
         "metric": "total headline query time", "value": round(sum(times.values()), 3), "unit": "sec",
         "queries": times, "sf": float(scale.group(1)) if scale else None, "cores": cpus,
         "documents": docs, "report_documents_per_sec": round(docs / times["r21_reports"], 1),
+        "chunks_per_sec": round(chunks / times["c1_c3_chunks"], 1),
+        "clause_rows_per_sec": round(clauses / times["r13_r14_clauses"], 1),
     }))
 
 
