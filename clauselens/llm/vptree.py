@@ -261,15 +261,15 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", groups=near_duplicates, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their group: its smallest key, once.
 
-    Rows of one key count as one document.  Rows without a key stand behind all
+    ``groups`` names the component of every row, as ``near_duplicates`` does.  Rows of one key count as one document.  Rows without a key stand behind all
     others of their group; among themselves a hash of the text decides.
     """
     nameless = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
     named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), nameless).alias("id"),
                         F.col(text).alias("body"))
-    found = near_duplicates(named, "id", "body", **options)
+    found = groups(named, "id", "body", **options)
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
     return keep_rows(named.drop("body"), "id", stay, "left_semi").dropDuplicates(["id"]).select("row.*")

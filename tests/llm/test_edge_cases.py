@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from clauselens.llm import (
-    ans, contextual_pii, ordinal, packing, quality_rules, tag_paths, tiling, token_counts, vptree, warc,
+    ans, contextual_pii, near_copies, ordinal, packing, quality_rules, tag_paths, tiling, token_counts, vptree, warc,
 )
 from clauselens.llm.common import bounded_sample
 from clauselens.llm.encode import Encoder, default_tokenizer
@@ -480,3 +480,41 @@ def test_redaction_keeps_columns(spark, docs, nothing):
     eight = next(r for r in rows if r.doc_id == 8)
     assert eight.text == "mail <EMAIL> or <IP>, call <PHONE>" and eight.n_chars == len(eight.text)
     assert next(r for r in rows if r.doc_id == 1).text is None and eight.kept == "x"
+
+
+def test_near_copies_against_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    rows, passage = [], " ".join(f"c{i}" for i in range(30))
+    for family in range(25):
+        base = [f"w{family}x{i}" for i in range(int(rng.integers(20, 300)))]
+        for copy in range(int(rng.integers(1, 7))):
+            words = list(base)
+            for at in rng.choice(len(words), int(rng.integers(0, max(2, len(words) // 18))), replace=False):
+                words[at] = f"n{len(rows)}y{at}"
+            rows.append((len(rows), " ".join(words) + (" " + passage if family % 2 else "")))
+            if copy == 2:
+                rows.append((len(rows), rows[-1][1].upper()))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "two words"), (None, "no key")]
+
+    def grams(text):
+        words = (text or "").lower().split()
+        return {" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    ids = [k if k is not None else 10 ** 9 for k, _ in rows]
+    sets, group = [grams(t) for _, t in rows], dict(zip(ids, ids))
+    pairs = [(ids[i], ids[j]) for i in range(len(rows)) for j in range(i)
+             if sets[i] == sets[j] or 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    assert any(0.8 <= len(a & b) / max(1, len(a | b)) < 0.85 for a in sets for b in sets)
+    for _ in rows:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for sample in (8, 4_096):
+        found = near_copies.near_copies(docs, sample=sample).collect()
+        assert {(k, c) for k, c in found} == {(None if k == 10 ** 9 else k, None if c == 10 ** 9 else c)
+                                             for k, c in group.items()}
+    # The stage's own function keeps one of each, with two edited copies gone that lie more than two bits apart.
+    import corpus_pipeline
+
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {None if c == 10 ** 9 else c for c in group.values()}
