@@ -5,13 +5,19 @@ neighbouring pairs are hashed into a fixed number of buckets.  Two multinomials
 over the buckets, one of trusted documents and one of the whole raw corpus, give
 every n-gram a weight, the log of their ratio.  A document's score is the mean
 weight of its n-grams; the document is kept if the score reaches a threshold.
+A mean does not see a few toxic words, so a second array of weights holds the
+log ratio of trusted documents to labelled toxic ones of good quality.  Only
+single runs that are clearly on the toxic side count: what their weights lack to
+a cut is summed up, and a document is rejected if the sum exceeds a threshold
+times the root of its number of runs, so long texts do not dilute a passage as a
+mean would.  Without any toxic label this second test is left out.
 Weights are whole thousandths, so sums and verdicts are the same in any order of
 execution.
 
 Everything is column expressions.  The corpus counts cover every document.  The
 weights come back as one small array whose length is the number of buckets.
-Trusted documents are a bounded set: the ``trusted_limit`` labelled keys that
-come first by hash.  Without any trusted document the base rules alone decide.
+Trusted and toxic documents are bounded sets: the ``trusted_limit`` labelled keys
+of each that come first by hash.  Without any trusted document the base rules alone decide.
 
 Null texts have no words and fail the base rules.  Repeated rows are judged
 alike.  Null keys are never trusted.  An empty table gives no rows.  Other
@@ -32,6 +38,10 @@ SMOOTHING = 1.0
 # Least mean weight per n-gram, in thousandths of a nat.
 THRESHOLD = -200
 SCALE = 1000
+# Weights against toxic documents below the cut count, in thousandths, and the most they may sum up to under the cut
+# for a text of one run.
+TOXIC_CUT = -1000
+TOXIC_THRESHOLD = 130
 # The bucket of all pairs of equal runs: stuttering has one weight.
 SAME = 0
 
@@ -49,6 +59,12 @@ def trusted_keys(labels: DataFrame, limit: int = TRUSTED_LIMIT, key: str = "doc_
     return bounded_sample(good, "trusted_id", limit)
 
 
+def toxic_keys(labels: DataFrame, limit: int = TRUSTED_LIMIT, key: str = "doc_id") -> DataFrame:
+    """At most ``limit`` keys of labelled documents of good quality that are toxic."""
+    toxic = labels.filter("quality = 1 AND toxic = 1").select(F.col(key).cast("long").alias("toxic_id"))
+    return bounded_sample(toxic.filter("toxic_id IS NOT NULL").distinct(), "toxic_id", limit)
+
+
 def _runs(text: str) -> Column:
     return F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(RUN), F.lit(0))
 
@@ -63,34 +79,46 @@ def _pair(run: Column, after: Column, buckets: int) -> Column:
         F.xxhash64(run, after).bitwiseAND(F.lit(buckets - 1)).cast("int"))
 
 
-def gram_counts(docs: DataFrame, trusted: DataFrame, key: str, text: str, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, raw, target) counts over all documents and over trusted ones."""
+def gram_counts(docs: DataFrame, trusted: DataFrame, toxic: DataFrame, key: str, text: str,
+                buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, raw, target, toxic) counts over all documents, over trusted ones and over toxic ones."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     # The keys are bounded by ``trusted_limit``.
-    rows = rows.join(F.broadcast(trusted), F.col("id") == F.col("trusted_id"), "left").select(
-        "text", F.col("trusted_id").isNotNull().cast("long").alias("good"))
+    rows = rows.join(F.broadcast(trusted), F.col("id") == F.col("trusted_id"), "left").join(
+        F.broadcast(toxic), F.col("id") == F.col("toxic_id"), "left").select(
+        "text", F.col("trusted_id").isNotNull().cast("long").alias("good"),
+        F.col("toxic_id").isNotNull().cast("long").alias("bad"))
     rows = compute_once(rows, _runs=_runs("text"))
     grams = F.concat(
         F.transform("_runs", lambda r: _single(r, buckets)),
         F.transform("_runs", lambda r, i: F.when(i > 0, _pair(F.get("_runs", i - 1), r, buckets))))
-    grams = rows.select("good", F.explode(grams).alias("bucket")).filter("bucket IS NOT NULL")
-    return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"))
+    grams = rows.select("good", "bad", F.explode(grams).alias("bucket")).filter("bucket IS NOT NULL")
+    return grams.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("raw"), F.sum("good").alias("target"), F.sum("bad").alias("toxic"))
 
 
-def gram_weights(counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING) -> list[int] | None:
-    """The weight of every bucket, in thousandths; None if nothing is trusted."""
-    found = {r[0]: (r[1], r[2]) for r in counts.collect()}  # at most ``buckets`` rows of three numbers
-    raw, target = (sum(v[i] for v in found.values()) for i in (0, 1))
-    if not target:
-        return None
+def gram_weights(
+    counts: DataFrame, buckets: int = BUCKETS, smoothing: float = SMOOTHING,
+) -> tuple[list[int] | None, list[int] | None]:
+    """Two weights of every bucket, in thousandths: trusted documents against all, and against toxic ones.
+
+    Both are None if nothing is trusted, the second also if nothing is toxic.
+    """
+    found = {r[0]: (r[1], r[2], r[3]) for r in counts.collect()}  # at most ``buckets`` rows of four numbers
+    total = [sum(v[i] for v in found.values()) for i in range(3)]
     from math import log
 
-    # Both counts shrink towards the same share, so rare n-grams and small tables stay near zero.
-    scale = raw / target
-    return [
-        round(SCALE * log((found[b][1] * scale + smoothing) / (found[b][0] + smoothing))) if b in found else 0
-        for b in range(buckets)
-    ]
+    def against(other: int) -> list[int] | None:
+        if not total[1] or not total[other]:
+            return None
+        # Both counts shrink towards the same share, so rare n-grams and small tables stay near zero.
+        scale = total[other] / total[1]
+        return [
+            round(SCALE * log((found[b][1] * scale + smoothing) / (found[b][other] + smoothing))) if b in found else 0
+            for b in range(buckets)
+        ]
+
+    return against(0), against(2)
 
 
 def _base_columns(df: DataFrame, text: str) -> DataFrame:
@@ -129,10 +157,12 @@ def _weight_array(weights: list[int]) -> Column:
 
 
 def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, threshold: int, trusted_limit: int,
-            buckets: int, label_key: str, smoothing: float) -> DataFrame:
+            buckets: int, label_key: str, smoothing: float, toxic_threshold: int) -> DataFrame:
     """(row, id, text counts, verdicts) of every row; ``row`` holds the input row whole."""
     trusted = trusted_keys(labels, trusted_limit, label_key)
-    weights = gram_weights(gram_counts(docs, trusted, key, text, buckets), buckets, smoothing)
+    toxic = toxic_keys(labels, trusted_limit, label_key)
+    weights, against_toxic = gram_weights(
+        gram_counts(docs, trusted, toxic, key, text, buckets), buckets, smoothing)
     df = docs.select(F.struct("*").alias("row"), F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     df = _base_columns(df, "text")
     failed = (F.col("_n_words") < MIN_WORDS) | (
@@ -141,22 +171,30 @@ def _judged(docs: DataFrame, labels: DataFrame, key: str, text: str, threshold:
     if weights is None:
         return df.withColumn("_score", F.lit(None).cast("long")).withColumn("_kept", ~F.col("_base_failed"))
     df, table = compute_once(df, _runs=_runs("text")), _weight_array(weights)
-    weighed = F.transform("_runs", lambda r, i: F.get(table, _single(r, buckets)) + F.when(
+    df = compute_once(df, _ones=F.transform("_runs", lambda r: _single(r, buckets)))
+    weighed = F.transform("_runs", lambda r, i: F.get(table, F.get("_ones", i)) + F.when(
         i > 0, F.get(table, _pair(F.get("_runs", i - 1), r, buckets))).otherwise(F.lit(0)))
+    toxic_sum = F.lit(0).cast("long")
+    if against_toxic is not None:
+        lacking = _weight_array([max(TOXIC_CUT - w, 0) for w in against_toxic])
+        toxic_sum = F.aggregate("_ones", F.lit(0).cast("long"), lambda a, b: a + F.get(lacking, b))
     df = compute_once(df, _total=F.aggregate(weighed, F.lit(0).cast("long"), lambda a, b: a + b),
+                      _toxic=toxic_sum, _n_runs=F.size("_runs").cast("long"),
                       _n_grams=F.greatest(F.size("_runs").cast("long") * 2 - 1, F.lit(0).cast("long")))
     score = F.when(F.col("_n_grams") > 0, F.floor(F.col("_total") / F.col("_n_grams")))
     enough = F.col("_total") >= F.col("_n_grams") * threshold
-    return df.drop("_runs").withColumn("_score", score).withColumn("_kept", ~F.col("_base_failed") & enough)
+    clean = F.col("_toxic") <= F.lit(toxic_threshold) * F.sqrt("_n_runs")
+    return df.drop("_runs", "_ones").withColumn("_score", score).withColumn(
+        "_kept", ~F.col("_base_failed") & enough & clean)
 
 
 def judge_quality(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD,
     trusted_limit: int = TRUSTED_LIMIT, buckets: int = BUCKETS, label_key: str = "doc_id",
-    smoothing: float = SMOOTHING,
+    smoothing: float = SMOOTHING, toxic_threshold: int = TOXIC_THRESHOLD,
 ) -> DataFrame:
     """One row per document: the base counts, base_failed, kept, and the score in thousandths."""
-    df = _judged(docs, labels, key, text, threshold, trusted_limit, buckets, label_key, smoothing)
+    df = _judged(docs, labels, key, text, threshold, trusted_limit, buckets, label_key, smoothing, toxic_threshold)
     zero = F.lit(0).cast("long")
     return df.select(
         F.col("id").alias("doc_id"), F.col("_n_words").alias("n_words"), F.col("_word_chars").alias("word_chars"),
@@ -168,8 +206,8 @@ def judge_quality(
 def keep_good(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD,
     trusted_limit: int = TRUSTED_LIMIT, buckets: int = BUCKETS, label_key: str = "doc_id",
-    smoothing: float = SMOOTHING,
+    smoothing: float = SMOOTHING, toxic_threshold: int = TOXIC_THRESHOLD,
 ) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
-    df = _judged(docs, labels, key, text, threshold, trusted_limit, buckets, label_key, smoothing)
+    df = _judged(docs, labels, key, text, threshold, trusted_limit, buckets, label_key, smoothing, toxic_threshold)
     return df.filter("_kept").select("row.*")

@@ -518,3 +518,16 @@ def test_near_copies_against_all_pairs(spark):
 
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == {None if c == 10 ** 9 else c for c in group.values()}
+
+
+def test_toxic_words_in_long_texts(spark):
+    """A few toxic words among many others are rejected; the same text without them is kept."""
+    rng = np.random.default_rng(3)
+    plain = [" ".join(f"word{i}" for i in rng.integers(0, 30, 300)) for _ in range(160)]
+    toxic = {i for i in range(160) if i % 4 == 0}
+    texts = [(i, (t[:700] + " vile scum vile scum vile scum vile scum" + t[700:]) if i in toxic else t) for i, t in enumerate(plain)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(120)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality_rules.judge_quality(docs, labels).filter("kept").collect()}
+    assert kept == set(range(160)) - toxic  # the last 40 have no labels
+    assert {r.doc_id for r in quality_rules.keep_good(docs, labels.filter("toxic = 0")).collect()} == set(range(160))
