@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselens.llm import ans, contextual_pii, ordinal, packing, quality_rules, tag_paths, tiling, token_counts, vptree, warc
+from clauselens.llm import (
+    ans, contextual_pii, ordinal, packing, quality_rules, tag_paths, tiling, token_counts, vptree, warc, word_bpe,
+)
 from clauselens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +92,8 @@ def op9(s, d):
 def op10(s, d):
     found = vptree.near_duplicates(table(s, d, "documents"))
     return found.select("doc_id", vptree.hex_fingerprint("fp").alias("fingerprint"), "component_id")
+
+
+@query("op12_word_bpe")
+def op12(s, d):
+    return word_bpe.round_trip(table(s, d, "documents"))

@@ -70,3 +70,24 @@ class Reader:
         if name != self._name:
             self.read(name, 0, 0)
         return self._in.size()
+
+
+def write_arrow(folder: str, table, **options) -> str:
+    """One new Parquet file that a task writes; returns its name."""
+    from pyarrow import parquet
+
+    name = f"{uuid.uuid4().hex}.parquet"
+    store, base = _open(folder)
+    store.create_dir(base, recursive=True)
+    with store.open_output_stream(f"{base}/{name}", compression=None) as out:
+        parquet.write_table(table, out, **options)
+    return name
+
+
+def read_arrow(folder: str, name: str):
+    """The table of one such file."""
+    from pyarrow import parquet
+
+    store, base = _open(folder)
+    with store.open_input_file(f"{base}/{name}") as source:
+        return parquet.read_table(source)
