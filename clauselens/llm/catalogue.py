@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselens.llm import (
-    ans, contextual_pii, ordinal, packing, quality_rules, tag_paths, tiling, token_counts, vptree, warc, word_bpe,
+    ans, contextual_pii, ordinal, packing, quality_rules, tag_paths, tiling, token_counts, turn_repair, vptree, warc,
+    word_bpe,
 )
 from clauselens.llm.common import table
 
@@ -94,6 +95,11 @@ def op10(s, d):
     return found.select("doc_id", vptree.hex_fingerprint("fp").alias("fingerprint"), "component_id")
 
 
+@query("op11_turn_repair")
+def op11(s, d):
+    return turn_repair.repair(table(s, d, "conversations"), damaged=True)
+
+
 @query("op12_word_bpe")
 def op12(s, d):
     return word_bpe.round_trip(table(s, d, "documents"))

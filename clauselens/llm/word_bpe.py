@@ -105,8 +105,8 @@ def _blocks(frames: Iterator[pd.DataFrame], chars: int) -> Iterator[list[tuple]]
     """Lists of (doc_id, text) of about so many characters."""
     held, size = [], 0
     for frame in frames:
-        for key, text in zip(frame["doc_id"].array, frame["text"].tolist()):
-            held.append((None if pd.isna(key) else int(key), text or ""))
+        for key, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):
+            held.append((key, text or ""))
             size += len(held[-1][1])
             if size >= chars:
                 yield held
@@ -129,7 +129,10 @@ def _numbered(words: list[str], counts: np.ndarray, shards: int) -> tuple[np.nda
 
 
 def split_words(docs: DataFrame, pattern: str, folder: str, block_chars: int, shards: int) -> DataFrame:
-    """(block, shard, words) of ``docs`` (doc_id, text); the documents go to files named by block."""
+    """(block, shard, words) of ``docs`` (doc_id, text); the documents go to files named by block.
+
+    Keys go through Python as strings, which keep nulls apart from numbers.
+    """
     spaced = portable(pattern)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,13 +147,13 @@ def split_words(docs: DataFrame, pattern: str, folder: str, block_chars: int, sh
             words = list(seen)
             number, by_shard = _numbered(words, np.bincount(every, minlength=len(words)), shards)
             table = pa.table({
-                "doc_id": pa.array([key for key, _ in block], pa.int64()),
+                "doc_id": pa.array([key for key, _ in block], pa.string()),
                 "words": pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(number[every], pa.int32()))})
             name = write_arrow(folder, table, compression="zstd", use_dictionary=False,
                                use_byte_stream_split=["words.list.element"])
             yield pd.DataFrame({"block": name, "shard": list(by_shard), "words": list(by_shard.values())})
 
-    return docs.mapInPandas(run, "block string, shard int, words array<string>")
+    return docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "block string, shard int, words array<string>")
 
 
 # --- encoding ----------------------------------------------------------------
@@ -222,9 +225,10 @@ def assemble(encoded: DataFrame, folder: str, shards: int) -> DataFrame:
         if hasattr(words, "chunks"):
             words = words.chunk(0)
         ids = _assembled(words.values.to_numpy(), words.offsets.to_numpy().astype(np.int64), values, start, size)
-        return pd.DataFrame({"doc_id": pd.array(table["doc_id"].to_pylist(), "Int64"), "ids": ids})
+        return pd.DataFrame({"doc_id": table["doc_id"].to_pylist(), "ids": ids})
 
-    return encoded.groupBy("block").applyInPandas(run, "doc_id long, ids binary")
+    return encoded.groupBy("block").applyInPandas(run, "doc_id string, ids binary").withColumn(
+        "doc_id", F.col("doc_id").cast("long"))
 
 
 def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None, key: str = "doc_id",
@@ -259,11 +263,12 @@ def decode(tokens: DataFrame, ranks: str | None = None, key: str = "doc_id", ids
                 places, ends = np.concatenate(own), np.cumsum([0, *map(len, own)])
                 if (size[places] == 0).any():
                     raise ValueError("an id is not in the vocabulary")
-                yield pd.DataFrame({"doc_id": part["doc_id"].array, "ids": part["ids"],
+                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": part["ids"],
                                     "decoded": _assembled(places, ends, values, start, size)})
 
-    rows = tokens.select(F.col(key).cast("long").alias("doc_id"), F.col(ids).alias("ids"))
-    return rows.mapInPandas(run, "doc_id long, ids binary, decoded binary")
+    rows = tokens.select(F.col(key).cast("long").cast("string").alias("doc_id"), F.col(ids).alias("ids"))
+    return rows.mapInPandas(run, "doc_id string, ids binary, decoded binary").withColumn(
+        "doc_id", F.col("doc_id").cast("long"))
 
 
 def round_trip(docs: DataFrame, ranks: str | None = None, **options) -> DataFrame:
