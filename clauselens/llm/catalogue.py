@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselens.llm import (
-    ans, contextual_pii, ordinal, packing, quality_rules, tag_paths, tiling, token_counts, turn_repair, vptree, warc,
-    word_bpe,
+    ans, contextual_pii, hard_negatives, ordinal, packing, quality_rules, tag_paths, tiling, token_counts,
+    turn_repair, vptree, warc, word_bpe,
 )
 from clauselens.llm.common import table
 
@@ -103,3 +103,25 @@ def op11(s, d):
 @query("op12_word_bpe")
 def op12(s, d):
     return word_bpe.round_trip(table(s, d, "documents"))
+
+
+@query("op13_hard_negatives", """
+WITH w AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM w WHERE vec_id % 100 = 0),
+s AS (SELECT a.vec_id AS anchor_id, w.vec_id, a.label = w.label AS same,
+  list_sum(list_transform(list_zip(a.v, w.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM a JOIN w ON a.vec_id <> w.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER n::INTEGER AS rank, vec_id AS negative_id, positive_score,
+  score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER n <= 10
+WINDOW n AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)""")
+def op13(s, d):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(s, d, "embeddings"), F.col("vec_id") % 100 == 0, label)
