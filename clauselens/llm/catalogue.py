@@ -120,8 +120,8 @@ SELECT anchor_id, positive_id, row_number() OVER n::INTEGER AS rank, vec_id AS n
   score AS negative_score
 FROM p JOIN s USING (anchor_id)
 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
-QUALIFY row_number() OVER n <= 10
-WINDOW n AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)""")
+WINDOW n AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER n <= 10""")
 def op13(s, d):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives.mine(table(s, d, "embeddings"), F.col("vec_id") % 100 == 0, label)

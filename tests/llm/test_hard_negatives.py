@@ -61,8 +61,8 @@ def test_against_all_pairs(spark, options):
 
 def test_few_rows(spark):
     assert mined(spark, [(0, [1.0, 2.0], 1)]) == []
-    assert mined(spark, [(0, [1.0], 1), (1, [2.0], 1), (2, [1e30], 2), (3, [0.9], 2)]) == [
-        (0, 1, 1, 3, 256 * 512, 256 * 230)]
+    assert mined(spark, [(10, [1.0], 1), (1, [2.0], 1), (2, [1e30], 2), (3, [0.9], 2)]) == [
+        (10, 1, 1, 3, 256 * 512, 256 * 230)]
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert hard_negatives.mine(empty, F.col("vec_id") % 10 == 0).count() == 0
 
