@@ -21,6 +21,10 @@ def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
     )
 
 
+# The folder of local sessions that name none.
+_own: str | None = None
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
@@ -32,6 +36,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="clauselens-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    global _own
+    if _own is None:
+        _own = tempfile.mkdtemp(prefix="clauselens-")
+    return _own

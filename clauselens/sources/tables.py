@@ -34,7 +34,16 @@ def materialise(df: DataFrame, label: str, compression: str | None = None) -> Da
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _made.append(path)
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Deletes what ``materialise`` has written for these frames; nothing may read them any more."""
+    for df in stored:
+        _delete(df.sparkSession, df.stored_at)
+        _made.remove(df.stored_at)
 
 
 @contextmanager
