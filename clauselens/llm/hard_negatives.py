@@ -41,7 +41,7 @@ SCALE = 256
 LARGEST = 1 << 26
 # Anchors of a pass (a few MB broadcast), pilot rows, and rows compared at once.
 CHUNK = 2048
-PILOT = 16_384
+PILOT = 8192
 ROWS = 1024
 # Bits of a query's component on the grid.
 GRID_BITS = 7
@@ -115,10 +115,12 @@ class Queries:
     def intervals(self, bits: np.ndarray, align: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Certain bounds of all inner products, (rows, anchors)."""
         ones = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        hit = np.zeros((len(bits), len(self.low)), np.int64)
+        # At most 2^bits * d, which 32 bits hold.
+        hit = np.zeros((len(bits), len(self.low)), np.uint32)
         for j, plane in enumerate(self.planes):
             for w in range(bits.shape[1]):
-                hit += np.bitwise_count(bits[:, w, None] & plane[None, :, w]).astype(np.int64) << j
+                hit += np.bitwise_count(bits[:, w, None] & plane[None, :, w]) * np.uint32(1 << j)
+        hit = hit.astype(np.float64)
         # <grid point, code>: components are low + step * level, code components +-1/sqrt(d).
         on_code = (self.low * (2 * ones - self.d)[:, None] + self.step * (2 * hit - self.level_sum)) / np.sqrt(self.d)
         middle = align[:, None] * on_code
@@ -150,30 +152,31 @@ def _best(frame: pd.DataFrame, group: list[str], k: int) -> pd.DataFrame:
 def _pass(rows: DataFrame, d: int, anchors: pd.DataFrame, wanted: Callable, group: list[str], k: int) -> DataFrame:
     """(*group, vec_id, score): the best ``k`` of each group that each task has met, over stored ``rows``.
 
-    ``wanted(low, high, labels, ids, floor)`` yields (group columns without the anchor, mask of pairs that may
-    count, test of exact scores) for intervals; ``floor`` holds the least score that can still count.
+    ``wanted(anchors, low, high, labels, keys, floors)`` gives the mask of pairs that may count by their
+    intervals, and for each column of groups its name and the scores' test; ``floors`` holds the
+    least score of every group that is full.
     """
     sent = rows.sparkSession.sparkContext.broadcast(anchors)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, turn = sent.value, rotation(d)
-        points = matrix(own["v"].tolist(), d)
+        points, names = matrix(own["v"].tolist(), d), own["vec_id"].to_numpy()
         queries, kept = Queries(points, turn), None
         floors: dict = {}
         for frame in frames:
             for at in range(0, len(frame), ROWS):
                 part = frame.iloc[at:at + ROWS]
-                v = matrix(part["v"].tolist(), d)
-                low, high = queries.intervals(*codes(v, turn))
-                found = []
-                for name, may, test in wanted(own, low, high, part["label"].to_numpy(), part["vec_id"].to_numpy(), floors):
-                    i, j = np.nonzero(may)
-                    score = _score(v, points, i, j)
-                    good = test(score, j)
-                    found.append(pd.DataFrame({
-                        "anchor_id": own["vec_id"].to_numpy()[j[good]], **{c: x[j[good]] for c, x in name.items()},
-                        "vec_id": part["vec_id"].to_numpy()[i[good]], "score": score[good]}))
-                found = [x for x in found if len(x)]
+                v, keys = matrix(part["v"].tolist(), d), part["vec_id"].to_numpy()
+                may, tests = wanted(own, *queries.intervals(*codes(v, turn)), part["label"].to_numpy(), keys, floors)
+                i, j = np.nonzero(may)
+                # Each surviving pair is scored once, whatever number of groups it may belong to.
+                score, found = _score(v, points, i, j), []
+                for columns, test in tests:
+                    good = np.flatnonzero(test(score, j))
+                    if len(good):
+                        found.append(pd.DataFrame({
+                            "anchor_id": names[j[good]], **{c: x[j[good]] for c, x in columns.items()},
+                            "vec_id": keys[i[good]], "score": score[good]}))
                 if not found:
                     continue
                 met = pd.concat(found if kept is None else [kept, *found])
@@ -183,8 +186,8 @@ def _pass(rows: DataFrame, d: int, anchors: pd.DataFrame, wanted: Callable, grou
         if kept is not None:
             yield kept[[*group, "vec_id", "score"]]
 
-    names = ", ".join(f"{g} long" for g in group)
-    return rows.mapInPandas(run, f"{names}, vec_id long, score long")
+    columns = ", ".join(f"{g} long" for g in group)
+    return rows.mapInPandas(run, f"{columns}, vec_id long, score long")
 
 
 def _ranked(found: DataFrame, group: list[str], k: int) -> DataFrame:
@@ -193,27 +196,33 @@ def _ranked(found: DataFrame, group: list[str], k: int) -> DataFrame:
 
 
 def _positives(most: int) -> Callable:
-    def wanted(own, low, high, labels, ids, floors):
+    def wanted(own, low, high, labels, keys, floors):
         floor = np.array([floors.get((a,), f) for a, f in zip(own["vec_id"].tolist(), own["floor"].tolist())])
-        may = (high >= floor) & (labels[:, None] == own["label"].to_numpy()) & (ids[:, None] != own["vec_id"].to_numpy())
-        yield {}, may, lambda score, j: score >= floor[j]
+        may = (high >= floor) & (labels[:, None] == own["label"].to_numpy()) & (keys[:, None] != own["vec_id"].to_numpy())
+        return may, [({}, lambda score, j: score >= floor[j])]
 
     return wanted
 
 
+_LOWEST, _HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
 def _negatives(low_share: int, high_share: int) -> Callable:
-    def wanted(own, low, high, labels, ids, floors):
-        other = labels[:, None] != own["label"].to_numpy()
+    def wanted(own, low, high, labels, keys, floors):
+        names = own["vec_id"].tolist()
+        least, most, tests = np.full(len(own), _HIGHEST), np.full(len(own), _LOWEST), []
         for n in range(max((len(p) for p in own["positives"]), default=0)):
-            has = np.array([n < len(p) for p in own["positives"]])
-            who = np.array([p[n] if n < len(p) else -1 for p in own["positives"]], np.int64)
-            score = np.array([p[n] if n < len(p) else 0 for p in own["scores"]], np.int64)
-            least, most = -(-low_share * score // 100), high_share * score // 100
-            start = [f[n] if n < len(f) else None for f in own["floors"]]
-            floor = np.array([max(a, s if s is not None else a, floors.get((x, w), a)) for a, s, x, w in zip(
-                least.tolist(), start, own["vec_id"].tolist(), who.tolist())], np.int64)
-            may = other & has & (high >= floor) & (low <= most)
-            yield {"positive_id": who}, may, lambda s, j, a=floor, b=most: (s >= a[j]) & (s <= b[j])
+            # An anchor without an nth positive asks for nothing: its range is empty.
+            who, floor, top = np.full(len(own), -1), np.full(len(own), _HIGHEST), np.full(len(own), _LOWEST)
+            for i, (p, s, f) in enumerate(zip(own["positives"], own["scores"], own["floors"])):
+                if n < len(p):
+                    full = floors.get((names[i], p[n]), _LOWEST)
+                    start = f[n] if n < len(f) and f[n] is not None else _LOWEST
+                    who[i], floor[i], top[i] = p[n], max(-(-low_share * s[n] // 100), start, full), high_share * s[n] // 100
+            least, most = np.minimum(least, floor), np.maximum(most, top)
+            tests.append(({"positive_id": who}, lambda score, j, a=floor, b=top: (score >= a[j]) & (score <= b[j])))
+        may = (high >= least) & (low <= most) & (labels[:, None] != own["label"].to_numpy())
+        return may, tests
 
     return wanted
 
@@ -238,7 +247,7 @@ def mine(df: DataFrame, is_anchor: Column, new_label: Column | None = None, posi
     rows = materialise(rows, "whole-vectors", "zstd")
     d = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)
     anchors = materialise(rows.filter(is_anchor), "anchors")
-    few = materialise(bounded_sample(rows, "vec_id", pilot), "pilot")
+    few = materialise(bounded_sample(rows, "vec_id", pilot).repartition(rows.rdd.getNumPartitions()), "pilot")
     results = []
     for part in _chunks(anchors, chunk):
         # At most about ``chunk`` anchors with their vectors.

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clauselens.llm.common import bounded_sample, keep_rows, materialise, source_rows
+from clauselens.operators.components import components
 
 SHINGLE = 3
 RADIUS = 2
@@ -203,38 +204,7 @@ def near_links(distinct: DataFrame, k: int = RADIUS, sample: int = SAMPLE, shard
     return sent.groupBy("shard").applyInPandas(search, "a long, b long")
 
 
-# --- components --------------------------------------------------------------
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) of all nodes in ``links`` (a, b): the smallest node reachable.
-
-    Each round points every node at the smallest node around it, then at that
-    one's own smallest, until nothing moves; paths halve in every round.
-    """
-    both = links.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    edges = materialise(both, "links")
-    for _ in range(rounds):
-        # Large star: neighbours above a node go to the smallest around it.
-        ends = edges.unionByName(edges.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
-        least = ends.groupBy("hi").agg(F.least(F.min("lo"), F.first("hi")).alias("least"))
-        large = ends.filter("lo > hi").join(least, "hi").select(F.col("lo").alias("hi"), F.col("least").alias("lo"))
-        large = large.distinct()
-        # Small star: neighbours below a node, and itself, go to the smallest of them.
-        down = large.groupBy("hi").agg(F.min("lo").alias("least"))
-        small = large.join(down, "hi").select(
-            F.explode(F.array("hi", "lo")).alias("hi"), F.col("least").alias("lo")).filter("hi <> lo").distinct()
-        new = materialise(small, "links")
-        same = _total(new) == _total(edges)
-        edges = new
-        if same:
-            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-    raise RuntimeError("components did not settle")
-
-
-def _total(edges: DataFrame) -> tuple:
-    """Tells two sets of edges apart."""
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo")), F.sum(F.hash("hi", "lo"))).first())
+# --- groups ------------------------------------------------------------------
 
 
 def near_duplicates(
@@ -264,12 +234,14 @@ def hex_fingerprint(fp):
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", groups=near_duplicates, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their group: its smallest key, once.
 
-    ``groups`` names the component of every row, as ``near_duplicates`` does.  Rows of one key count as one document.  Rows without a key stand behind all
-    others of their group; among themselves a hash of the text decides.
+    ``groups`` names the component of every row, as ``near_duplicates`` does.
+    Equal texts under one key count once; different texts under one key stay
+    together.  Rows without a key stand behind all others of their group; among
+    themselves a hash of the text decides.
     """
     nameless = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
     named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), nameless).alias("id"),
-                        F.col(text).alias("body"))
+                        F.col(text).alias("body"), F.xxhash64(text).alias("digest"))
     found = groups(named, "id", "body", **options)
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return keep_rows(named.drop("body"), "id", stay, "left_semi").dropDuplicates(["id"]).select("row.*")
+    return keep_rows(named.drop("body"), "id", stay, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")

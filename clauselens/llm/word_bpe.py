@@ -38,7 +38,7 @@ from clauselens.llm.stores import new_folder, read_arrow, write_arrow
 
 # Characters of a block, and shards of words.  A worker holds one block's
 # different words, or one shard's: 4,096 shards serve about 10^10 different words.
-BLOCK_CHARS = 1 << 25
+BLOCK_CHARS = 1 << 24
 SHARDS = 4096
 # Ids that are put together at once.
 SLICE = 1 << 20
@@ -115,6 +115,23 @@ def _blocks(frames: Iterator[pd.DataFrame], chars: int) -> Iterator[list[tuple]]
         yield held
 
 
+def _joined(words: list[str]) -> tuple[bytes, bytes]:
+    """The words' bytes, one after another, and how many each has."""
+    raw = [w.encode() for w in words]
+    return b"".join(raw), _narrow(np.array([len(x) for x in raw], np.uint32))
+
+
+def _narrow(values: np.ndarray) -> bytes:
+    """Unsigned numbers in one, two or four bytes each, after that width."""
+    top = int(values.max()) if len(values) else 0
+    width = 1 if top < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint32)
+
+
 def _numbered(words: list[str], counts: np.ndarray, shards: int) -> tuple[np.ndarray, dict[int, list[str]]]:
     """A number for each word, frequent words first in their shard, and the words by shard."""
     order = np.argsort(-counts, kind="stable")
@@ -129,7 +146,7 @@ def _numbered(words: list[str], counts: np.ndarray, shards: int) -> tuple[np.nda
 
 
 def split_words(docs: DataFrame, pattern: str, folder: str, block_chars: int, shards: int) -> DataFrame:
-    """(block, shard, words) of ``docs`` (doc_id, text); the documents go to files named by block.
+    """(block, shard, words, lengths) of ``docs`` (doc_id, text); the documents go to files named by block.
 
     Keys go through Python as strings, which keep nulls apart from numbers.
     """
@@ -151,9 +168,12 @@ def split_words(docs: DataFrame, pattern: str, folder: str, block_chars: int, sh
                 "words": pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(number[every], pa.int32()))})
             name = write_arrow(folder, table, compression="zstd", use_dictionary=False,
                                use_byte_stream_split=["words.list.element"])
-            yield pd.DataFrame({"block": name, "shard": list(by_shard), "words": list(by_shard.values())})
+            rows = [_joined(own) for own in by_shard.values()]
+            yield pd.DataFrame({"block": name, "shard": list(by_shard), "words": [r[0] for r in rows],
+                                "lengths": [r[1] for r in rows]})
 
-    return docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "block string, shard int, words array<string>")
+    return docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
+        run, "block string, shard int, words binary, lengths binary")
 
 
 # --- encoding ----------------------------------------------------------------
@@ -173,14 +193,16 @@ def encode_words(rows: DataFrame, ranks: str) -> DataFrame:
         shard, known = None, {}
         for frame in frames:
             ids, sizes = [], []
-            for own, words in zip(frame["shard"].tolist(), frame["words"].tolist()):
+            for own, raw, lengths in zip(frame["shard"].tolist(), frame["words"].tolist(), frame["lengths"].tolist()):
                 if own != shard:
                     shard, known = own, {}
+                ends = np.cumsum(_wide(lengths), dtype=np.int64).tolist()
+                words = [raw[a:b] for a, b in zip([0, *ends], ends)]
                 for word in set(words).difference(known):
-                    known[word] = np.array(encoding._encode_single_piece(word), "<u4").tobytes()
+                    known[word] = encoding._encode_single_piece(word)
                 parts = [known[w] for w in words]
-                ids.append(b"".join(parts))
-                sizes.append(np.array([len(x) // 4 for x in parts], "<u4").tobytes())
+                ids.append(_narrow(np.array([i for p in parts for i in p], np.uint32)))
+                sizes.append(_narrow(np.array([len(p) for p in parts], np.uint32)))
             yield pd.DataFrame({"block": frame["block"], "shard": frame["shard"], "ids": ids, "sizes": sizes})
 
     return rows.repartition("shard").sortWithinPartitions("shard").mapInPandas(
@@ -212,7 +234,7 @@ def assemble(encoded: DataFrame, folder: str, shards: int) -> DataFrame:
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         table = read_arrow(folder, frame["block"].iloc[0])
-        places = [np.frombuffer(x, "<u4") for x in frame["sizes"]]
+        places = [_wide(x) for x in frame["sizes"]]
         size = np.zeros(max(map(len, places)) * shards, np.int64)
         start, base = np.zeros_like(size), 0
         for shard, own in zip(frame["shard"].tolist(), places):
@@ -220,7 +242,7 @@ def assemble(encoded: DataFrame, folder: str, shards: int) -> DataFrame:
             size[at] = own
             start[at] = base + np.cumsum(own, dtype=np.int64) - own
             base += int(own.sum())
-        values = np.frombuffer(b"".join(frame["ids"]), "<u4")
+        values = np.concatenate([_wide(x) for x in frame["ids"]])
         words = table["words"].combine_chunks()
         if hasattr(words, "chunks"):
             words = words.chunk(0)
