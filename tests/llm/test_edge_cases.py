@@ -366,6 +366,77 @@ def test_main_text(spark):
     assert tag_paths.extract_text(pages.filter("false")).count() == 0
 
 
+LONG_P = "<p>This is a long paragraph, with marks. It goes on, and on; nothing stops it.</p>"
+LONG_T = "This is a long paragraph, with marks. It goes on, and on; nothing stops it."
+ARTICLES = {
+    # Class names that only contain a word for furniture.
+    f'<div class="has-sidebar"><article>{LONG_P}</article></div>': [LONG_T],
+    f'<article><div class="entry-header"><h1>Title</h1></div>{LONG_P}</article>': ["Title", LONG_T],
+    f'<article>{LONG_P}<p class="legal-note">Note this, please; it matters much.</p>{LONG_P}</article>':
+        [LONG_T, "Note this, please; it matters much.", LONG_T],
+    # Whole names, plain and compound, and an article below one.
+    f'<div class="site-header">We, the site. Yes, we.</div><article>{LONG_P}</article><div id="footerBar">Bye, all. Bye.</div>':
+        [LONG_T],
+    f'<div class="sidebar"><p>Nothing, really. No, nothing.</p><article>{LONG_P}</article></div>': [LONG_T],
+    f'<article>{LONG_P}</article><div class="post-comments"><article>{LONG_P}</article></div>': [LONG_T],
+    # A heading of the main part, a section of the article itself, a short second article.
+    f"<main><h1>Title</h1><article>{LONG_P}</article></main>": ["Title", LONG_T],
+    f'<article>{LONG_P}<section id="discussion">{LONG_P}</section></article>': [LONG_T, LONG_T],
+    f"<article>{LONG_P * 9}</article><article><p>Short, but an article.</p></article>": [LONG_T] * 9 + ["Short, but an article."],
+    # What the ratios leave out: links before and after, also without class names.
+    f"<body><div><a>Home</a> | <a>About</a></div><div>{LONG_P * 3}</div></body>": [LONG_T] * 3,
+    f"<article><h1>T</h1><ul><li><a>One</a></li><li><a>Two</a></li></ul>{LONG_P * 2}<div><a>Share on X</a></div></article>":
+        ["T", LONG_T, LONG_T],
+    f"<article>{LONG_P * 4}<div>Share on X</div></article>": [LONG_T] * 4,
+    # Short blocks between content ones.
+    f"<article>{LONG_P}<ul><li>one</li><li>two</li></ul><h2>Next</h2>{LONG_P}</article>": [LONG_T, "one", "two", "Next", LONG_T],
+}
+
+
+@pytest.mark.parametrize("page", ARTICLES)
+def test_articles(page):
+    assert tag_paths.main_text(page) == "\n\n".join(ARTICLES[page])
+
+
+def _plain_selection(blocks, threshold):
+    """Scores of paths again, in plain loops over (path, text, linked) blocks."""
+    import math
+
+    def score(path):
+        own = [(t, linked) for p, t, linked in blocks if p == path]
+        length = sum(len(t) for t, linked in own if not linked) / len(own)
+        marks = sum(t.count(c) for t, linked in own if not linked for c in ".,;:!?") / len(own)
+        return math.log(1 + length * (1 + marks))
+
+    raw = [score(p) for p, _, _ in blocks]
+    near = [(raw[i - 1 if i else 0] + raw[i] * 2 + raw[i + 1 if i + 1 < len(raw) else i]) / 4 for i in range(len(raw))]
+    mean = sum(x * len(t) for x, (_, t, _) in zip(near, blocks)) / sum(len(t) for _, t, _ in blocks)
+    return {p for p, _, _ in blocks
+            if sum(x for x, b in zip(near, blocks) if b[0] == p) / sum(b[0] == p for b in blocks) >= threshold * mean}
+
+
+def test_selection_against_plain_scores():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        blocks, parts = [], []
+        for _ in range(int(rng.integers(1, 14))):
+            tag, linked = ["p", "li", "td", "div"][rng.integers(4)], rng.random() < 0.2
+            text = " ".join(["word, ", "thing", "end."][rng.integers(3)].strip() for _ in range(int(rng.integers(1, 30))))
+            blocks.append((tag, text, linked))
+            parts.append(f"<{tag}>" + (f"<a>{text}</a>" if linked else text) + f"</{tag}>")
+        found = tag_paths.page_blocks("".join(parts))
+        assert [(b.path, b.text, not b.free) for b in found] == blocks
+        for threshold in (0.0, 0.5, 0.9):
+            assert tag_paths.content_paths(found, threshold) == _plain_selection(blocks, threshold)
+
+
+def test_threshold_decides():
+    page = f"<body>{LONG_P * 3}<div>Not much, here; but some, and more.</div><ul><li>a</li><li>b</li></ul></body>"
+    texts = {t: tag_paths.main_text(page, t) for t in (0.0, 0.6, 0.9)}
+    assert texts[0.0].endswith("a\n\nb") and texts[0.6] == "\n\n".join([LONG_T] * 3 + ["Not much, here; but some, and more."])
+    assert texts[0.9] == "\n\n".join([LONG_T] * 3)
+
+
 def test_path_ratios():
     blocks = tag_paths.page_blocks("<div><p>One, two. Three!</p><p>Four.</p><ul><li>a</li><li>b</li></ul></div>")
     scores = tag_paths.path_scores(blocks)
