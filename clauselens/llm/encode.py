@@ -2,7 +2,9 @@
 
 A text is cut where the tokenizer's own splitting always cuts (at single
 spaces and line ends), every different piece is encoded once per task, and the pieces' bytes
-are joined.  The ids are those of encoding the text in one go.
+are joined.  The ids are those of encoding the text in one go with the library as it
+is: the name of a special token in a text becomes that token, and such a text is
+encoded whole.  ``special_as_text`` takes those names for ordinary text.
 """
 
 from __future__ import annotations
@@ -44,12 +46,15 @@ def default_tokenizer(name: str) -> str:
 class Encoder:
     """ids of texts by one tokenizer file, whole texts at a time."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        names = [] if special_as_text else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # A normaliser may lower a text before its special tokens are looked for.
+        self.special = re.compile("|".join(map(re.escape, names)), re.I).search if names else None
         # Byte-level vocabularies keep white space inside tokens; word vocabularies drop it.
         self.keeps_space = bool(self.tokenizer.encode("a b", add_special_tokens=False).ids
                                 != self.tokenizer.encode("a  b", add_special_tokens=False).ids)
@@ -113,30 +118,35 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """One bytes value per text; null counts as empty."""
-        cut = [self._pieces(t) if t else [] for t in texts]
+        whole = {i for i, t in enumerate(texts) if t and self.special is not None and self.special(t)}
+        cut = [self._pieces(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         if len(self.known) > REMEMBERED:
             self.known = {"": b""}
         new = set().union(*cut).difference(self.known) if cut else set()
         unusual = self._learn(new)
         known = self.known.__getitem__
         out = [b"".join(map(known, pieces)) for pieces in cut]
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, "<u4").tobytes()
         for piece in unusual:
             if len(piece) > LONGEST_REMEMBERED:
                 del self.known[piece]
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder_of(path: str) -> Encoder:
+def encoder_of(path: str, special_as_text: bool = False) -> Encoder:
     """The encoder that this Python worker keeps for its tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = (path, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, rows: int = 256) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, rows: int = 256,
+            special_as_text: bool = False) -> DataFrame:
     """(doc_id, part, local_start, n_tokens, ids) of ``docs`` (doc_id, text).
 
     ``part`` numbers the task and ``local_start`` counts the ids of the task's
@@ -148,7 +158,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None, rows: int = 256
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        part, seen, encoder = TaskContext.get().partitionId(), 0, encoder_of(tokenizer)
+        part, seen, encoder = TaskContext.get().partitionId(), 0, encoder_of(tokenizer, special_as_text)
         for frame in frames:
             for at in range(0, len(frame), rows):
                 piece = frame.iloc[at:at + rows]

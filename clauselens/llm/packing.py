@@ -24,7 +24,7 @@ END_ID = 2
 
 def pack(
     docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID,
-    key: str = "doc_id", text: str = "text",
+    key: str = "doc_id", text: str = "text", special_as_text: bool = False,
 ) -> DataFrame:
     """One row per piece: a boundary record and the piece's ids.
 
@@ -33,7 +33,8 @@ def pack(
     32-bit values).
     """
     tokenizer = tokenizer or default_tokenizer("word_bpe_49k.json")
-    tokens = materialise(encoded(source_rows(docs, key, text), tokenizer, end_id), "pack-ids", "zstd")
+    tokens = materialise(encoded(
+        source_rows(docs, key, text), tokenizer, end_id, special_as_text=special_as_text), "pack-ids", "zstd")
     # One row for each part of the input: some bytes for a gigabyte of text.
     placed = tokens.join(F.broadcast(part_bases(tokens)), F.col("part") == F.col("base_part"))
     at = F.col("base") + F.col("local_start")

@@ -22,7 +22,7 @@ from clauselens.llm.encode import default_tokenizer, encoder_of
 
 def token_lengths(
     docs: DataFrame, tokenizer: str | None = None, end_id: int | None = None, key: str = "doc_id",
-    text: str = "text",
+    text: str = "text", special_as_text: bool = False,
 ) -> DataFrame:
     """(doc_id, n_tokens) of every row."""
     import pandas as pd
@@ -31,7 +31,7 @@ def token_lengths(
     extra = int(end_id is not None)
 
     def run(frames):
-        encoder = encoder_of(tokenizer)
+        encoder = encoder_of(tokenizer, special_as_text)
         for frame in frames:
             for at in range(0, len(frame), 256):
                 piece = frame.iloc[at:at + 256]

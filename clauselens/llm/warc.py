@@ -154,7 +154,10 @@ def with_revisits(pages: DataFrame, key: str = "page_id", url: str = "url", html
     rows = rows.withColumn("sha", F.sha1("payload"))
     # Rows without a key may be the only ones of their group: then none is a revisit.
     last = rows.groupBy("sha").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies"))
-    last = last.filter("copies > 1 AND last IS NOT NULL").select(F.col("sha").alias("of_sha"), "last")
+    # Stored, so that the join's sides are a scan and a plain shuffle, of which Spark can split a hot payload, or
+    # a broadcast where the copies are few: only payloads with copies have a row here.
+    last = materialise(last.filter("copies > 1 AND last IS NOT NULL").select(F.col("sha").alias("of_sha"), "last"),
+                       "repeated-payloads")
     found = rows.join(last, F.col("sha") == F.col("of_sha"), "left")
     other = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return found.select("page_id", "url", "payload", F.when(other, F.col("last")).alias("refers_to"))

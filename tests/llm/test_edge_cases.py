@@ -73,16 +73,19 @@ def test_histogram_answers(spark):
     assert [r.n_tokens for r in token_counts.quantile_lengths(table, [0.5, 1.0]).collect()] == [3, 5000]
 
 
+@pytest.mark.parametrize("special_as_text", [False, True])
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
-def test_ids_are_those_of_the_library(name):
+def test_ids_are_those_of_the_library(name, special_as_text):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(default_tokenizer(name))
-    plain.encode_special_tokens = True
+    if special_as_text:
+        plain.encode_special_tokens = True
     rng = np.random.default_rng(7)
-    letters = list("ab 'st.,\n\t\x01\x1c é9ÀßÅ") + ["́", " ", "  ", "\n\n", "<|endoftext|>"]
-    texts = [t or "" for _, t in TEXTS] + ["".join(rng.choice(letters, rng.integers(0, 50))) for _ in range(1500)]
-    for text, raw in zip(texts, Encoder(default_tokenizer(name))(texts)):
+    letters = list("ab 'st.,\n\t\x01\x1c é9ÀßÅ") + [
+        "́", " ", "  ", "\n\n", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|"]
+    texts = [t or "" for _, t in TEXTS] + ["".join(rng.choice(letters, rng.integers(0, 50))) for _ in range(3000)]
+    for text, raw in zip(texts, Encoder(default_tokenizer(name), special_as_text)(texts)):
         assert np.frombuffer(raw, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
