@@ -628,6 +628,28 @@ def test_near_copies_against_all_pairs(spark):
     assert kept == {None if c == 10 ** 9 else c for c in group.values()}
 
 
+def test_one_shingle_in_very_many_sets(spark, monkeypatch):
+    """Sets that are mostly one passage: block against block gives the same groups as a plain search."""
+    monkeypatch.setattr(near_copies, "BLOCK", 64)
+    rng, passage = np.random.default_rng(6), [f"p{i}" for i in range(40)]
+    rows = []
+    for i in range(500):
+        own = [f"w{i // 3}x{j}" for j in range(int(rng.integers(3, 9)))]
+        rows.append((i, " ".join(own[:len(own) // 2] + passage + own[len(own) // 2:] + ([f"e{i}"] if i % 3 else []))))
+    sets = [{tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)} for _, t in rows]
+    group = list(range(500))
+    pairs = [(i, j) for i in range(500) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])]
+    for _ in range(500):
+        before = list(group)
+        for i, j in pairs:
+            group[i] = group[j] = min(group[i], group[j])
+        if before == group:
+            break
+    assert 2 < len(set(group)) < 500
+    found = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), sample=50).collect()
+    assert {r.doc_id: r.component_id for r in found} == dict(enumerate(group))
+
+
 def test_toxic_words_in_long_texts(spark):
     """A few toxic words among many others are rejected; the same text without them is kept."""
     rng = np.random.default_rng(3)
