@@ -363,6 +363,37 @@ def r12(s, d):
         "doc_id", F.array_join("categories", "|").alias("categories"))
 
 
+_START = 200
+
+
+def _around(s, d, value):
+    """One JSON value for each document, as models give them: fenced, plain, or with something behind it."""
+    n = F.col("doc_id") % 6
+    tail = F.regexp_extract("text", r"^\S*", 0)
+    response = F.when(n == 0, F.concat(F.lit("```json\n"), value, F.lit("\n```"))).when(n == 1, value).when(
+        n == 2, F.concat(value, F.lit("} "), tail)).when(n == 3, F.concat(value, F.lit('}{"v":'), value)).when(
+        n == 4, F.concat(value, F.lit(", "), value)).otherwise(F.concat(value, F.lit("]")))
+    return fx.table(s, d, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text", response.alias("response"))
+
+
+@query("r12_label_texts", f"""
+SELECT doc_id, CASE WHEN doc_id % 6 < 2 THEN md5(text[1:{_START}]) END AS named,
+  CASE WHEN doc_id % 6 < 2 THEN 'Indemnity|Arbitration' END AS categories FROM documents""")
+def r12_texts(s, d):
+    """Categories stand around the start of a document, with whatever quotes and brackets it has."""
+    answers = _around(s, d, F.to_json(F.array(F.lit("Indemnity"), F.substring("text", 1, _START), F.lit("Arbitration"))))
+    named = answers.select("doc_id", F.md5(F.get(ma.parse_label_array(F.col("response")), F.lit(1))).alias("named"))
+    read = ma.parse_labels(answers, fx.rules(s)).select("doc_id", F.array_join("categories", "|").alias("categories"))
+    return named.join(read, "doc_id")
+
+
+@query("b5_advice_texts", f"""
+SELECT doc_id, CASE WHEN doc_id % 6 < 2 THEN md5(text[1:{_START}]) END AS advice FROM documents""")
+def b5_texts(s, d):
+    answers = _around(s, d, F.to_json(F.create_map(F.lit("Indemnity"), F.substring("text", 1, _START))))
+    return pr.parse_advice(answers).select("doc_id", F.md5(F.element_at("advice", "Indemnity")).alias("advice"))
+
+
 # --- clauses, scores, reports (R13-R23) ------------------------------------
 
 
@@ -383,6 +414,22 @@ def r15_pages(s, d):
     return cl.collapse_clauses(rp.raw_clauses(_page_chunks(s, d), fx.rules(s))).select(*_CLAUSE)
 
 
+@query("r15_collapse_large")
+def r15_large(s, d):
+    """All turns of all conversations as clauses of one category in one document."""
+    turns = fx.table(s, d, "conversations")
+    rows = turns.select(
+        F.lit(1).cast("long").alias("doc_id"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text")).alias("place"),
+        "conv_id", "turn", "text")
+    clauses = rows.select(
+        "doc_id", (F.col("conv_id") * 1000 + F.col("place")).cast("int").alias("chunk_index"), F.lit(1).alias("rule_id"),
+        F.lit("Turn").alias("category"), F.col("text").alias("clause_text"), F.lit("").alias("explanation"),
+        F.lit("Low").alias("risk_level"), F.lit(1.0).alias("rule_weight"),
+        F.when(F.col("turn") % 2 == 0, 0.88).otherwise(0.78).alias("confidence_score"),
+        (F.col("turn") + 1).cast("int").alias("page_number"))
+    return cl.collapse_in_pieces(clauses).select("chunk_index", "page_number", "clause_text", "confidence_score")
+
+
 @query("r16_scores", q.build(_REPORT_SQL.format("reports"), "reports"))
 def r16(s, d):
     return sc.score_documents(fx.contracts(s, d).select("doc_id"), _collapsed(s, d)).select(*_REPORT)
@@ -899,6 +946,11 @@ def l1(s, d):
 
 @query("l2_best_block", q.build("SELECT doc_id, clause_id, page_number, idx FROM page_best WHERE page_number = own_page", "page_best"))
 def l2(s, d):
+    return loc.best_block(fx.blocks(fx.contract_pages(s, d)), _block_clauses(s, d), fv.LOCATION_PREFIX_WORDS)
+
+
+@query("l2_whole_clause", q.build("SELECT doc_id, clause_id, page_number, idx FROM whole_best WHERE page_number = own_page", "whole_best"))
+def l2_whole(s, d):
     return loc.best_block(fx.blocks(fx.contract_pages(s, d)), _block_clauses(s, d))
 
 
@@ -909,7 +961,7 @@ JOIN placed p ON p.doc_id = f.doc_id AND p.page_number = f.page_number AND p.par
 @query("l3_expand_block", q.build(_RECTS.format("SELECT * FROM page_best WHERE page_number = own_page"), "page_best", "placed"))
 def l3(s, d):
     blocks = fx.blocks(fx.contract_pages(s, d))
-    return loc.expand_block(blocks, loc.best_block(blocks, _block_clauses(s, d))).select(
+    return loc.expand_block(blocks, loc.best_block(blocks, _block_clauses(s, d), fv.LOCATION_PREFIX_WORDS)).select(
         "doc_id", "clause_id", "page_number", "idx", "y0", "y1")
 
 
@@ -918,7 +970,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, clause_id ORDER
   SELECT b.*, CASE WHEN own_page < 1 OR own_page > last THEN 1 ELSE own_page END AS target FROM page_best b
   JOIN (SELECT doc_id, max(page_number) AS last FROM blocks GROUP BY 1) USING (doc_id))) WHERE k = 1"""), "page_best", "placed", "blocks"))
 def l4(s, d):
-    return loc.locate(fx.blocks(fx.contract_pages(s, d)), _block_clauses(s, d)).select(
+    return loc.locate(fx.blocks(fx.contract_pages(s, d)), _block_clauses(s, d), fv.LOCATION_PREFIX_WORDS).select(
         "doc_id", "clause_id", "page_number", "idx", "y0", "y1")
 
 
@@ -948,3 +1000,16 @@ def x2(s, d):
      .foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{base}/out"))
      .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination())
     return s.read.parquet(f"{base}/out")
+
+
+@query("x1_null_pages", q.build("SELECT doc_id, count(*) AS chunks FROM pchunks GROUP BY doc_id", "pchunks"))
+def x1_null_pages(s, d):
+    """Every third page has no number; pages arrive in two batches, and none is lost."""
+    base = f"{checkpoint_dir(s)}/x1-{uuid.uuid4().hex}"
+    turns = fx.table(s, d, "conversations")
+    for part in (0, 1):
+        turns.filter(F.col("turn") % 2 == part).write.parquet(f"{base}/in/{part}")
+        arrived = fx.as_contract_pages(s.readStream.schema(turns.schema).parquet(f"{base}/in/*")).withColumn(
+            "page_number", F.when(F.col("page_number") % 3 != 0, F.col("page_number")))
+        inc.stream_analysis(arrived, fx.rules(s), f"{base}/out", f"{base}/state", buckets=8).awaitTermination()
+    return s.read.parquet(f"{base}/out/document_chunks").groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))

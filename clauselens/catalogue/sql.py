@@ -443,7 +443,7 @@ FROM (SELECT doc_id, page_number, l.t AS text, ((l.i - 1) * 12.0 + ((l.i - 1) //
 WHERE {strip('text')} <> ''""")
 cte("block_clauses", ("pclauses",), f"""
 SELECT doc_id, doc_id || ':' || chunk_index || ':' || rule_id AS clause_id, category, explanation, clause_text,
-  lower(array_to_string((words)[1:4], ' ')) AS prefix, len(words) AS n_words, terms,
+  lower(array_to_string((words)[1:4], ' ')) AS prefix, lower(array_to_string(words, ' ')) AS whole, len(words) AS n_words, terms,
   CAST(CASE WHEN chunk_index % 3 = 0 THEN page_number WHEN chunk_index % 3 = 1 THEN page_number + 50 ELSE 1 END AS INTEGER) AS page_number
 FROM (SELECT p.*, t.terms, {words('p.clause_text')} AS words FROM pclauses p JOIN (
   SELECT category, explanation, {clause_terms('category', 'explanation')} AS terms
@@ -461,10 +461,16 @@ SELECT *, CAST(sum(opens) OVER (PARTITION BY doc_id, page_number ORDER BY idx) A
     WHERE NOT footer OR bodies = 0 WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY round(y0, 1), round(x0, 1), y1, x1, text)))""")
 cte("scored_blocks", ("placed", "block_clauses"), f"""
 SELECT b.doc_id, c.clause_id, c.page_number AS own_page, b.page_number, b.idx, b.paragraph,
-  len(list_filter(c.terms, lambda t: contains(b.low, t))) AS score, c.n_words >= 4 AND contains(b.low, c.prefix) AS prefixed
+  len(list_filter(c.terms, lambda t: contains(b.low, t))) AS score, c.n_words >= 4 AND contains(b.low, c.prefix) AS prefixed,
+  c.n_words > 0 AND contains(b.low, c.whole) AS held
 FROM placed b JOIN block_clauses c USING (doc_id)""")
 cte("page_best", ("scored_blocks",), """
 SELECT doc_id, clause_id, own_page, page_number, idx, paragraph FROM (
   SELECT *, row_number() OVER (PARTITION BY doc_id, clause_id, page_number ORDER BY score DESC, idx) AS r
   FROM scored_blocks WHERE score > 0 OR prefixed)
 WHERE r = 1""")
+cte("whole_best", ("scored_blocks",), """
+SELECT doc_id, clause_id, own_page, page_number, idx, paragraph FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, clause_id, page_number ORDER BY score DESC, idx) AS r
+  FROM scored_blocks WHERE score > 0 OR held)
+WHERE r = 1""")

@@ -65,12 +65,11 @@ def _term_score(terms: Column, low: Column) -> Column:
     return F.size(F.filter(terms, lambda t: F.contains(low, t)))
 
 
-def _prefix(clause_text: Column) -> Column:
-    """The first words of a clause, lower case; null when there are fewer."""
+def _opening(clause_text: Column, prefix_words: int | None) -> Column:
+    """A clause in lower case, or its first words, null when there are fewer; null for no word."""
     ws = words(F.coalesce(clause_text, F.lit("")))
-    return F.when(
-        F.size(ws) >= fv.LOCATION_PREFIX_WORDS,
-        F.lower(F.array_join(F.slice(ws, 1, fv.LOCATION_PREFIX_WORDS), " ")))
+    taken = ws if prefix_words is None else F.slice(ws, 1, prefix_words)
+    return F.when(F.size(ws) >= (prefix_words or 1), F.lower(F.array_join(taken, " ")))
 
 
 def _term_hits(placed: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -102,13 +101,13 @@ def _kinds(clauses: DataFrame) -> DataFrame:
         F.first(clause_terms(F.col("category"), F.col("explanation"))).alias("terms"))
 
 
-def _prefix_hits(placed: DataFrame, clauses: DataFrame, term_hits: DataFrame) -> DataFrame:
-    """First block holding the clause's first words, on pages without a term hit."""
+def _prefix_hits(placed: DataFrame, clauses: DataFrame, term_hits: DataFrame, prefix_words: int | None) -> DataFrame:
+    """First block holding the clause or its first words, on pages without a term hit."""
     hays = placed.select(
         "doc_id", F.struct("page_number", "idx").alias("hay_id"), F.col("low").alias("hay"))
     needles = clauses.select(
         "doc_id", F.struct("clause_id", "kind").alias("needle_id"),
-        _prefix(F.col("clause_text")).alias("needle")).filter("needle is not null")
+        _opening(F.col("clause_text"), prefix_words).alias("needle")).filter("needle is not null")
     return (
         containing_pairs(hays, needles, ["doc_id"])
         .groupBy("doc_id", F.col("needle_id.clause_id").alias("clause_id"),
@@ -119,14 +118,18 @@ def _prefix_hits(placed: DataFrame, clauses: DataFrame, term_hits: DataFrame) ->
     )
 
 
-def best_block(blocks: DataFrame, clauses: DataFrame) -> DataFrame:
-    """L2: (doc_id, clause_id, page_number, idx) on the clause's own page."""
+def best_block(blocks: DataFrame, clauses: DataFrame, prefix_words: int | None = None) -> DataFrame:
+    """L2: (doc_id, clause_id, page_number, idx) on the clause's own page.
+
+    Where no block has one of its terms, a clause is looked for by its whole
+    text, or by its first ``prefix_words`` words.
+    """
     placed = page_blocks(blocks)
     kinded = _with_kind(clauses)
     by_terms = _term_hits(placed, _kinds(kinded))
     own = kinded.select("doc_id", "clause_id", "kind", "page_number")
     found = own.join(by_terms, ["doc_id", "page_number", "kind"])
-    by_prefix = _prefix_hits(placed, kinded, by_terms).join(
+    by_prefix = _prefix_hits(placed, kinded, by_terms, prefix_words).join(
         own.drop("kind"), ["doc_id", "clause_id", "page_number"])
     columns = ["doc_id", "clause_id", "page_number", "idx"]
     return found.select(*columns).unionByName(by_prefix.select(*columns))
@@ -143,7 +146,7 @@ def expand_block(blocks: DataFrame, best: DataFrame) -> DataFrame:
     )
 
 
-def locate(blocks: DataFrame, clauses: DataFrame) -> DataFrame:
+def locate(blocks: DataFrame, clauses: DataFrame, prefix_words: int | None = None) -> DataFrame:
     """L4: like L2 + L3, going on to the other pages when the own page has nothing.
 
     A page beyond the document means page 1.  Term hits are kept per kind and
@@ -168,7 +171,7 @@ def locate(blocks: DataFrame, clauses: DataFrame) -> DataFrame:
     )
     term_hits = _term_hits(placed, _kinds(kinded))
     by_terms = term_hits.join(solid_idx, [*keys, "idx"])
-    by_prefix = _prefix_hits(placed, kinded, term_hits).join(solid_idx, [*keys, "idx"])
+    by_prefix = _prefix_hits(placed, kinded, term_hits, prefix_words).join(solid_idx, [*keys, "idx"])
 
     own = kinded.select("doc_id", "clause_id", "kind", "_target")
     first = F.min(F.struct("page_number", "idx"))

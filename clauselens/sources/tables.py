@@ -63,7 +63,8 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _bucket(key: str, buckets: int):
+def bucket(key: str, buckets: int):
+    """The hash bucket of a key, under the name that stored tables use."""
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("doc_bucket")
 
 
@@ -83,13 +84,13 @@ def write_results(
     never read and overwritten by the same job.
     """
     spark = df.sparkSession
-    new = df.withColumn("doc_bucket", _bucket(key, buckets))
+    new = df.withColumn("doc_bucket", bucket(key, buckets))
     if not _exists(spark, path):
         new.hint("rebalance", "doc_bucket").write.partitionBy("doc_bucket").parquet(path)
         return
     ids = ids.select(key).distinct()
     touched = [  # at most ``buckets`` small integers
-        r[0] for r in ids.select(_bucket(key, buckets)).distinct().limit(buckets).collect()
+        r[0] for r in ids.select(bucket(key, buckets)).distinct().limit(buckets).collect()
     ]
     kept = (
         spark.read.schema(new.schema).parquet(path)

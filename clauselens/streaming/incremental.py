@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from clauselens import schemas
 from clauselens.operators.chunking import chunk
 from clauselens.operators.clauses import collapse_clauses
 from clauselens.operators.scoring import choose_advice, score_documents
 from clauselens.plans.report import document_entities, raw_clauses
-from clauselens.sources.tables import BUCKETS, materialise, scratch, write_results
+from clauselens.sources.tables import BUCKETS, bucket, materialise, scratch, write_results
 
 
 def store_analysis(pages: DataFrame, rules: DataFrame, out: str, single_page: bool = False,
@@ -42,29 +43,40 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int | None = No
     return reader.parquet(path)
 
 
+def arrived_pages(spark: SparkSession, pages: str, schema: StructType, number: int, buckets: int = BUCKETS) -> DataFrame:
+    """All stored pages in the buckets of the documents of a batch, with their ``batch``."""
+    schema = StructType([*(f for f in schema.fields if f.name != "doc_bucket"), StructField("batch", LongType()),
+                         StructField("doc_bucket", IntegerType())])
+    stored = spark.read.schema(schema).option("basePath", pages).parquet(f"{pages}/batch=*")
+    own = stored.filter(F.col("batch") == number).select("doc_bucket").distinct().limit(buckets)
+    # At most as many small numbers as there are buckets; the scan opens their folders alone.
+    return stored.filter(F.col("doc_bucket").isin([r[0] for r in own.collect()]))
+
+
 def stream_analysis(
     stream: DataFrame, rules: DataFrame, out: str, checkpoint: str,
     single_page: bool = False, buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Analyses what has arrived and stops.
 
-    Arriving pages are stored first, in a partition of their batch; then every
-    document that the batch touches is analysed from all its stored pages, so
-    pages of one document may come in any number of batches.  Of a page number
-    that arrives again, the newest batch counts.  A replayed batch overwrites
-    its own partition and its documents' results.
+    Arriving pages are stored first, by batch and by a hash bucket of their
+    document; then every document that the batch touches is analysed from all its
+    stored pages, so pages of one document may come in any number of batches, and
+    only the buckets of touched documents are read.  Of a page number that arrives
+    again, the newest batch counts; pages without a number all stay.  A replayed
+    batch overwrites its own partition and its documents' results.
     """
 
     def run(batch: DataFrame, number: int) -> None:
         spark, pages = batch.sparkSession, f"{out}/arrived_pages"
-        batch.write.mode("overwrite").parquet(f"{pages}/batch={number}")
-        stored = spark.read.option("basePath", pages).parquet(f"{pages}/batch=*")
+        arrived = batch.withColumn("doc_bucket", bucket("doc_id", buckets))
+        arrived.write.mode("overwrite").partitionBy("doc_bucket").parquet(f"{pages}/batch={number}")
+        stored = arrived_pages(spark, pages, arrived.schema, number, buckets)
         touched = stored.filter(F.col("batch") == number).select("doc_id").distinct()
         newest = Window.partitionBy("doc_id", "page_number").orderBy(F.desc("batch"))
-        current = (
-            stored.join(touched, "doc_id", "left_semi").withColumn("_age", F.rank().over(newest))
-            .filter("_age = 1").select(*batch.columns)
-        )
+        numbered, bare = stored.filter("page_number IS NOT NULL"), stored.filter("page_number IS NULL")
+        latest = numbered.withColumn("_age", F.rank().over(newest)).filter("_age = 1").drop("_age")
+        current = latest.unionByName(bare).join(touched, "doc_id", "left_semi").select(*batch.columns)
         with scratch(spark):
             store_analysis(materialise(current, "touched-pages"), rules, out, single_page, buckets)
 

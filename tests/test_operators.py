@@ -205,9 +205,28 @@ def test_collapse_against_brute_force(spark, seed):
     assert "Python" not in plan and "MapInPandas" not in plan
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_collapse_in_pieces_against_brute_force(spark, seed):
+    rnd = random.Random(10 + seed)
+    words = [f"word{i}" for i in range(60)] + "rent due late fee".split()
+    base = [" ".join(rnd.choices(words, k=rnd.randint(1, 14))) for _ in range(60)]
+    items = []
+    for _ in range(160):
+        text = rnd.choice(base).split()
+        for _ in range(rnd.randint(0, 3)):
+            text[rnd.randrange(len(text))] = rnd.choice(words)
+        text = text[:rnd.randint(1, len(text))] if rnd.random() < 0.2 else text
+        items.append(("Cat", rnd.choice([None, 1, 2, 3]), " ".join(text).upper() if rnd.random() < 0.1 else " ".join(text),
+                      rnd.choice([.78, .88, .95])))
+    items += [("Cat", 2, "", .78)] * (seed % 2)
+    folded = cl.collapse_in_pieces(clause_rows(spark, items))
+    assert sorted(repr((r["page_number"], r["clause_text"], r["confidence_score"])) for r in folded.collect()) == greedy(items)
+
+
 @pytest.mark.parametrize("text", [
     '["Indemnity"] Hope this helps', "['Indemnity']", '["Indemnity"] ["Arbitration"]', '{"Indemnity":"x"} trailing',
-    "{'Indemnity':'x'}", '["a"], "w": ["b"]', '["a"', "", None])
+    "{'Indemnity':'x'}", '["a"], "w": ["b"]', '["a"', "", None, '["Indemnity"]} Hope', '["a"]}{"v":["b"]', '["a"]} ',
+    '{"a":"b"}} Hope', '["a"], ["b"]', '["a"]]', '{"a":"b"}, {"a":"c"}'])
 def test_text_that_is_not_json_gives_nothing(spark, text):
     assert value(spark, text, ma.parse_label_array) is None
     assert value(spark, text, pr.parse_advice_text) is None
