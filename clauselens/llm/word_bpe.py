@@ -41,7 +41,7 @@ from clauselens.llm.stores import new_folder, read_arrow, write_arrow
 BLOCK_CHARS = 1 << 24
 SHARDS = 4096
 # Ids that are put together at once.
-SLICE = 1 << 20
+SLICE = 1 << 17
 
 
 def default_ranks() -> str:
