@@ -22,6 +22,7 @@ from clauselens.operators import rules as ru
 from clauselens.operators import scoring as sc
 from clauselens.operators import vectors as ve
 from clauselens.operators.chunking import chunk
+from clauselens.plans import difference as di
 from clauselens.plans import portfolio as pf
 from clauselens.plans import report as rp
 from clauselens.session import checkpoint_dir
@@ -527,6 +528,25 @@ def r22(s, d):
         "doc_id", "new_risk", "new_score", "old_risk", "old_score")
 
 
+def _older_rules(rules):
+    """The rules as they stood before four of them were changed: keywords, weight, one switched on, one off."""
+    i = F.col("rule_id")
+    return (
+        rules.withColumn("keywords", F.when(i == 1, "the, rent").otherwise(F.col("keywords")))
+        .withColumn("weight", F.when(i == 2, 7.5).otherwise(F.col("weight")))
+        .withColumn("is_active", F.when(i == 100, False).when(i == 106, True).otherwise(F.col("is_active")))
+    )
+
+
+@query("r22_delta", q.build(_REPORT_SQL.format("preports"), "preports"))
+def r22_delta(s, d):
+    """New reports after a change of four rules, from the old hits and reports; the SQL is a full run."""
+    rules, chunks = fx.rules(s), tables.materialise(_page_chunks(s, d), "chunks")
+    old = _older_rules(rules)
+    previous = tables.materialise(rp.reports_from_chunks(chunks, old)[1], "reports")
+    return di.reanalyse_changed(chunks, di.match_all(chunks, old), old, rules, previous)[0].select(*_REPORT)
+
+
 @query("r23_failures", f"""
 SELECT doc_id, 'failed' AS status, {q.text(fv.EMPTY_TEXT_MESSAGE)} AS error_message FROM documents WHERE doc_id % 10 = 3""")
 def r23(s, d):

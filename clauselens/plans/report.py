@@ -108,10 +108,15 @@ def reanalyse(
     """New reports under the given rules, and what changed against
     ``previous`` (doc_id, overall_risk, composite_risk_score)."""
     _, reports = reports_from_chunks(chunks, rules, labels)
+    return reports, report_changes(reports, previous)
+
+
+def report_changes(reports: DataFrame, previous: DataFrame) -> DataFrame:
+    """Documents whose level or score differs from ``previous``, with both; one without an earlier report counts."""
     old = previous.select(
         "doc_id", F.col("overall_risk").alias("old_risk"),
         F.col("composite_risk_score").alias("old_score"))
-    changes = (
+    return (
         reports.select(
             "doc_id", F.col("overall_risk").alias("new_risk"),
             F.col("composite_risk_score").alias("new_score"))
@@ -120,7 +125,6 @@ def reanalyse(
             ~F.col("new_risk").eqNullSafe(F.col("old_risk"))
             | ~F.col("new_score").eqNullSafe(F.col("old_score")))
     )
-    return reports, changes
 
 
 def override_keywords(rules: DataFrame, override: str | None) -> DataFrame:

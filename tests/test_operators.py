@@ -389,3 +389,36 @@ def test_scratch_folders_go(spark):
         folder = kept.inputFiles()[0].rsplit("/", 1)[0]
         assert kept.count() == 3 and tables._exists(spark, folder)
     assert not tables._exists(spark, folder)
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_reanalysis_by_difference(spark, monkeypatch, labelled):
+    """Equal to a full run; only rules that look for something else are matched again; other columns stay."""
+    from clauselens.catalogue import fixtures as fx
+    from clauselens.catalogue.registry import _older_rules
+    from clauselens.plans import difference as di
+
+    sf = "/root/testdata/sf0.001"
+    chunks = tables.materialise(chunk(fx.contracts(spark, sf), single_page=True), "test-chunks")
+    labels = fx.model_labels(spark, sf) if labelled else None
+    rules = fx.rules(spark)
+    old = _older_rules(rules)
+    previous = tables.materialise(
+        rp.reports_from_chunks(chunks, old, labels)[1].withColumn("key_entities", F.lit("kept")), "test-reports")
+    before = di.match_all(chunks, old)
+    matched = []
+    plain = di.match_rules
+    monkeypatch.setattr(di, "match_rules", lambda c, r: matched.extend(x["rule_id"] for x in r.collect()) or plain(c, r))
+    reports, changes, after = di.reanalyse_changed(chunks, before, old, rules, previous, labels)
+    assert sorted(matched) == [1, 100]
+    rows = lambda x, *cols: sorted(map(tuple, x.select(*cols).collect()), key=repr)
+    report = ["doc_id", "composite_risk_score", "overall_risk", "total_risks_found"]
+    full, full_changes = rp.reanalyse(chunks, rules, previous, labels)
+    assert rows(reports, *report) == rows(full, *report)
+    assert rows(changes, *full_changes.columns) == rows(full_changes, *full_changes.columns) != []
+    assert {r["key_entities"] for r in reports.collect()} == {"kept"}
+    hit = ["doc_id", "chunk_index", "rule_id", "evidence"]
+    assert rows(after.hits, *hit) == rows(ma.match_rules(chunks, rules), *hit)
+    matched.clear()
+    same = di.reanalyse_changed(chunks, after, rules, rules, reports, labels)
+    assert matched == [] and same[1].count() == 0 and rows(same[0], *report) == rows(full, *report)
