@@ -25,6 +25,7 @@ from clauselens.operators.chunking import chunk
 from clauselens.plans import difference as di
 from clauselens.plans import portfolio as pf
 from clauselens.plans import report as rp
+from clauselens.plans import scored as so
 from clauselens.session import checkpoint_dir
 from clauselens.sources import files, pages, tables
 from clauselens.streaming import incremental as inc
@@ -557,37 +558,26 @@ def r23(s, d):
 
 # --- prompts (B) -----------------------------------------------------------
 
-_RULE_LINES = ("(SELECT string_agg('- ' || category || ': ' || coalesce(nullif(description, ''), 'No description provided.'), "
-               "chr(10) ORDER BY rule_id) FROM rules WHERE is_active)")
-
-
-def _prompt_sql(template, **parts):
-    out = q.text(template)
-    for n, x in parts.items():
-        out = f"replace({out}, '{{{n}}}', {x})"
-    return out
-
-
-_B1 = _prompt_sql(pr.CLASSIFY_TEMPLATE, categories=_RULE_LINES, passage="chunk_text")
-
-
-@query("b1_classify_prompts", q.build(f"SELECT doc_id, chunk_index, {_B1} AS prompt FROM pchunks", "pchunks", "rules"))
+@query("b1_classify_prompts", q.build(f"SELECT doc_id, chunk_index, {q.CLASSIFY} AS prompt FROM pchunks", "pchunks", "rules"))
 def b1(s, d):
     return pr.classify_prompts(_page_chunks(s, d), fx.rules(s))
 
 
-@query("b2_advice_prompts", q.build(f"""
-SELECT doc_id, {_prompt_sql(pr.ADVICE_TEMPLATE, clauses='lines')} AS prompt FROM (
+def _b2_sql(clauses):
+    return f"""
+SELECT doc_id, {q.prompt(pr.ADVICE_TEMPLATE, clauses='lines')} AS prompt FROM (
   SELECT doc_id, string_agg('- Category: "' || category || '" | Excerpt: "' || {q.strip("replace(clause_text, chr(10), ' ')")} || '"',
     chr(10) ORDER BY r) AS lines
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule_id) AS r FROM clauses) GROUP BY doc_id)""",
-  "clauses"))
+  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index, rule_id) AS r FROM {clauses}) GROUP BY doc_id)"""
+
+
+@query("b2_advice_prompts", q.build(_b2_sql("clauses"), "clauses"))
 def b2(s, d):
     return pr.advice_prompts(_raw(s, d))
 
 
 @query("b3_summary_prompts", q.build(
-    f"SELECT doc_id, {_prompt_sql(pr.SUMMARY_TEMPLATE, passage='text')} AS prompt FROM contracts", "contracts"))
+    f"SELECT doc_id, {q.prompt(pr.SUMMARY_TEMPLATE, passage='text')} AS prompt FROM contracts", "contracts"))
 def b3(s, d):
     return pr.summary_prompts(fx.contracts(s, d))
 
@@ -606,7 +596,7 @@ def _stub(prompts):
 
 @query("b4_score_prompts", q.build(f"""
 SELECT doc_id, CASE WHEN length(p) % 2 = 1 THEN CAST(length(p) AS VARCHAR) END AS response, CASE WHEN length(p) % 2 = 0 THEN 'even' END AS error
-FROM (SELECT doc_id, {_prompt_sql(pr.SUMMARY_TEMPLATE, passage='text')} AS p FROM contracts)""", "contracts"))
+FROM (SELECT doc_id, {q.prompt(pr.SUMMARY_TEMPLATE, passage='text')} AS p FROM contracts)""", "contracts"))
 def b4(s, d):
     return pr.score_prompts(pr.summary_prompts(fx.contracts(s, d)), _stub)
 
@@ -620,6 +610,37 @@ def b5(s, d):
                     F.element_at("advice", "arbitration").alias("arbitration"))
 
 
+def _label_model(prompts):
+    """A stand-in for a model that names categories: by the prompt's length, failing on every fourth."""
+    import pandas as pd
+
+    def one(p):
+        if len(p) % 4 == 2:
+            raise ValueError("no answer")
+        return ('```json\n["Indemnity", "Nope"]\n```', '["Arbitration", "Force Majeure"]', None, "I am not sure.")[len(p) % 4]
+
+    return pd.Series([one(p) for p in prompts])
+
+
+def _advice_model(prompts):
+    import pandas as pd
+
+    return pd.Series([('{"Indemnity": "Cap it.", "arbitration": "Pick a seat."}', "none")[len(p) % 2] for p in prompts])
+
+
+@query("r21_scored_reports", q.build(f"""
+SELECT r.doc_id, overall_risk, composite_risk_score, total_risks_found, chunk_index, rule_id, CASE
+  WHEN category = 'Indemnity' AND length(prompt) % 2 = 0 THEN 'Cap it.' WHEN category = 'Arbitration' AND length(prompt) % 2 = 0
+  THEN 'Pick a seat.' ELSE {q.curated('category')} END AS recommendation
+FROM mreports r LEFT JOIN mcollapsed c ON r.doc_id = c.doc_id LEFT JOIN ({_b2_sql('mcollapsed')}) p ON r.doc_id = p.doc_id""",
+  "mreports", "mcollapsed"))
+def r21_scored(s, d):
+    """Every candidate chunk and every document with clauses goes to a model; its answers decide clauses and advice."""
+    made, _ = so.analyse_scored(fx.contracts(s, d), fx.rules(s), _label_model, _advice_model, single_page=True)
+    return made.reports.select(*_REPORT).join(
+        made.clauses.select("doc_id", "chunk_index", "rule_id", "recommendation"), "doc_id", "left")
+
+
 # --- relational queries (Q) ------------------------------------------------
 
 

@@ -10,6 +10,7 @@ from clauselens import fixed_values as fv
 from clauselens.catalogue import fixtures as fx
 from clauselens.functions import patterns
 from clauselens.functions.patterns import PLAIN_NOT_WS, PLAIN_WORD, PLAIN_WS, WS_CHARS
+from clauselens.operators.prompts import CLASSIFY_TEMPLATE
 
 NOT_W = "[^" + PLAIN_WORD[1:]
 START, END = f"(?:^|{NOT_W})", f"(?:$|{NOT_W})"
@@ -342,18 +343,46 @@ for _pre, _rules in (("", "rules"), ("p", "rules"), ("s", "srules")):
 cte("labelled", (), """
 SELECT DISTINCT doc_id, 0 AS chunk_index, unnest(list_filter([CASE WHEN toxic = 1 THEN 'Indemnity' END,
   CASE WHEN quality = 1 THEN 'Arbitration' END, 'No Such Category'], lambda x: x IS NOT NULL)) AS category FROM labels""")
-cte("merged", ("hits", "labelled", "rules"), """
+
+
+def label_ctes(pre: str, labelled: str) -> None:
+    """Hits united with model labels: ``{pre}merged`` and ``{pre}kept_hits``."""
+    merged = "merged" if pre == "l" else pre + "merged"
+    cte(merged, ("hits", labelled, "rules"), f"""
 SELECT coalesce(h.doc_id, l.doc_id) AS doc_id, coalesce(h.chunk_index, l.chunk_index) AS chunk_index,
   coalesce(h.rule_id, l.rule_id) AS rule_id, coalesce(evidence, 'llm_only') AS evidence, l.rule_id IS NOT NULL AS confirmed
-FROM hits h FULL OUTER JOIN (SELECT doc_id, chunk_index, rule_id FROM labelled JOIN rules USING (category) WHERE is_active) l
+FROM hits h FULL OUTER JOIN (SELECT doc_id, chunk_index, rule_id FROM {labelled} JOIN rules USING (category) WHERE is_active) l
   ON h.doc_id = l.doc_id AND h.chunk_index = l.chunk_index AND h.rule_id = l.rule_id""")
-cte("lkept_hits", ("merged", "chunks", "rules"), f"""
+    cte(pre + "kept_hits", (merged, "chunks", "rules"), f"""
 SELECT m.doc_id, m.chunk_index, c.page_number, c.chunk_text, m.rule_id, m.evidence, m.confirmed,
   {confidence('confirmed')} AS confidence_score
-FROM merged m JOIN rules USING (rule_id) JOIN chunks c USING (doc_id, chunk_index)
+FROM {merged} m JOIN rules USING (rule_id) JOIN chunks c USING (doc_id, chunk_index)
 WHERE {confidence('confirmed')} >= {LIMIT}""")
 
 
+label_ctes("l", "labelled")
+
+# A pretended model's labels, by the length of its prompt.
+RULE_LINES = ("(SELECT string_agg('- ' || category || ': ' || coalesce(nullif(description, ''), 'No description provided.'), "
+              "chr(10) ORDER BY rule_id) FROM rules WHERE is_active)")
+
+
+def prompt(template: str, **parts: str) -> str:
+    out = text(template)
+    for n, x in parts.items():
+        out = f"replace({out}, '{{{n}}}', {x})"
+    return out
+
+
+CLASSIFY = prompt(CLASSIFY_TEMPLATE, categories=RULE_LINES, passage="chunk_text")
+cte("answered", ("chunks", "hits", "rules"), f"""
+SELECT DISTINCT doc_id, chunk_index, unnest(CASE length({CLASSIFY}) % 4 WHEN 0 THEN ['Indemnity']
+  WHEN 1 THEN ['Arbitration', 'Force Majeure'] ELSE [] END) AS category
+FROM (SELECT c.* FROM chunks c WHERE token_count >= 30
+  OR EXISTS (SELECT 1 FROM hits h WHERE h.doc_id = c.doc_id AND h.chunk_index = c.chunk_index))""")
+label_ctes("m", "answered")
+
+
 def snippet(hits: str, sentenced: str, rules: str = "rules") -> str:
     """Rows of ``hits`` with the snippet as ``clause_text``."""
     points = ("CASE WHEN contains(lower(s), k) THEN CASE WHEN contains(k, ' ') THEN 3 ELSE 1 END ELSE 0 END")
@@ -376,7 +405,8 @@ FROM (SELECT *, list_max(scores) AS top, list_position(scores, list_max(scores))
   JOIN {sentenced} s USING (doc_id, chunk_index)))"""
 
 
-for pre, hits, sent in (("", "kept_hits", "sentenced"), ("p", "pkept_hits", "psentenced"), ("l", "lkept_hits", "sentenced")):
+for pre, hits, sent in (("", "kept_hits", "sentenced"), ("p", "pkept_hits", "psentenced"), ("l", "lkept_hits", "sentenced"),
+                        ("m", "mkept_hits", "sentenced")):
     cte(pre + "clauses", (hits, sent, "rules", "defs"), f"""
 SELECT doc_id, chunk_index, rule_id, category, clause_text,
   coalesce(nullif(description, ''), replace({text(fv.GENERIC_EXPLANATION)}, '%s', category)) AS explanation,
@@ -404,8 +434,8 @@ SELECT c.doc_id, c.chunk_index, c.rule_id, c.category, c.clause_text, c.explanat
 FROM (SELECT doc_id, unnest(ks) AS k FROM (SELECT *, max(pos) OVER (PARTITION BY doc_id, cat) AS last FROM {pre}folded_kept)
       WHERE pos = last) f
 JOIN {pre}clauses c ON c.doc_id = f.doc_id AND c.chunk_index = k.ci AND c.rule_id = k.rid""")
-    docs = {"": "contracts", "l": "contracts", "p": "(SELECT DISTINCT doc_id FROM contract_pages)"}[pre]
-    doc_cte = {"": "contracts", "l": "contracts", "p": "contract_pages"}[pre]
+    docs = {"": "contracts", "l": "contracts", "m": "contracts", "p": "(SELECT DISTINCT doc_id FROM contract_pages)"}[pre]
+    doc_cte = {"": "contracts", "l": "contracts", "m": "contracts", "p": "contract_pages"}[pre]
     cte(pre + "reports", (pre + "collapsed", doc_cte), f"""
 SELECT doc_id, score AS composite_risk_score, total AS total_risks_found, {RISK.format(high='high', score='score')} AS overall_risk
 FROM (SELECT d.doc_id, round(coalesce(sum(rule_weight * {MULTIPLIER}), 0.0)::DOUBLE, 2) AS score, count(c.doc_id) AS total,

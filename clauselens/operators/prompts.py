@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from clauselens import fixed_values as fv
 from clauselens.functions.text import clip, strip
 from clauselens.operators.matching import strict_json, unfence
+from clauselens.sources.tables import materialise
 
 CLASSIFY_TEMPLATE = (
     "Below is a list of risk categories and one passage of a contract. Answer with a JSON "
@@ -111,33 +112,60 @@ def summary_prompts(docs: DataFrame, template: str = SUMMARY_TEMPLATE, most_char
 def score_prompts(prompts: DataFrame, fn: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """Applies ``fn`` (prompts in, responses out) to Arrow batches.
 
-    A batch that fails is tried row by row, so one bad prompt costs one null
-    response with its message in ``error``.  Thinking tags are removed.
+    A batch that fails is halved until it succeeds or is one prompt, which then
+    has a null response and the message in ``error``: one bad prompt among n
+    costs about 2 log2(n) further calls.  An answer of another length than the
+    batch counts as a failure.  Thinking tags are removed.
     """
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in prompts.schema if f.name != "prompt"]
 
+    def answer(asked: list) -> list:
+        """(response, error) of every prompt."""
+        if not asked:
+            return []
+        try:
+            given = list(fn(pd.Series(asked)))
+            if len(given) != len(asked):
+                raise ValueError(f"{len(given)} answers to {len(asked)} prompts")
+            return [(x, None) for x in given]
+        except Exception as failure:
+            if len(asked) == 1:
+                return [(None, str(failure))]
+        half = len(asked) // 2
+        return answer(asked[:half]) + answer(asked[half:])
+
     def run(batches):
         for batch in batches:
+            answers = answer(list(batch["prompt"]))
             out = batch.drop(columns="prompt")
-            try:
-                out["response"] = list(fn(batch["prompt"]))
-                out["error"] = None
-            except Exception:
-                responses, errors = [], []
-                for prompt in batch["prompt"]:
-                    try:
-                        responses.append(list(fn(pd.Series([prompt])))[0])
-                        errors.append(None)
-                    except Exception as failure:
-                        responses.append(None)
-                        errors.append(str(failure))
-                out["response"], out["error"] = responses, errors
+            out["response"], out["error"] = [r for r, _ in answers], [e for _, e in answers]
             yield out
 
     scored = prompts.mapInPandas(run, ", ".join([*fields, "response string", "error string"]))
     return scored.withColumn("response", drop_thinking(F.col("response")))
 
 
+def score_distinct(
+    prompts: DataFrame, fn: Callable[[pd.Series], pd.Series], answers: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """B4 with stored answers: (scored prompts, answers to keep).
+
+    Equal prompts are asked once, under their SHA-256.  ``answers`` (prompt_key,
+    response, error) of earlier runs are used as they are, failed ones are asked
+    again.  New answers are written before they are used, so a model is never
+    asked twice for one plan.  A null prompt is not asked and has no response.
+    """
+    keyed = prompts.withColumn("prompt_key", F.sha2("prompt", 256))
+    # Partial aggregation first: a prompt of very many rows leaves every task once.
+    asked = keyed.filter("prompt is not null").groupBy("prompt_key").agg(F.any_value("prompt").alias("prompt"))
+    known = None if answers is None else answers.filter("error is null")
+    if known is not None:
+        asked = asked.join(known, "prompt_key", "left_anti")
+    given = materialise(score_prompts(asked, fn), "answers")
+    kept = given if known is None else known.select(*given.columns).unionByName(given)
+    return keyed.drop("prompt").join(kept, "prompt_key", "left").drop("prompt_key"), kept
+
+
 def drop_thinking(raw: Column) -> Column:
     return strip(F.regexp_replace(strip(raw), r"(?s)<think>.*?</think>", ""))
 

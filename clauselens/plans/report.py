@@ -49,18 +49,21 @@ def split_failures(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.filter(~blank), failed
 
 
-def raw_clauses(chunks: DataFrame, rules: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+def raw_clauses(
+    chunks: DataFrame, rules: DataFrame, labels: DataFrame | None = None, hits: DataFrame | None = None,
+) -> DataFrame:
     """Clauses before the collapse.
 
     Without labels this is one narrow pass.  With labels, only ids and evidence
     are shuffled for the union; the text is joined back for the hits that stay.
+    ``hits`` of the chunks, where they are known, are taken for that.
     """
     rules = pin_rules(rules)
     if labels is None:
         hits = match_rules(chunks, rules, ["chunk_text", "_sentences"], with_sentences)
         kept = apply_threshold(hits.withColumn("confirmed", F.lit(False)), rules)
         return assemble_clauses(kept, rules)
-    hits = match_rules(chunks, rules).drop("page_number")
+    hits = (match_rules(chunks, rules) if hits is None else hits).drop("page_number")
     kept = apply_threshold(merge_labels(hits, labels, rules), rules)
     texts = chunks.select("doc_id", "chunk_index", "page_number", "chunk_text")
     return assemble_clauses(kept.join(texts, ["doc_id", "chunk_index"]), rules)

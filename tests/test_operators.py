@@ -422,3 +422,54 @@ def test_reanalysis_by_difference(spark, monkeypatch, labelled):
     matched.clear()
     same = di.reanalyse_changed(chunks, after, rules, rules, reports, labels)
     assert matched == [] and same[1].count() == 0 and rows(same[0], *report) == rows(full, *report)
+
+
+def test_a_failing_batch_is_halved(spark, tmp_path):
+    """One bad prompt of 64 costs few further calls; a wrong number of answers is a failure."""
+    import pandas as pd
+
+    log = str(tmp_path)
+
+    def model(asked):
+        import os
+        import uuid
+
+        open(os.path.join(log, f"{uuid.uuid4().hex}-{len(asked)}"), "w").close()
+        if "p13" in set(asked):
+            raise ValueError("thirteen")
+        return pd.Series([x for x in asked if x != "p40"])
+
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(64)], "id int, prompt string").coalesce(1)
+    rows = {r["id"]: r for r in pr.score_prompts(prompts, model).collect()}
+    assert rows[13]["error"] == "thirteen" and rows[40]["error"] == "0 answers to 1 prompts"
+    assert all(rows[i]["response"] == f"p{i}" and rows[i]["error"] is None for i in range(64) if i not in (13, 40))
+    assert len(list(tmp_path.iterdir())) == 1 + 2 * 6 + 2 * 5  # both halves at each step; the first step is shared
+
+
+def test_every_prompt_is_asked_once(spark, tmp_path):
+    """Repeated and known prompts are not asked; failed ones are asked again; null ones never."""
+    import pandas as pd
+
+    log = str(tmp_path)
+
+    def model(asked):
+        import os
+        import uuid
+
+        for p in asked:
+            open(os.path.join(log, f"{p}-{uuid.uuid4().hex}"), "w").close()
+            if p == "bad":
+                raise ValueError("bad")
+        return pd.Series([p.upper() for p in asked])
+
+    asked = lambda: sorted(f.name.split("-")[0] for f in tmp_path.iterdir())
+    of = lambda texts: spark.createDataFrame(list(enumerate(texts)), "id int, prompt string").repartition(4)
+    scored, answers = pr.score_distinct(of(["a", "b", "a", None, "a", "a"]), model)
+    rows = lambda df: {r["id"]: r["response"] for r in df.collect()}
+    assert rows(scored) == rows(scored) == {0: "A", 1: "B", 2: "A", 3: None, 4: "A", 5: "A"}
+    assert asked() == ["a", "b"]
+    scored, answers = pr.score_distinct(of(["a", "bad", "c"]), model, answers)
+    assert rows(scored) == {0: "A", 1: None, 2: "C"} and set(asked()) == {"a", "b", "bad", "c"}
+    before = len(asked())
+    assert rows(pr.score_distinct(of(["c", "a", "bad"]), model, answers)[0]) == {0: "C", 1: "A", 2: None}
+    assert asked().count("bad") > 0 and len(asked()) == before + 1
