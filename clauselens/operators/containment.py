@@ -5,52 +5,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauselens.functions.once import compute_once
+
 _GRAM = 3
+# Winnowing: of every _WINDOW runs of _RUN words that begin one after another, a
+# hay keeps the smallest hash.
+_RUN, _WINDOW = 4, 4
+_LEAST_WORDS = _RUN + _WINDOW - 1
 
+_ANCHORED, _WORDY, _TINY = 0, 1, 2
 
-def _inner_word(text: Column) -> Column:
-    """The longest space-delimited word with a space on both sides, or null.
 
-    Wherever the text occurs inside another one, that word is a whole word
-    there as well; so it is a safe join key.
-    """
-    parts = F.split(text, " ", -1)
-    inner = F.filter(
-        F.transform(
-            F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))),
-            lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))),
-        lambda x: x["n"] > 0)
-    return F.array_max(inner)["w"]
+def _key(kind: int, value: Column) -> Column:
+    return F.xxhash64(F.lit(kind), value)
 
 
-def containing_pairs(hays: DataFrame, needles: DataFrame, group) -> DataFrame:
-    """(group, hay_id, needle_id) for every needle inside a hay of its group.
+def _runs(words: Column) -> Column:
+    """Hashes of all runs of words, of at least ``_LEAST_WORDS`` words."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - _RUN + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, _RUN)))
 
-    ``hays`` has the group columns, ``hay_id`` and ``hay``; ``needles`` has
-    ``needle_id`` and ``needle`` likewise.  Candidates meet on an inner word of
-    the needle; needles of one or two words meet on their first letters instead.
-    An empty needle is in every hay.
+
+def _winnowed(runs: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.size(runs) - _WINDOW + 1, F.lit(1)))
+    return F.transform(starts, lambda i: F.array_min(F.slice(runs, i, _WINDOW)))
+
+
+def _longest(words: Column) -> Column:
+    """The longest word, or null if all are empty."""
+    sized = F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))
+    return F.array_max(F.filter(sized, lambda x: x["n"] > 0))["w"]
+
+
+def _with_needle_key(needles: DataFrame) -> DataFrame:
+    """Adds ``_kind`` and ``_key``, one of the keys that every hay with this needle has.
+
+    Wherever a needle occurs, its words but the first and the last are whole words
+    there as well.  The smallest of all their runs is the smallest of each window
+    it is in, so every hay keeps it.  Too few words leave the longest one, and
+    none the needle's first letters.
     """
-    group = list(group)
-    keyed = needles.withColumn("_key", _inner_word(F.col("needle")))
-    wordy = keyed.filter("_key is not null")
-    short = keyed.filter("_key is null").withColumn("_key", F.substring("needle", 1, _GRAM))
+    parts = F.split("needle", " ", -1)
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    cut = compute_once(needles, _inner=inner)
+    longest = _longest(F.col("_inner"))
+    kind = F.when(F.size("_inner") >= _LEAST_WORDS, _ANCHORED).when(longest.isNotNull(), _WORDY).otherwise(_TINY)
+    key = (
+        F.when(F.col("_kind") == _ANCHORED, _key(_ANCHORED, F.array_min(_runs(F.col("_inner")))))
+        .when(F.col("_kind") == _WORDY, _key(_WORDY, longest))
+        .otherwise(_key(_TINY, F.substring("needle", 1, _GRAM)))
+    )
+    return cut.withColumn("_kind", kind).withColumn("_key", key).drop("_inner")
+
+
+def _hay_keys(hays: DataFrame, asked: DataFrame, group) -> DataFrame:
+    """(group, hay_id, _key): winnowed runs, and all words or short grams where a needle of the group asks for these.
 
-    hay_words = hays.select(
-        *group, "hay_id", F.explode(F.array_distinct(F.split("hay", " ", -1))).alias("_key"))
-    some_short = hays.join(short.select(*group).distinct(), group, "left_semi")
+    Runs are worked out where the hays are read, before the groups meet.
+    """
+    cut = compute_once(hays, _words=F.split("hay", " ", -1))
+    cut = compute_once(cut, _all=F.when(F.size("_words") >= _LEAST_WORDS, _runs(F.col("_words"))))
+    cut = compute_once(cut, _kept=F.array_distinct(_winnowed(F.col("_all")))).drop("_words", "_all").join(asked, group)
+    none = F.array().cast("array<bigint>")
     starts = F.sequence(F.lit(1), F.greatest(F.length("hay"), F.lit(1)))
     grams = F.concat(
         F.array(F.lit("")),
         F.flatten(F.transform(
             F.sequence(F.lit(1), F.lit(_GRAM)),
             lambda n: F.transform(starts, lambda i: F.substring(F.col("hay"), i, n)))))
-    hay_grams = some_short.select(
-        *group, "hay_id", F.explode(F.array_distinct(grams)).alias("_key"))
+    keys = F.concat(
+        F.coalesce(F.transform("_kept", lambda x: _key(_ANCHORED, x)), none),
+        F.when(F.col("_wordy"), F.transform(F.split("hay", " ", -1), lambda w: _key(_WORDY, w))).otherwise(none),
+        F.when(F.col("_tiny"), F.transform(grams, lambda g: _key(_TINY, g))).otherwise(none))
+    return cut.select(*group, "hay_id", F.explode(F.array_distinct(keys)).alias("_key"))
+
 
-    # Only keys and ids are multiplied; the texts join the candidates afterwards.
-    candidates = hay_words.join(wordy, [*group, "_key"]).unionByName(
-        hay_grams.join(short, [*group, "_key"]))
+def containing_pairs(hays: DataFrame, needles: DataFrame, group) -> DataFrame:
+    """(group, hay_id, needle_id) for every needle inside a hay of its group.
+
+    ``hays`` has the group columns, ``hay_id`` and ``hay``; ``needles`` has
+    ``needle_id`` and ``needle`` likewise.  Candidates meet on a winnowed run of
+    words, so common words bring nothing together; needles of few words meet on
+    their longest inner word or their first letters, for which only the hays of
+    their groups give keys.  An empty needle is in every hay, a null one in none.
+    """
+    group = list(group)
+    keyed = _with_needle_key(needles.filter("needle is not null"))
+    asked = keyed.groupBy(*group).agg(
+        F.max(F.col("_kind") == _WORDY).alias("_wordy"), F.max(F.col("_kind") == _TINY).alias("_tiny"))
+    # Only keys and ids of hays are multiplied; their texts join the candidates afterwards.
+    candidates = _hay_keys(hays, asked, group).join(keyed.drop("_kind"), [*group, "_key"])
     return (
         candidates.join(hays, [*group, "hay_id"])
         .filter(F.contains("hay", F.col("needle")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clauselens import fixed_values as fv
 from clauselens.operators.containment import containing_pairs
-from clauselens.sources.tables import export_reports
+from clauselens.sources.tables import export_reports, materialise
 
 # --- documents and chunks of a user ----------------------------------------
 
@@ -234,19 +234,27 @@ def _viewer_form(col: Column) -> Column:
 
 
 def link_chunks(chunks: DataFrame, clauses: DataFrame, prefix_chars: int | None = None) -> DataFrame:
-    """Q17: (doc_id, chunk_index, clause_id) when one holds the other, or the first ``prefix_chars`` of it."""
-    start = lambda c: c if prefix_chars is None else F.substring(c, 1, prefix_chars)
+    """Q17: (doc_id, chunk_index, clause_id) when one holds the other, or the first ``prefix_chars`` of it.
+
+    Both directions are one search: every text is written once and then stands as
+    a hay in one direction and as a needle in the other.
+    """
     ch = chunks.filter("chunk_text != ''").select(
-        "doc_id", "chunk_index", _viewer_form(F.col("chunk_text")).alias("text"))
-    cl = clauses.select("doc_id", "clause_id", _viewer_form(F.col("clause_text")).alias("text"))
-    hay = lambda df, key: df.select("doc_id", F.col(key).alias("hay_id"), F.col("text").alias("hay"))
-    needle = lambda df, key: df.select(
-        "doc_id", F.col(key).alias("needle_id"), start(F.col("text")).alias("needle"))
-    clause_in_chunk = containing_pairs(hay(ch, "chunk_index"), needle(cl, "clause_id"), ["doc_id"]) \
-        .select("doc_id", F.col("hay_id").alias("chunk_index"), F.col("needle_id").alias("clause_id"))
-    chunk_in_clause = containing_pairs(hay(cl, "clause_id"), needle(ch, "chunk_index"), ["doc_id"]) \
-        .select("doc_id", F.col("needle_id").alias("chunk_index"), F.col("hay_id").alias("clause_id"))
-    return clause_in_chunk.unionByName(chunk_in_clause).distinct()
+        "doc_id", F.lit(0).alias("_side"), F.col("chunk_index").cast("string").alias("id"),
+        _viewer_form(F.col("chunk_text")).alias("text"))
+    cl = clauses.select(
+        "doc_id", F.lit(1).alias("_side"), F.col("clause_id").cast("string").alias("id"),
+        _viewer_form(F.col("clause_text")).alias("text"))
+    texts = materialise(ch.unionByName(cl), "link-texts")
+    start = F.col("text") if prefix_chars is None else F.substring("text", 1, prefix_chars)
+    hays = texts.select("doc_id", "_side", F.col("id").alias("hay_id"), F.col("text").alias("hay"))
+    needles = texts.select(
+        "doc_id", (1 - F.col("_side")).alias("_side"), F.col("id").alias("needle_id"), start.alias("needle"))
+    in_chunk = F.col("_side") == 0
+    kinds = dict(chunks.dtypes)["chunk_index"], dict(clauses.dtypes)["clause_id"]
+    return containing_pairs(hays, needles, ["doc_id", "_side"]).select(
+        "doc_id", F.when(in_chunk, F.col("hay_id")).otherwise(F.col("needle_id")).cast(kinds[0]).alias("chunk_index"),
+        F.when(in_chunk, F.col("needle_id")).otherwise(F.col("hay_id")).cast(kinds[1]).alias("clause_id")).distinct()
 
 
 def chunk_severity(links: DataFrame, clauses: DataFrame) -> DataFrame:

@@ -307,6 +307,45 @@ def test_containing_pairs_against_all_pairs(spark):
     assert set(rows) == expected and len(rows) == len(expected)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_long_needles_against_all_pairs(spark, seed):
+    """Needles cut anywhere out of long hays, inside words too, around the least number of winnowed words."""
+    rnd = random.Random(seed)
+    make = lambda n: " ".join(rnd.choices(["the", "of", "rent", "a", "lease", ""], k=n))
+    hays = [(i % 3, i, make(rnd.randint(1, 60))) for i in range(60)]
+    cut = []
+    for _, _, text in hays:
+        start = rnd.randrange(len(text) + 1)
+        cut.append(text[start:start + rnd.choice([0, 1, 2, 9, 25, 33, 40, 60, 200])])
+    needles = [(rnd.randrange(3), i, x) for i, x in enumerate(cut + [make(9), "of", ""])]
+    got = containing_pairs(
+        spark.createDataFrame(hays, "g int, hay_id int, hay string"),
+        spark.createDataFrame([*needles, (1, 999, None)], "g int, needle_id int, needle string"), ["g"])
+    expected = {(g, h, n) for g, h, a in hays for k, n, b in needles if g == k and b in a}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == expected and len(rows) == len(expected)
+
+
+def test_links_against_all_pairs(spark):
+    """Either way round, with one-word, empty and null texts; a plan of few scans and exchanges."""
+    from clauselens.plans import portfolio as pf
+
+    long = " ".join(f"word{i % 7} the" for i in range(40))
+    chunks = [(1, 0, long + " End."), (1, 1, "Rent"), (1, 2, ""), (1, 3, None), (2, 0, "the  rent\nis due now and here as agreed by all"), (2, 1, "RENT")]
+    clauses = [(1, "a", long[30:150]), (1, "b", "X " + long + " end. y"), (1, "c", "rent"), (1, "d", ""), (1, "e", None),
+               (2, "f", "rent is due"), (2, "g", "the rent is due now and here as agreed by all"), (2, "h", "a")]
+    form = lambda x: " ".join((x or "").lower().split())
+    expected = {(d, i, c) for d, i, a in chunks if a for e, c, b in clauses
+                if d == e and (form(a) in form(b) or form(b) in form(a))}
+    got = pf.link_chunks(
+        spark.createDataFrame(chunks, "doc_id long, chunk_index int, chunk_text string"),
+        spark.createDataFrame(clauses, "doc_id long, clause_id string, clause_text string"))
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == expected and len(rows) == len(expected)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 4 and plan.count("Join ") == 3
+
+
 def test_topk_grid_equals_broadcast_and_lsh_recall(spark, monkeypatch):
     e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     q = e.select(F.col("vec_id").alias("query_id"), "embedding")
