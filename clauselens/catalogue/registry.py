@@ -72,7 +72,7 @@ def _page_analysis(s, d):
 
 
 def _with_ids(df):
-    return df.withColumn("clause_id", F.concat_ws(":", "doc_id", "chunk_index", "rule_id"))
+    return rp.clause_ids(df)
 
 
 def _when_page(df):
@@ -110,6 +110,36 @@ def s1(s, d):
         "rule_id", "category", "default_risk_level", "keywords", "is_active")
 
 
+@query("s2_read_files", """
+SELECT coalesce(source, '') AS source, CAST(sum(strlen(coalesce(text, '')) + 1) AS BIGINT) AS bytes, count(*) AS lines
+FROM (SELECT source, replace(text, chr(10), ' ') AS text FROM documents) GROUP BY 1""")
+def s2(s, d):
+    """Documents written as files of up to 1,000 lines in a folder of each source, read back as binary files."""
+    base = f"{checkpoint_dir(s)}/s2-{uuid.uuid4().hex}"
+    line = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")).alias("line")
+    fx.table(s, d, "documents").select(F.coalesce("source", F.lit("")).alias("source"), line).write.partitionBy(
+        "source").option("maxRecordsPerFile", 1000).text(base)
+    folder = F.regexp_extract("path", "/source=([^/]*)/", 1)
+    breaks = F.length(F.regexp_replace(F.col("content").cast("string"), "[^\n]", ""))
+    return files.read_files(s, base, "*.txt").groupBy(
+        F.when(folder == "__HIVE_DEFAULT_PARTITION__", "").otherwise(folder).alias("source")).agg(
+        F.sum("file_size_bytes").alias("bytes"), F.sum(breaks).alias("lines"))
+
+
+@query("s9_replace", """
+SELECT doc_id, source, n_chars + CASE WHEN doc_id % 3 = 0 THEN 1000000 ELSE 0 END AS n_chars FROM documents WHERE doc_id % 6 <> 0""")
+def s9(s, d):
+    """A third of the documents replaced in a stored table, half of these by nothing; done twice, which changes nothing."""
+    path = f"{checkpoint_dir(s)}/s9-{uuid.uuid4().hex}"
+    rows = fx.table(s, d, "documents").select("doc_id", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    again = rows.filter("doc_id % 3 = 0")
+    tables.write_results(rows, path, rows, buckets=16)
+    for _ in range(2):
+        tables.write_results(
+            again.filter("doc_id % 6 <> 0").withColumn("n_chars", F.col("n_chars") + 1000000), path, again, buckets=16)
+    return tables.read_results(s, path, rows.schema)
+
+
 @query("s3_ingest_gate", q.build("""
 SELECT doc_id, CASE WHEN contains(original_filename, '.') THEN upper(string_split(original_filename, '.')[-1]) ELSE '' END AS file_type,
   CASE WHEN doc_id % 4 = 3 THEN 'unsupported format' WHEN file_size_bytes > 52428800 THEN 'too large'
@@ -496,6 +526,33 @@ def r21(s, d):
     return _report_columns(_analysis(s, d))
 
 
+def _completed(s, d):
+    """The end of an analysis in which every tenth document is blank, with a model's summary for every third."""
+    i = F.col("doc_id")
+    pages = fx.contracts(s, d).withColumn("text", F.when(i % 10 == 3, " ").otherwise(F.col("text")))
+    texts = fx.table(s, d, "documents").filter(i % 3 == 0).select("doc_id", F.lit("A model text.").alias("response"))
+    return rp.complete(rp.analyse(pages, fx.rules(s), single_page=True), fx.uploads(s, d), texts,
+                       at=F.lit("2024-05-01 00:00:00"), seconds=F.lit(2.5))
+
+
+@query("r21_complete_reports", q.build(f"""
+SELECT {', '.join(_REPORT)}, CASE WHEN doc_id % 3 = 0 THEN 'A model text.' ELSE 'Summary of ' || original_filename
+  || ': Legal agreement containing ' || n || ' clause sections.' END AS executive_summary, 2.5::DOUBLE AS processing_time_seconds,
+  '2024-05-01 00:00:00' AS completed_at
+FROM reports JOIN uploads USING (doc_id) JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) USING (doc_id)
+WHERE doc_id % 10 <> 3""", "reports", "uploads", "chunks"))
+def r21_complete(s, d):
+    return _completed(s, d).reports.select(
+        *_REPORT, "executive_summary", "processing_time_seconds", _stamp("completed_at").alias("completed_at"))
+
+
+@query("r21_document_states", f"""
+SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN doc_id % 10 = 3 THEN {q.text(fv.EMPTY_TEXT_MESSAGE)} END AS error_message FROM documents""")
+def r21_states(s, d):
+    return _completed(s, d).documents.select("doc_id", "status", "error_message")
+
+
 @query("r21_labelled_reports", q.build(_REPORT_SQL.format("lreports"), "lreports"))
 def r21_labels(s, d):
     return _analysis(s, d, labels=fx.model_labels(s, d)).reports.select(*_REPORT)

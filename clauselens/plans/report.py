@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselens import fixed_values as fv
+from clauselens import schemas
 from clauselens.functions.entities import extract_entities
 from clauselens.functions.text import is_blank
 from clauselens.operators.chunking import chunk
@@ -25,7 +26,7 @@ from clauselens.operators.matching import (
     merge_labels,
 )
 from clauselens.operators.rules import pin_rules
-from clauselens.operators.scoring import choose_advice, score_documents
+from clauselens.operators.scoring import choose_advice, score_documents, summary
 from clauselens.sources.pages import assemble_pages
 
 
@@ -96,6 +97,53 @@ def analyse(
     return Analysis(chunks, clauses, score_documents(entities, clauses), failed)
 
 
+@dataclass
+class Stored:
+    """What an analysis leaves behind, in the declared schemas of the stored tables and beyond."""
+
+    reports: DataFrame
+    clauses: DataFrame
+    documents: DataFrame
+
+
+def clause_ids(clauses: DataFrame) -> DataFrame:
+    """Clauses + ``clause_id``; a document has at most one clause of a rule in a chunk, so it names them for good."""
+    return clauses.withColumn("clause_id", F.concat_ws(":", "doc_id", "chunk_index", "rule_id"))
+
+
+def complete(
+    analysis: Analysis, documents: DataFrame, summaries: DataFrame | None = None, at: Column | None = None,
+    seconds: Column | None = None,
+) -> Stored:
+    """R21's end: whole report rows, clauses with their ids, documents in their new state.
+
+    ``documents`` (doc_id, original_filename, status, error_message, ...) are the
+    uploads; reported ones are ``completed`` without a message, failed ones
+    ``failed`` with theirs, and those that the analysis has not seen stay as they
+    are.  ``summaries`` (doc_id, response) are a model's; the stock sentence
+    stands in for missing ones.  ``at`` and ``seconds`` say when the run ended
+    (now, if not given) and how long it took (null).  A report whose document is
+    not among the uploads is kept, with a summary that names no file.
+    """
+    counts = analysis.chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    named = analysis.reports.join(documents.select("doc_id", "original_filename"), "doc_id", "left").withColumn(
+        "original_filename", F.coalesce("original_filename", F.lit("")))
+    reports = (
+        summary(named, counts, summaries)
+        .withColumn("processing_time_seconds", (F.lit(None) if seconds is None else seconds).cast("double"))
+        .withColumn("completed_at", (F.current_timestamp() if at is None else at).cast("timestamp"))
+        .select(*schemas.REPORTS.fieldNames())
+    )
+    ended = analysis.reports.select(
+        "doc_id", F.lit("completed").alias("_status"), F.lit(None).cast("string").alias("_message"),
+    ).unionByName(analysis.failed.select("doc_id", F.col("status").alias("_status"), F.col("error_message").alias("_message")))
+    moved = documents.join(ended, "doc_id", "left")
+    seen = F.col("_status").isNotNull()
+    states = moved.withColumn("status", F.coalesce("_status", "status")).withColumn(
+        "error_message", F.when(seen, F.col("_message")).otherwise(F.col("error_message")))
+    return Stored(reports, clause_ids(analysis.clauses), states.select(*documents.columns))
+
+
 def reports_from_chunks(
     chunks: DataFrame, rules: DataFrame, labels: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -512,3 +512,24 @@ def test_every_prompt_is_asked_once(spark, tmp_path):
     before = len(asked())
     assert rows(pr.score_distinct(of(["c", "a", "bad"]), model, answers)[0]) == {0: "C", 1: "A", 2: None}
     assert asked().count("bad") > 0 and len(asked()) == before + 1
+
+
+def test_completed_analysis(spark):
+    """Whole report rows in the stored schema; only documents that were analysed move; a report without upload stays."""
+    from clauselens import schemas
+
+    pages = spark.createDataFrame(
+        [(1, 1, "The Tenant shall indemnify the Landlord against all claims."), (2, 1, " "), (9, 1, "Nothing.")], PAGE)
+    uploads = spark.createDataFrame(
+        [(1, "a.pdf", "processing", "old", "x"), (2, "b.pdf", "processing", None, "y"), (3, "c.pdf", "pending", "wait", "z")],
+        "doc_id long, original_filename string, status string, error_message string, more string")
+    made = rp.complete(rp.analyse(pages, ru.default_rules(spark)), uploads)
+    reports = {r["doc_id"]: r for r in made.reports.collect()}
+    assert made.reports.columns == schemas.REPORTS.fieldNames() and set(reports) == {1, 9}
+    assert reports[1]["executive_summary"] == "Summary of a.pdf: Legal agreement containing 1 clause sections."
+    assert reports[1]["completed_at"] is not None and reports[1]["processing_time_seconds"] is None
+    assert [r["clause_id"] for r in made.clauses.collect()] == [
+        f"1:0:{r['rule_id']}" for r in made.clauses.collect()] != []
+    assert sorted(map(tuple, made.documents.collect())) == [
+        (1, "a.pdf", "completed", None, "x"), (2, "b.pdf", "failed", fv.EMPTY_TEXT_MESSAGE, "y"),
+        (3, "c.pdf", "pending", "wait", "z")]
