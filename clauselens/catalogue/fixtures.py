@@ -167,6 +167,34 @@ def tenant_rules(spark: SparkSession, sf: str) -> DataFrame:
         (F.pmod(F.col("c_custkey"), F.lit(7)) != 0).alias("is_active"))
 
 
+def many_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule per customer that looks for words of the document of the same number.
+
+    Some categories are null or blank, some ids stand twice, a tenth has a definition.
+    """
+    from clauselens import fixed_values as fv
+
+    key = F.col("c_custkey")
+    words = F.split("text", " ")
+    seed = _pick([s[0] for s in fv.RULE_SEEDS], key)
+    name = (
+        F.when(key % 300 == 1, F.lit(None)).when(key % 300 == 2, F.lit(""))
+        .when(key % 20 == 3, seed).when(key % 20 == 4, F.concat(F.lit("  "), F.upper(seed)))
+        .otherwise(F.coalesce(F.concat(F.get(words, F.lit(5)), F.lit(" "), F.get(words, F.lit(6))),
+                              F.concat("c_mktsegment", F.lit(" rules"))))
+    )
+    keywords = F.concat_ws(
+        ",", F.when(key % 5 == 0, F.get(words, F.lit(1))),
+        F.concat(F.lit(" "), F.get(words, F.lit(2)), F.lit(" "), F.get(words, F.lit(3))),
+        F.when(key % 50 == 0, F.lit("Rent")), F.col("c_name"))
+    documents = table(spark, sf, "documents").select("doc_id", "text")
+    return table(spark, sf, "customer").join(documents, F.col("doc_id") == key, "left").select(
+        (key - (key % 100 == 1).cast("int")).cast("int").alias("rule_id"), name.alias("category"),
+        F.lit("Low").alias("default_risk_level"), F.lit(0.7).alias("confidence_threshold"),
+        F.lit(1.0).alias("weight"), F.col("c_name").alias("description"), keywords.alias("keywords"),
+        (key % 7 != 0).alias("is_active"))
+
+
 def model_labels(spark: SparkSession, sf: str) -> DataFrame:
     """Labels of a pretended model, with doubles and an unknown category."""
     named = F.array_compact(F.array(

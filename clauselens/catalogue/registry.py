@@ -354,6 +354,11 @@ def r7_join(s, d):
     return ma.match_rules_by_join(_page_chunks(s, d), fx.rules(s)).select(*_HIT)
 
 
+@query("r7_hits_many_rules", q.build(_HIT_SQL.format("many_hits"), "many_hits"))
+def r7_many(s, d):
+    return ma.match_rules(_chunks(s, d), fx.many_rules(s, d)).select(*_HIT)
+
+
 @query("r8_r9_threshold", q.build(
     "SELECT doc_id, chunk_index, rule_id, evidence, confidence_score FROM lkept_hits", "lkept_hits"))
 def r89(s, d):

@@ -305,25 +305,32 @@ def _single_keywords():
     return sorted(k for k in found if k and " " not in k)
 
 
+_CUT = _by_definition(lambda b, closed: "string_split(regexp_replace(chunk_text, "
+                      + text(f"(?i)(^|{NOT_W})({b})" + (f"($|{NOT_W})" if closed else "()"))
+                      + ", '\\1' || chr(1) || '\\2' || chr(1) || '\\3'), chr(1))")
+_HAS = "len(list_filter({}, lambda p: contains(nt, p))) > 0"
+_IN_CONTEXT = """len(cut) > 1 AND len(list_filter(context, lambda t: contains(nt, t)
+      AND (t <> lower(cut[2]) OR contains(lower(cut[1]) || ' ' || lower(cut[3]), t)))) > 0"""
+# Evidence of every definition in every chunk of ``c`` (chunks with lo and nt).
+_DEFINITION_HITS = f"""SELECT doc_id, chunk_index, def_key, CASE WHEN {_HAS.format('phrases')} THEN 'exact_phrase' ELSE 'contextual' END AS evidence
+  FROM (SELECT c.*, d.def_key, d.phrases, d.context, {_CUT} AS cut FROM c CROSS JOIN defs d)
+  WHERE {_HAS.format('phrases')} OR {_IN_CONTEXT}"""
+
+
 def _hit_ctes(pre: str, rules: str) -> None:
     starts = " ".join(f"WHEN {text(k)} THEN regexp_matches(lo, {text(START + k)})" for k in _single_keywords())
     custom = f"CASE WHEN contains(k, ' ') THEN contains(lo, k) OR contains(nt, k) ELSE CASE k {starts} END END"
-    cut = _by_definition(lambda b, closed: "string_split(regexp_replace(chunk_text, "
-                         + text(f"(?i)(^|{NOT_W})({b})" + (f"($|{NOT_W})" if closed else "()"))
-                         + ", '\\1' || chr(1) || '\\2' || chr(1) || '\\3'), chr(1))")
-    has = "len(list_filter({}, lambda p: contains(nt, p))) > 0"
     cte(pre + "hits", (pre + "chunks", rules, "defs"), f"""
 SELECT doc_id, chunk_index, page_number, chunk_text, rule_id, evidence FROM (
   SELECT *, CASE
     WHEN first_kw IS NOT NULL THEN CASE WHEN contains(first_kw, ' ') THEN 'exact_phrase' ELSE 'contextual' END
     WHEN def_key IS NULL THEN CASE WHEN contains(lo, lower(category)) OR contains(nt, lower(category)) THEN 'contextual' END
-    WHEN {has.format('phrases')} THEN 'exact_phrase'
-    WHEN len(cut) > 1 AND len(list_filter(context, lambda t: contains(nt, t)
-      AND (t <> lower(cut[2]) OR contains(lower(cut[1]) || ' ' || lower(cut[3]), t)))) > 0 THEN 'contextual' END AS evidence
+    WHEN {_HAS.format('phrases')} THEN 'exact_phrase'
+    WHEN {_IN_CONTEXT} THEN 'contextual' END AS evidence
   FROM (
     SELECT c.*, r.rule_id, r.category, r.def_key, d.phrases, d.context,
       list_filter({keyword_list('r.keywords')}, lambda k: {custom})[1] AS first_kw,
-      {cut} AS cut
+      {_CUT} AS cut
     FROM (SELECT *, lower(chunk_text) AS lo, {norm('chunk_text')} AS nt FROM {pre}chunks) c
     CROSS JOIN {rules} r LEFT JOIN defs d ON r.def_key = d.def_key WHERE r.is_active))
 WHERE evidence IS NOT NULL""")
@@ -463,6 +470,34 @@ SELECT CAST(c_custkey AS INTEGER) AS rule_id, CASE c_custkey % 6 WHEN 0 THEN b W
   (['High', 'Medium', 'Low'])[c_custkey % 3 + 1] AS default_risk_level, 0.7::DOUBLE AS confidence_threshold,
   1.0::DOUBLE AS weight, c_name AS description, c_mktsegment || ', Rent ,,' || c_name AS keywords, c_custkey % 7 <> 0 AS is_active
 FROM (SELECT *, ({_seeds})[c_custkey % {len(fv.RULE_SEEDS)} + 1] AS b FROM customer)""")
+cte("many_rules", (), f"""
+SELECT CAST(c_custkey - CASE WHEN c_custkey % 100 = 1 THEN 1 ELSE 0 END AS INTEGER) AS rule_id, c_custkey % 7 <> 0 AS is_active,
+  CASE WHEN c_custkey % 300 = 1 THEN NULL WHEN c_custkey % 300 = 2 THEN '' WHEN c_custkey % 20 = 3 THEN b
+    WHEN c_custkey % 20 = 4 THEN '  ' || upper(b) ELSE coalesce(w[6] || ' ' || w[7], c_mktsegment || ' rules') END AS category,
+  concat_ws(',', CASE WHEN c_custkey % 5 = 0 THEN w[2] END, ' ' || w[3] || ' ' || w[4],
+    CASE WHEN c_custkey % 50 = 0 THEN 'Rent' END, c_name) AS keywords
+FROM (SELECT c.*, string_split(text, ' ') AS w, ({_seeds})[c_custkey % {len(fv.RULE_SEEDS)} + 1] AS b
+      FROM customer c LEFT JOIN documents ON doc_id = c_custkey)""")
+cte("many_resolved", ("many_rules",), f"""
+SELECT *, row_number() OVER (ORDER BY rule_id, category, keywords) AS rid, {definition_key('category')} AS def_key, {keyword_list('keywords')} AS kws
+FROM many_rules WHERE is_active""")
+# Word starts marked, so that a keyword's own place is a plain search.
+_STARTS = lambda x: f"regexp_replace({x}, {text(f'({NOT_W})({PLAIN_WORD})')}, '\\1' || chr(1) || '\\2', 'g')"
+_QUOTED = "regexp_replace(k, '([[:punct:]])', '\\\\\\1', 'g')"
+cte("many_hits", ("chunks", "defs", "many_resolved"), f"""
+WITH c AS MATERIALIZED (SELECT *, lower(chunk_text) AS lo, {norm('chunk_text')} AS nt, {_STARTS("chr(10) || lower(chunk_text)")} AS starts FROM chunks),
+terms AS MATERIALIZED (SELECT k, chr(1) || {_STARTS('k')} AS start, regexp_matches(k, {text('^' + PLAIN_WORD)}) AS opens
+  FROM (SELECT DISTINCT unnest(kws) AS k FROM many_resolved)),
+found AS (SELECT doc_id, chunk_index, k FROM c JOIN terms ON CASE WHEN contains(k, ' ') THEN contains(lo, k) OR contains(nt, k)
+  WHEN opens THEN contains(starts, start) WHEN contains(lo, k) THEN regexp_matches(lo, {text(PLAIN_WORD)} || {_QUOTED}) END),
+own AS (SELECT doc_id, chunk_index, rid, arg_min(k, pos) AS k FROM found
+  JOIN (SELECT rid, unnest(kws) AS k, generate_subscripts(kws, 1) AS pos FROM many_resolved) USING (k) GROUP BY ALL),
+base AS (SELECT doc_id, chunk_index, rid, evidence FROM ({_DEFINITION_HITS}) JOIN many_resolved USING (def_key)
+  UNION ALL SELECT doc_id, chunk_index, rid, 'contextual' FROM c JOIN many_resolved ON def_key IS NULL
+    AND (contains(lo, lower(coalesce(category, ''))) OR contains(nt, lower(coalesce(category, '')))))
+SELECT doc_id, chunk_index, rule_id, CASE WHEN contains(k, ' ') THEN 'exact_phrase' WHEN k IS NOT NULL THEN 'contextual'
+  ELSE evidence END AS evidence
+FROM (SELECT * FROM own FULL JOIN base USING (doc_id, chunk_index, rid)) JOIN many_resolved USING (rid)""")
 cte("noisy", (), f"""
 SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i:
   x || chr(10) || ({texts(fx.NOISE_LINES)})[(i - 1 + doc_id) % {len(fx.NOISE_LINES)} + 1]), chr(10)) AS text FROM documents""")

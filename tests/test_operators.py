@@ -114,19 +114,24 @@ def test_matching(spark, category, text, keywords, expected):
 
 
 def test_match_by_join_agrees(spark):
-    texts = ["hold harmless the tenant", "pay rent in paris", "the premises; vacate them", "a\tb c", "parental leave", "É rent"]
+    texts = ["hold harmless the tenant", "pay rent in paris", "the premises; vacate them", "a\tb c", "parental leave", "É rent",
+             "", "pre-pay (a+b) and -pay", "US$500 or $500", "x\x01pay", "the   tenant\npays now", "_pay; 日本語 text"]
     chunks = chunk(spark.createDataFrame([(i, 1, t) for i, t in enumerate(texts)], PAGE), single_page=True)
     extra = [(50, "Renting", "Low", 0.1, 1.0, "", "rent, a", True), (51, "b c", "Low", 0.1, 1.0, "", None, True),
              (52, "Off", "Low", 0.1, 1.0, "", "the", False), (53, "X", "Low", 0.1, 1.0, "", "in paris,paris", True),
              (54, None, "Low", 0.1, 1.0, "", None, True), (55, "", "Low", 0.1, 1.0, "", " , ", True),
-             (56, "Y", "Low", 0.1, 1.0, "", "(,p,.", True), (57, None, "Low", 0.1, 1.0, None, "rent", True)]
+             (56, "Y", "Low", 0.1, 1.0, "", "(,p,.", True), (57, None, "Low", 0.1, 1.0, None, "rent", True),
+             (57, None, "Low", 0.1, 1.0, None, "rent", True), (57, "Aren", "Low", 0.1, 1.0, None, "ant pay,-pay", True),
+             (58, "e-p", "Low", 0.1, 1.0, "", "$500,zz", True), (59, "+", "Low", 0.1, 1.0, "", "pay-x, b) a", True),
+             (60, "ar", "Low", 0.1, 1.0, "", "日本, s n", True), (61, "zz", "Low", 0.1, 1.0, "", "(a+, y;", True)]
     rules = ru.default_rules(spark).unionByName(spark.createDataFrame(extra, ru.default_rules(spark).schema))
     cols = ["doc_id", "rule_id", "evidence"]
     compiled, joined = ma.match_rules(chunks, rules), ma.match_rules_by_join(chunks, rules)
     assert compiled.schema["rule_id"].dataType == joined.schema["rule_id"].dataType
-    one = {tuple(r) for r in compiled.select(*cols).collect()}
-    two = {tuple(r) for r in joined.select(*cols).collect()}
-    assert one == two and len({r for r in one if r[1] == 54}) == len(texts)
+    one = sorted(tuple(r) for r in compiled.select(*cols).collect())
+    two = sorted(tuple(r) for r in joined.select(*cols).collect())
+    assert one == two and len({r for r in one if r[1] == 54}) == len({r[0] for r in one})
+    assert len(one) > len(set(one))
 
 
 @pytest.mark.parametrize("evidence, confirmed, expected", [
