@@ -1022,6 +1022,17 @@ def v1_filtered(s, d):
         "query_id", "vec_id", F.round("distance", 6).alias("distance"))
 
 
+_EVERY_50TH = "(SELECT vec_id AS label, embedding::DOUBLE[] AS embedding FROM embeddings WHERE vec_id % 50 = 0)"
+
+
+@query("v1_cosine_topk_many", _TOP.format(_EVERY_50TH, "true"))
+def v1_many(s, d):
+    """Every 50th vector against all, by cells."""
+    vectors = fx.table(s, d, "embeddings")
+    queries = vectors.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return ve.cell_topk(vectors, queries, 10).select("query_id", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query("v2_approx_topk", f"""
 SELECT query_id, vec_id, distance, true AS recalled FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS r FROM ({_TOP.format(_CENTROIDS, "true")})) WHERE r = 1""")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clauselens.functions.once import compute_once
+from clauselens.sources import tables
+
 # More query vectors than this are spread over tasks instead of being broadcast.
 BROADCAST_QUERIES = 2000
 _GRID = 64
@@ -69,6 +74,89 @@ def cosine_topk(
     return _top(pairs, k)
 
 
+def _directed(df: DataFrame) -> DataFrame:
+    """Rows whose vector has a direction: not null, empty or zero, every number finite."""
+    length = norm(F.col("embedding"))
+    return df.filter((length > 0) & (length < F.lit(float("inf"))))
+
+
+def _cell_centers(units: DataFrame, cells: int):
+    """Up to ``cells`` different unit vectors of a bounded sample (32 rows a cell, by hash of the id).
+
+    The search is exact for any centers; they only decide how much is compared.
+    """
+    sample = units.orderBy(F.xxhash64("vec_id"), "vec_id").limit(32 * cells).collect()
+    return list(dict.fromkeys(tuple(r["_vec_id"]) for r in sample))[:cells]
+
+
+def _cells(rows) -> Column:
+    """Cells as a constant: few rows, whatever the input."""
+    schema = "array<struct<cell:int,u:array<double>,n:bigint,radius:double,blocks:int>>"
+    return F.from_json(F.lit(json.dumps(rows)), schema)
+
+
+def _by_distance(of: Column, cells: Column) -> Column:
+    """The cells with the Euclidean distance of a unit vector to their centers, nearest first."""
+    away = lambda c: F.sqrt(F.greatest(2.0 - 2.0 * dot(of, c["u"]), F.lit(0.0)))
+    return F.array_sort(F.transform(
+        cells, lambda c: F.struct(away(c).alias("d"), c["cell"], c["n"], c["radius"], c["blocks"])))
+
+
+def cell_topk(
+    vectors: DataFrame, queries: DataFrame, k: int = 1,
+    cells: int = 64, rows_per_block: int = 50_000, slack: float = 1e-6,
+) -> DataFrame:
+    """V1 for many queries, exact: (query_id, vec_id, distance, rank).
+
+    Every vector lies in the cell of its nearest center.  A query first meets the
+    nearest cells that hold ``k`` vectors; the distance of its k-th one there is a bound,
+    and of the other cells only those are met whose center is nearer than the bound
+    plus the cell's radius (triangle inequality between unit vectors).  A cell of
+    many rows is split into blocks of about ``rows_per_block``, so copies of one vector
+    spread over tasks.  Vectors without a direction (null, empty, zero, not finite) are
+    in no result; no vectors or no queries give no rows; ties go by vec_id.
+    """
+    v = _units(_directed(vectors), "vec_id", "vec_id", None)
+    q = _units(_directed(queries), "query_id", "query_id", None)
+    centers = [{"cell": i, "u": u} for i, u in enumerate(_cell_centers(v, cells))]
+    near = F.element_at(_by_distance(F.col("_vec_id"), _cells(centers)), 1)
+    placed = tables.materialise(
+        compute_once(v, _near=near).select("vec_id", "_vec_id", "_near.cell", "_near.d"), "cells")
+    sizes = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius")).collect()
+    known = [
+        {**centers[r["cell"]], "n": r["n"], "radius": r["radius"], "blocks": -(-r["n"] // rows_per_block)}
+        for r in sizes
+    ]
+    split = F.create_map(*[F.lit(x) for c in known for x in (c["cell"], c["blocks"])]) if known else F.lit(None)
+    blocks = F.element_at(split, F.col("cell")) if known else F.lit(1)
+    placed = placed.withColumn("_block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")) \
+        .select("cell", "_block", "vec_id", "_vec_id")
+
+    # How many of the nearest cells hold k vectors.
+    count = F.aggregate(
+        "_ways", F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("taken")),
+        lambda s, c: F.when(s["held"] >= k, s).otherwise(
+            F.struct((s["held"] + c["n"]).alias("held"), (s["taken"] + 1).alias("taken"))))
+    ways = compute_once(q, _ways=_by_distance(F.col("_query_id"), _cells(known))) \
+        .withColumn("_taken", count["taken"])
+
+    def compared(met: DataFrame) -> DataFrame:
+        every = met.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pairs = placed.join(every, ["cell", "_block"]).select(
+            "query_id", "vec_id", (1.0 - dot(F.col("_vec_id"), F.col("_query_id"))).alias("distance"))
+        return _top(pairs, k)
+
+    nearest = ways.select("query_id", "_query_id", F.inline(F.slice("_ways", F.lit(1), F.col("_taken"))))
+    first = tables.materialise(compared(nearest), "nearest-cells")
+    bounds = first.filter(F.col("rank") == k).select(
+        "query_id", F.sqrt(F.greatest(2.0 * F.col("distance"), F.lit(0.0))).alias("_bound"))
+    others = F.filter(
+        F.slice("_ways", F.col("_taken") + 1, F.size("_ways")),
+        lambda c: F.col("_bound").isNull() | (c["d"] - c["radius"] <= F.col("_bound") + slack))
+    rest = compared(ways.join(bounds, "query_id", "left").select("query_id", "_query_id", F.inline(others)))
+    return _top(first.drop("rank").unionByName(rest.drop("rank")), k)
+
+
 def approx_topk(
     vectors: DataFrame, queries: DataFrame, k: int = 1,
     tables: int = 16, bits: int = 4, bucket_length: float = 0.5, seed: int = 7,

@@ -538,3 +538,30 @@ def test_completed_analysis(spark):
     assert sorted(map(tuple, made.documents.collect())) == [
         (1, "a.pdf", "completed", None, "x"), (2, "b.pdf", "failed", fv.EMPTY_TEXT_MESSAGE, "y"),
         (3, "c.pdf", "pending", "wait", "z")]
+
+
+def test_cell_search_against_all_pairs(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        at = i % 6
+        rows.append((i, [float(j == at) * 3 + rng.gauss(0, .2) for j in range(6)]))
+    rows += [(1000 + i, [1.0, 1.0, 0.0, 0.0, 0.0, 0.0]) for i in range(300)]  # copies, more than a block holds
+    odd = [(5000, None), (5001, []), (5002, [0.0] * 6), (5003, [float("nan")] * 6), (5004, [None, 1.0, 0.0, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, e) for i, e in rows[::25]] + odd, "query_id long, embedding array<double>")
+    got = {}
+    for r in ve.cell_topk(vectors, queries, 7, cells=12, rows_per_block=50).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], round(r["distance"], 9)))
+    length = lambda a: sum(x * x for x in a) ** .5
+    cosine = lambda a, b: 1 - sum(x * y for x, y in zip(a, b)) / length(a) / length(b)
+    assert set(got) == {i for i, _ in rows[::25]}
+    for i, e in rows[::25]:
+        near = sorted(round(cosine(e, o), 9) for _, o in rows)[:7]
+        assert [d for _, _, d in sorted(got[i])] == pytest.approx(near, abs=1e-8)
+        assert [r for r, _, _ in sorted(got[i])] == list(range(1, 8))
+    copies = {v for _, v, _ in got[1000]}
+    assert len(copies) == 7 and min(copies) >= 1000
+    none = vectors.limit(0)
+    assert ve.cell_topk(none, queries, 3).count() == 0 and ve.cell_topk(vectors, queries.limit(0), 3).count() == 0
+    assert ve.cell_topk(vectors, queries.limit(1), 10_000).count() == len(rows)  # fewer vectors than k
