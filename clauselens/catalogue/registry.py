@@ -1039,7 +1039,7 @@ SELECT query_id, vec_id, distance, true AS recalled FROM (
 def v2(s, d):
     """The nearest vector of every query, and whether 9 of the 10 true nearest ones were found."""
     vectors, queries = fx.table(s, d, "embeddings"), tables.materialise(_centroids(s, d), "centroids")
-    found = tables.materialise(ve.approx_topk(vectors, queries, 10, tables=32, bits=3), "approx")
+    found = tables.materialise(ve.approx_topk(vectors, queries, 10), "approx")
     exact = ve.cosine_topk(vectors, queries, 10).select("query_id", "vec_id")
     recall = exact.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left") \
         .groupBy("query_id").agg((F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recalled"))

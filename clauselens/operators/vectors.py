@@ -159,7 +159,7 @@ def cell_topk(
 
 def approx_topk(
     vectors: DataFrame, queries: DataFrame, k: int = 1,
-    tables: int = 16, bits: int = 4, bucket_length: float = 0.5, seed: int = 7,
+    tables: int = 32, bits: int = 3, bucket_length: float = 0.5, seed: int = 7,
 ) -> DataFrame:
     """V2: like V1, from hash candidates with an exact re-rank.
 
