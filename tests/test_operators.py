@@ -132,6 +132,10 @@ def test_match_by_join_agrees(spark):
     two = sorted(tuple(r) for r in joined.select(*cols).collect())
     assert one == two and len({r for r in one if r[1] == 54}) == len({r[0] for r in one})
     assert len(one) > len(set(one))
+    # Several blocks of rules give the same, and neither texts nor hits are shuffled.
+    blocks = ma.match_rules_by_join(chunks.coalesce(1), rules, ["chunk_text"], rules_per_block=9)
+    assert sorted(tuple(r) for r in blocks.select(*cols).collect()) == one
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("evidence, confirmed, expected", [
