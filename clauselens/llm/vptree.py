@@ -231,10 +231,22 @@ def hex_fingerprint(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", groups=near_duplicates, **options) -> DataFrame:
+def _united(*groups: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of the groups that overlapping groups of the same rows make up together."""
+    first, *others = groups
+    links = first.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    for g in others:
+        links = links.unionByName(g.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    found = components(links)
+    return first.select("doc_id").join(found, F.col("doc_id") == F.col("node"), "left").select(
+        "doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", also=None, **options) -> DataFrame:
     """The rows of ``docs`` that stand for their group: its smallest key, once.
 
-    ``groups`` names the component of every row, as ``near_duplicates`` does.
+    Groups are those of ``near_duplicates``.  ``also`` names further groups of the
+    rows, in the same form; groups that share a row are then one.
     Equal texts under one key count once; different texts under one key stay
     together.  Rows without a key stand behind all others of their group; among
     themselves a hash of the text decides.
@@ -242,6 +254,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", groups
     nameless = F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61))
     named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(key).cast("long"), nameless).alias("id"),
                         F.col(text).alias("body"), F.xxhash64(text).alias("digest"))
-    found = groups(named, "id", "body", **options)
+    found = near_duplicates(named, "id", "body", **options)
+    if also is not None:
+        found = _united(found, also(named, "id", "body"))
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
     return keep_rows(named.drop("body"), "id", stay, "left_semi").dropDuplicates(["id", "digest"]).select("row.*")

@@ -24,12 +24,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8): the smallest key.
+    """One document of each group of near duplicates: the smallest key.
+
+    Groups are joined by fingerprints at most two bits apart (vantage-point trees), and
+    by exact similarity of 0.8 in 5-word shingles, which fingerprints alone would miss.
 
     Null and empty texts are one group.  Equal rows of one key stay once.  Rows
     without a key stand behind the others of their group.  An empty table gives no rows.
     """
-    return vptree.one_of_each(docs, groups=near_copies.near_copies)
+    return vptree.one_of_each(docs, also=near_copies.near_copies)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -628,6 +628,18 @@ def test_near_copies_against_all_pairs(spark):
     assert kept == {None if c == 10 ** 9 else c for c in group.values()}
 
 
+def test_near_duplicates_stage_goes_by_fingerprints(spark):
+    """Texts of one fingerprint that are no near copies by their sets of shingles: one stays."""
+    import corpus_pipeline
+
+    refrain = " ".join(f"r{i}" for i in range(10)) + " "
+    texts = [refrain * 60, refrain * 60 + " ".join(f"x{i}" for i in range(12)), " ".join(f"y{i}" for i in range(80))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len({r.component_id for r in near_copies.near_copies(docs).collect()}) == 3
+    assert len({r.component_id for r in vptree.near_duplicates(docs).collect()}) == 2
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {0, 2}
+
+
 def test_one_shingle_in_very_many_sets(spark, monkeypatch):
     """Sets that are mostly one passage: block against block gives the same groups as a plain search."""
     monkeypatch.setattr(near_copies, "BLOCK", 64)
