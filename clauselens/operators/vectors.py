@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
@@ -102,6 +104,33 @@ def _by_distance(of: Column, cells: Column) -> Column:
         cells, lambda c: F.struct(away(c).alias("d"), c["cell"], c["n"], c["radius"], c["blocks"])))
 
 
+# Products that are held at a time, and how far matrix products may lie from sums in order.
+_PRODUCTS, _ROUNDING = 1 << 23, 1e-9
+
+
+def _nearest_of(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest vectors (vec_id, _vec_id) of every query (query_id, _query_id) of a block.
+
+    A matrix product finds all that may be among them; their distances are then
+    summed up in the order of the components, as ``dot`` does, so that equal vectors tie.
+    """
+    ids, queries, found = left["vec_id"].to_numpy(), right["query_id"].to_numpy(), []
+    if len(ids) and len(queries):
+        v, q = np.stack(left["_vec_id"].to_numpy()), np.stack(right["_query_id"].to_numpy())
+        step = max(1, _PRODUCTS // len(ids))
+        for at in range(0, len(q), step):
+            part = q[at:at + step]
+            close = part @ v.T
+            least = np.partition(close, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(part), -np.inf)
+            for i, row in enumerate(close):
+                may = np.flatnonzero(row >= least[i] - _ROUNDING)
+                far = 1.0 - np.cumsum(v[may] * part[i], axis=1)[:, -1]
+                first = np.lexsort((ids[may], far))[:k]
+                found.append((np.full(len(first), queries[at + i]), ids[may[first]], far[first]))
+    columns = [np.concatenate(c) for c in zip(*found)] if found else [[], [], []]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "distance"), columns)))
+
+
 def cell_topk(
     vectors: DataFrame, queries: DataFrame, k: int = 1,
     cells: int = 64, rows_per_block: int = 50_000, slack: float = 1e-6,
@@ -111,8 +140,8 @@ def cell_topk(
     Every vector lies in the cell of its nearest center.  A query first meets the
     nearest cells that hold ``k`` vectors; the distance of its k-th one there is a bound,
     and of the other cells only those are met whose center is nearer than the bound
-    plus the cell's radius (triangle inequality between unit vectors).  A cell of
-    many rows is split into blocks of about ``rows_per_block``, so copies of one vector
+    plus the cell's radius (triangle inequality between unit vectors).  Queries and
+    vectors of a cell are compared as matrices.  A cell of many rows is split into blocks of about ``rows_per_block``, so copies of one vector
     spread over tasks.  Vectors without a direction (null, empty, zero, not finite) are
     in no result; no vectors or no queries give no rows; ties go by vec_id.
     """
@@ -132,6 +161,9 @@ def cell_topk(
     placed = placed.withColumn("_block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int")) \
         .select("cell", "_block", "vec_id", "_vec_id")
 
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((v, "vec_id"), (q, "query_id"))]
+    parts = max(1, -(-q.count() // rows_per_block))
+
     # How many of the nearest cells hold k vectors.
     count = F.aggregate(
         "_ways", F.struct(F.lit(0).cast("long").alias("held"), F.lit(0).alias("taken")),
@@ -141,9 +173,13 @@ def cell_topk(
         .withColumn("_taken", count["taken"])
 
     def compared(met: DataFrame) -> DataFrame:
-        every = met.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        pairs = placed.join(every, ["cell", "_block"]).select(
-            "query_id", "vec_id", (1.0 - dot(F.col("_vec_id"), F.col("_query_id"))).alias("distance"))
+        # A block of vectors and a block of queries meet in memory; k rows per query leave it.
+        every = met.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+            .withColumn("_part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+        there = placed.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        keys = ["cell", "_block", "_part"]
+        pairs = there.groupBy(*keys).cogroup(every.select(*keys, "query_id", "_query_id").groupBy(*keys)).applyInPandas(
+            lambda left, right: _nearest_of(left, right, k), f"query_id {kinds[1]}, vec_id {kinds[0]}, distance double")
         return _top(pairs, k)
 
     nearest = ways.select("query_id", "_query_id", F.inline(F.slice("_ways", F.lit(1), F.col("_taken"))))
