@@ -51,25 +51,58 @@ def clip(col: Column, n: int) -> Column:
 # --- T1 / T2 / T3: line cleaning ------------------------------------------
 
 
+def _opens_with_ws(line: Column, at: int = 1) -> Column:
+    """Whitespace, or nothing, stands at a place of the line."""
+    return F.contains(F.lit(WS_CHARS), F.substring(line, at, 1))
+
+
+def _holds(*terms: str):
+    def test(line: Column) -> Column:
+        out = F.lit(False)
+        for t in terms:
+            out = out | F.contains(line, F.lit(t))
+        return out
+
+    return test
+
+
+# What every line that a pattern of NOISE_LINE_PATTERNS matches shows to a plain search, in
+# their order; lower case only for letters that no other sign is equal to, ignoring case.
+_NOISE_GATES = (
+    _holds("Szz0H", "rreDF", "Orie"),
+    lambda line: F.contains(F.lower(line), F.lit("aadhaar")),
+    lambda line: F.startswith(line, F.lit("Date:")),
+    lambda line: F.contains(F.lower(line), F.lit("cec")),
+    lambda line: _opens_with_ws(line, 2),
+    lambda line: F.length(line) <= 4,
+)
+
+
 def is_noise_line(line: Column) -> Column:
     """T1 predicate on one trimmed, non-empty line."""
     tracking_token = (
         (F.length(line) >= 20)
-        & (word_count(line) <= 2)
         & F.rlike(line, F.lit(java_regex(r"\d", ignore_case=False)))
         & F.rlike(line, F.lit("[A-Za-z]"))
+        & (word_count(line) <= 2)
     )
     out = tracking_token
-    for pattern, ignore_case in fv.NOISE_LINE_PATTERNS:
-        out = out | F.rlike(line, F.lit(java_regex(pattern, ignore_case)))
+    for (pattern, ignore_case), gate in zip(fv.NOISE_LINE_PATTERNS, _NOISE_GATES, strict=True):
+        out = out | (gate(line) & F.rlike(line, F.lit(java_regex(pattern, ignore_case))))
     return out
 
 
+# Every line that a pattern of LINE_FIXES changes holds one of these, or begins with an "e".
+_FIXED_PARTS = _holds("%", '10"', "érsons", "7<«")
+
+
 def fix_line(line: Column) -> Column:
     """Known misreadings put right, in order."""
+    touched = _FIXED_PARTS(line) | F.startswith(line, F.lit("e")) | _opens_with_ws(line)
+    fixed = line
     for pattern, replacement in fv.LINE_FIXES:
-        line = F.regexp_replace(line, java_regex(pattern, ignore_case=False), replacement)
-    return strip(line)
+        fixed = F.regexp_replace(fixed, java_regex(pattern, ignore_case=False), replacement)
+    return strip(F.when(touched, fixed).otherwise(line))
 
 
 def _lines(col: Column) -> Column:

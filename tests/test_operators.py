@@ -113,6 +113,36 @@ def test_matching(spark, category, text, keywords, expected):
     assert match(spark, category, text, keywords) == expected
 
 
+def test_noise_and_fixes_with_and_without_gates(spark):
+    """Plain searches before the patterns change nothing, odd case forms included."""
+    from clauselens.functions import patterns as pa
+
+    lines = ["Szz0H x", "a Orie  rre", "eſigned uſing AADHAAR", "ESIGNED\u00a0USING aadhaar", "Date: Mon Jan 12", "BR pe AE CECITET",
+             "br Pe ae cecıtet", "x 12 hiſ /", "K 5", "\u212a\u20037", "é 5", "ee", "OE", "e\n", "eee", "04Q55120987765401239abc", "\u0660" * 20 + "a b",
+             "Pay %500", 'the 10" day', "all érsons", "7<« x", "ee Mrs.", "e NOW", " ee x", "\u3000e THIS", "E NOW", "plain", ""]
+    df = spark.createDataFrame([(x,) for x in lines], "x string").repartition(1)
+    x, bare = F.col("x"), F.lit(False)
+    for p, i in fv.NOISE_LINE_PATTERNS:
+        bare = bare | F.rlike(x, F.lit(pa.java_regex(p, i)))
+    token = (F.length(x) >= 20) & (tx.word_count(x) <= 2) & F.rlike(x, F.lit(r"\p{Nd}")) & F.rlike(x, F.lit("[A-Za-z]"))
+    fixed = x
+    for p, r in fv.LINE_FIXES:
+        fixed = F.regexp_replace(fixed, pa.java_regex(p, False), r)
+    rows = df.select(x, tx.is_noise_line(x), token | bare, tx.fix_line(x), tx.strip(fixed)).collect()
+    assert [r[0] for r in rows if r[1] != r[2] or r[3] != r[4]] == [] and sum(r[1] for r in rows) >= 12
+    # Lines without a part that is fixed are not searched by the patterns of the fixes.
+    assert "CASE WHEN" in df.select(tx.fix_line(x))._jdf.queryExecution().analyzed().toString()
+
+
+def test_candidates_join_texts_once(spark):
+    chunks = spark.createDataFrame([(1, 0, 1, "a", 40), (1, 1, 1, "b", 5), (1, 2, 1, "c", 5)],
+                                   "doc_id long, chunk_index int, page_number int, chunk_text string, token_count int")
+    hits = spark.createDataFrame([(1, 1, 7), (1, 1, 8)], "doc_id long, chunk_index int, rule_id int")
+    got = ma.model_candidates(chunks, hits)
+    assert sorted((r["chunk_index"], r["matched"], r["chunk_text"]) for r in got.collect()) == [(0, False, "a"), (1, True, "b")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 def test_match_by_join_agrees(spark):
     texts = ["hold harmless the tenant", "pay rent in paris", "the premises; vacate them", "a\tb c", "parental leave", "É rent",
              "", "pre-pay (a+b) and -pay", "US$500 or $500", "x\x01pay", "the   tenant\npays now", "_pay; 日本語 text"]
