@@ -599,3 +599,14 @@ def test_cell_search_against_all_pairs(spark):
     none = vectors.limit(0)
     assert ve.cell_topk(none, queries, 3).count() == 0 and ve.cell_topk(vectors, queries.limit(0), 3).count() == 0
     assert ve.cell_topk(vectors, queries.limit(1), 10_000).count() == len(rows)  # fewer vectors than k
+
+
+def test_cell_search_makes_no_row_per_pair(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = spark.createDataFrame(rows[:4], "query_id long, embedding array<double>")
+    found = ve.cell_topk(vectors, queries, 3, cells=4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and found.count() == 12
+    # Equal vectors tie exactly, so the smaller ids come first.
+    assert [r["vec_id"] for r in found.orderBy("query_id", "rank").collect()][:3] == [0, 21, 42]
