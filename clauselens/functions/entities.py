@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselens import fixed_values as fv
+from clauselens.functions.once import bound
 from clauselens.functions.patterns import WS, all_matches, first_group, java_regex
 from clauselens.functions.text import strip, words
 
@@ -20,10 +23,32 @@ def amounts(col: Column, most: int | None = None) -> Column:
     return _distinct(all_matches(col, java_regex(fv.AMOUNT_PATTERN)), most)
 
 
+def _shown(col: Column, *parts: str) -> Column:
+    """The text, or null where its lower case has none of the parts, of which every match shows one.
+
+    Parts have no i, k or s, which are equal to other letters ignoring case.
+    """
+    shown = bound(F.lower(col), lambda low: functools.reduce(Column.__or__, [F.contains(low, F.lit(p)) for p in parts]))
+    return F.when(shown, col)
+
+
+# What each of DATE_PATTERNS shows in lower case: one of these in every match, or nothing to ask for.
+_MONTH_PARTS = (
+    "january", "february", "march", "apr", "may", "june", "july", "augu", "eptember", "october", "november", "december")
+_MONTH_ENDS = ("an", "eb", "ar", "pr", "ay", "un", "ul", "ug", "ep", "ct", "ov", "ec")
+_DATE_PARTS = (
+    _MONTH_PARTS, ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "ep", "oct", "nov", "dec"),
+    tuple(m + c for m in _MONTH_ENDS for c in "-/"), ("-", "/"))
+
+
 def dates(col: Column, most: int | None = None) -> Column:
     """All hits of the first pattern, then of the second, and so on, or the first ``most``."""
-    hits = F.concat(*[all_matches(col, java_regex(p)) for p in fv.DATE_PATTERNS])
-    return _distinct(hits, most)
+    none = F.array().cast("array<string>")
+    hits = [
+        F.when(col.isNull(), F.lit(None)).otherwise(
+            F.coalesce(all_matches(_shown(col, *parts), java_regex(p)), none))
+        for p, parts in zip(fv.DATE_PATTERNS, _DATE_PARTS, strict=True)]
+    return _distinct(F.concat(*hits), most)
 
 
 def _title(col: Column) -> Column:
@@ -35,19 +60,19 @@ def _title(col: Column) -> Column:
     return F.array_join(cased, "")
 
 
-def _first_place(col: Column, patterns) -> Column:
-    found = [_title(strip(first_group(col, java_regex(p), 1))) for p in patterns]
+def _first_place(col: Column, patterns, parts) -> Column:
+    found = [_title(strip(first_group(_shown(col, s), java_regex(p), 1))) for p, s in zip(patterns, parts, strict=True)]
     return F.coalesce(*found, F.lit(fv.NOT_SPECIFIED))
 
 
 def governing_law(col: Column) -> Column:
     """E2."""
-    return _first_place(col, fv.GOVERNING_LAW_PATTERNS)
+    return _first_place(col, fv.GOVERNING_LAW_PATTERNS, ("governed by", "law", "ubject to"))
 
 
 def jurisdiction(col: Column) -> Column:
     """E3."""
-    return _first_place(col, fv.JURISDICTION_PATTERNS)
+    return _first_place(col, fv.JURISDICTION_PATTERNS, ("court", "court", "ubject to the jur"))
 
 
 def _party_name(side: Column, most_words: int | None) -> Column:
@@ -83,10 +108,10 @@ def block_parties(col: Column, most_words: int | None = None) -> Column:
 
 def offer_parties(col: Column) -> Column:
     """Employer and employee of an offer letter."""
-    employer = F.nullif(strip(first_group(col, java_regex(fv.OFFER_EMPLOYER), 1)), F.lit(""))
+    employer = F.nullif(strip(first_group(_shown(col, "offer"), java_regex(fv.OFFER_EMPLOYER), 1)), F.lit(""))
     employee = F.nullif(
-        strip(first_group(col, java_regex(fv.OFFER_EMPLOYEE, ignore_case=False), 1)), F.lit(""))
-    role = F.nullif(strip(first_group(col, java_regex(fv.OFFER_ROLE), 1)), F.lit(""))
+        strip(first_group(_shown(col, "dear"), java_regex(fv.OFFER_EMPLOYEE, ignore_case=False), 1)), F.lit(""))
+    role = F.nullif(strip(first_group(_shown(col, "on of"), java_regex(fv.OFFER_ROLE), 1)), F.lit(""))
     return F.array_compact(F.array(
         F.concat(employer, F.lit(" (Employer)")),
         F.concat(employee, F.lit(" ("), F.coalesce(role, F.lit("Employee")), F.lit(")")),

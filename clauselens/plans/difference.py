@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselens.operators.clauses import assemble_clauses, collapse_clauses
+from clauselens.operators.clauses import assemble_clauses, collapse_clauses, with_texts
 from clauselens.operators.matching import apply_threshold, match_rules, merge_labels
 from clauselens.operators.rules import pin_rules
 from clauselens.operators.scoring import choose_advice, score_documents
@@ -104,8 +104,7 @@ def reanalyse_changed(
         hits = hits.withColumn("confirmed", F.lit(False))
     else:
         hits = merge_labels(hits, labels.join(touched, "doc_id", "left_semi"), rules)
-    texts = chunks.select("doc_id", "chunk_index", "page_number", "chunk_text")
-    raw = assemble_clauses(apply_threshold(hits, rules).join(texts, ["doc_id", "chunk_index"]), rules)
+    raw = assemble_clauses(with_texts(apply_threshold(hits, rules), chunks), rules)
     scored = score_documents(touched, choose_advice(collapse_clauses(raw)))
     new = scored.select("doc_id", F.struct(*_SCORES).alias("_new"))
     both = previous.join(new, "doc_id", "left")

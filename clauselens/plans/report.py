@@ -18,6 +18,7 @@ from clauselens.operators.clauses import (
     rule_facts,
     with_sentences,
     with_snippet,
+    with_texts,
 )
 from clauselens.operators.matching import (
     apply_threshold,
@@ -66,8 +67,7 @@ def raw_clauses(
         return assemble_clauses(kept, rules)
     hits = (match_rules(chunks, rules) if hits is None else hits).drop("page_number")
     kept = apply_threshold(merge_labels(hits, labels, rules), rules)
-    texts = chunks.select("doc_id", "chunk_index", "page_number", "chunk_text")
-    return assemble_clauses(kept.join(texts, ["doc_id", "chunk_index"]), rules)
+    return assemble_clauses(with_texts(kept, chunks), rules)
 
 
 def document_entities(pages: DataFrame, single_page: bool = False) -> tuple[DataFrame, DataFrame]:

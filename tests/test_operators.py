@@ -610,3 +610,30 @@ def test_cell_search_makes_no_row_per_pair(spark):
     assert "FlatMapCoGroupsInPandas" in plan and found.count() == 12
     # Equal vectors tie exactly, so the smaller ids come first.
     assert [r["vec_id"] for r in found.orderBy("query_id", "rank").collect()][:3] == [0, 21, 42]
+
+
+@pytest.mark.parametrize("text", [
+    "the tenant shall İndemnify", "ındemnity", "no diſmiſſal here, ſeverance", "xterminate", "re-terminate _dismiss",
+    "Late fee", "10% increase and ١% increase", "évict evicté", "riKt", "", "work\nproduct", "DEPOSIT", "áauto-renew"])
+def test_patterns_behind_a_first_look_find_the_same(spark, text):
+    from clauselens.functions.patterns import _java_boundary, expand_classes, java_regex
+
+    ws = "[\\x20\\x09-\\x0d\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+    for d in ru.DEFINITIONS.values():
+        assert java_regex(d.pattern).startswith("(?diu)(?=")
+        plain = "(?diu)" + expand_classes(d.pattern, _java_boundary, ws, "[\\p{L}\\p{N}_]")
+        found = spark.range(1).select(
+            F.regexp_extract(F.lit(text), java_regex(d.pattern), 0).alias("a"), F.regexp_extract(F.lit(text), plain, 0).alias("b"),
+            F.rlike(F.lit(text), F.lit(plain)).alias("hit"), cl._may_match(d, F.lit(text), F.lower(F.lit(text))).alias("may")).first()
+        assert found["a"] == found["b"] and (found["may"] or not found["hit"]), d.key
+
+
+def test_sentences_are_split_once_for_all_hits_of_a_chunk(spark):
+    chunks = spark.createDataFrame([(1, 0, 1, "One. Two."), (1, 1, 1, "Three.")], "doc_id long, chunk_index int, page_number int, chunk_text string")
+    hits = spark.createDataFrame([(1, 0, 1, "e"), (1, 0, 2, "e"), (1, 0, 2, "e"), (1, 1, 1, None)],
+                                 "doc_id long, chunk_index int, rule_id int, evidence string")
+    got = cl.with_texts(hits, chunks)
+    rows = sorted((r.chunk_index, r.rule_id, len(r["_sentences"])) for r in got.collect())
+    assert rows == [(0, 1, 2), (0, 2, 2), (0, 2, 2), (1, 1, 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate inline") < plan.index("_sentences", plan.index("Generate inline"))
