@@ -146,3 +146,22 @@ def snippet_keywords(rules: DataFrame) -> DataFrame:
         F.element_at(by_definition, F.col("def_key")), F.array(F.lower("category")))
     listed = F.concat(own, keyword_list(F.col("keywords")))
     return rules.withColumn("snippet_keywords", F.filter(listed, lambda k: k != ""))
+
+
+def _roots(d: Definition) -> list[str]:
+    """Words of which every snippet keyword of a definition holds one, and every match of its pattern that
+    lower case turns into plain letters."""
+    roots = {max(stem.split(), key=len) for stem in STEMS[d.key]}
+    for k in d.phrases + d.keywords:
+        if not any(r in k for r in roots):
+            roots.add(max(k.split(), key=len))
+    return sorted(r for r in roots if not any(o != r and o in r for o in roots))
+
+
+def snippet_roots(keywords: Column, def_key: Column) -> Column:
+    """The few texts one of which is in every lower-case sentence that scores for a rule."""
+    by_definition = F.create_map(*[x for d in DEFINITIONS.values() for x in (F.lit(d.key), F.lit(_roots(d)))])
+    none = F.array().cast("array<string>")
+    own = F.coalesce(F.element_at(by_definition, def_key), none)
+    covered = lambda k: F.exists(own, lambda r: F.contains(k, r))
+    return F.concat(own, F.array_distinct(F.filter(keywords, lambda k: ~covered(k))))

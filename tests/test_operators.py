@@ -654,3 +654,21 @@ def test_sentences_are_split_once_for_all_hits_of_a_chunk(spark):
     assert rows == [(0, 1, 2), (0, 2, 2), (0, 2, 2), (1, 1, 1)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate inline") < plan.index("_sentences", plan.index("Generate inline"))
+
+
+def test_snippet_keywords_are_tried_only_behind_the_roots_of_a_rule(spark):
+    for d in ru.DEFINITIONS.values():
+        roots = ru._roots(d)
+        assert len(roots) <= 8 and all(any(r in k for r in roots) for k in d.phrases + d.keywords), d.key
+    rows = [
+        ("One day. They diſmiſſed him early. Another day.", ["zzz"], "termination", "They diſmiſſed him early"),  # by the pattern alone
+        ("One day. The meter is old. Another day.", ["meter"], None, "The meter is old"),
+        ("One day. A DEFEND act. Another day.", ["defend", "hold harmless"], "indemnity", "A DEFEND act"),
+        ("One day. Nothing here. Another day.", ["defend", "own words"], "indemnity", "One day Nothing here"),
+    ]
+    hits = spark.createDataFrame([r[:3] for r in rows], "chunk_text string, snippet_keywords array<string>, def_key string")
+    found = cl.with_snippet(cl.with_sentences(hits))
+    assert {r["clause_text"] for r in found.collect()} == {r[3] for r in rows}
+    assert "exists" in found._jdf.queryExecution().analyzed().toString()
+    facts = cl.rule_facts(ru.default_rules(spark).limit(1)).first()
+    assert facts["snippet_roots"] == ["defend", "harmless", "indemn"]
