@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,13 +33,34 @@ def strip_text(col: Column) -> Column:
     return F.when(_opens_with_ws(col) | _opens_with_ws(col, -1), strip(col)).otherwise(col)
 
 
+def strip_page(col: Column) -> Column:
+    """``strip`` for long texts: only the ends are looked at, where ``strip_text`` counts all characters.
+
+    Whatever opens or closes a text in UTF-8 is told by its bytes there.
+    """
+    at_end = [f(col, F.lit(c)) for c in WS_CHARS for f in (F.startswith, F.endswith)]
+    return F.when(functools.reduce(Column.__or__, at_end), strip(col)).otherwise(col)
+
+
 def is_blank(col: Column) -> Column:
     return F.coalesce(strip_text(col) == "", F.lit(True))
 
 
+def holds(col: Column, term: str) -> Column:
+    """``term`` stands somewhere in the text.
+
+    Bytes are searched: Spark passes over an array of them faster than over its strings.
+    """
+    return F.contains(col.cast("binary"), F.lit(term.encode()))
+
+
 def words(col: Column) -> Column:
     """Whitespace-separated words; [] for a blank text."""
-    text = strip_text(col)
+    return stripped_words(strip_text(col))
+
+
+def stripped_words(text: Column) -> Column:
+    """``words`` of a text without whitespace at its ends."""
     return F.when(text == "", F.array().cast("array<string>")).otherwise(
         F.split(text, f"{WS}+", -1))
 
@@ -48,7 +71,7 @@ def word_count(col: Column) -> Column:
 
 def normalise(col: Column) -> Column:
     """T4: lower case, whitespace runs to one space, ends trimmed."""
-    return F.regexp_replace(F.lower(strip_text(col)), WS_RUN_TO_COLLAPSE, " ")
+    return F.regexp_replace(F.lower(strip_page(col)), WS_RUN_TO_COLLAPSE, " ")
 
 
 def clip(col: Column, n: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clauselens import fixed_values as fv
-from clauselens.functions.text import strip_text, word_count, words
+from clauselens.functions.text import strip_page, stripped_words, word_count
 
 # Pages numbered together when chunk numbers are summed up across a document.
 PAGE_BLOCK = 1000
@@ -19,9 +19,10 @@ def _windows(tokens: Column, stripped: Column, size: int, stride: int) -> Column
     last = F.ceil((n - size) / F.lit(stride)).cast("int")
 
     def window(i: Column) -> Column:
-        part = F.slice(tokens, i * stride + 1, F.lit(size))
+        # The slice takes in the whole array each time, so the count is not read from a second one.
         return F.struct(
-            F.array_join(part, " ").alias("chunk_text"), F.size(part).alias("token_count"))
+            F.array_join(F.slice(tokens, i * stride + 1, F.lit(size)), " ").alias("chunk_text"),
+            F.least(F.lit(size), n - i * stride).alias("token_count"))
 
     return (
         F.when(n == 0, F.slice(whole, 1, 0))
@@ -51,8 +52,8 @@ def chunk(
     else:
         placed = _with_offsets(pages, size, stride, order)
     return (
-        placed.select("doc_id", "page_number", "_offset", strip_text(F.col("text")).alias("_page"))
-        .withColumn("_tokens", words(F.coalesce(F.col("_page"), F.lit(""))))
+        placed.select("doc_id", "page_number", "_offset", strip_page(F.col("text")).alias("_page"))
+        .withColumn("_tokens", stripped_words(F.coalesce(F.col("_page"), F.lit(""))))
         .select(
             "doc_id", "page_number", "_offset",
             F.posexplode(_windows(F.col("_tokens"), F.col("_page"), size, stride))

@@ -672,3 +672,15 @@ def test_snippet_keywords_are_tried_only_behind_the_roots_of_a_rule(spark):
     assert "exists" in found._jdf.queryExecution().analyzed().toString()
     facts = cl.rule_facts(ru.default_rules(spark).limit(1)).first()
     assert facts["snippet_roots"] == ["defend", "harmless", "indemn"]
+
+
+
+def test_strip_page_and_window_counts(spark):
+    texts = [f"{a}a b{b}" for a in ("", *tx.WS_CHARS, "\u200b", "\xe9") for b in ("", "\u3000", "\x85", "\u0405", "\n")] + ["", " ", " \x1c", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(tx.strip_page(F.col("t")).alias("a"), tx.strip(F.col("t")).alias("b"))
+    assert all(r["a"] == r["b"] for r in rows.collect())
+    page = spark.createDataFrame([(1, 1, " ".join(f"w{i}" for i in range(n))) for n in (0, 1, 9, 10, 11, 17, 18, 19, 40)], "doc_id long, page_number int, text string")
+    made = chunk(page, size=10, overlap=2, single_page=True)
+    assert all(len(r["chunk_text"].split()) == r["token_count"] for r in made.collect())
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("array_join(slice") == 1
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("slice(") <= 2
