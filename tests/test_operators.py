@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,29 @@ def test_match_by_join_agrees(spark):
     assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
 
 
+def test_match_by_join_agrees_on_random_terms(spark):
+    rnd = random.Random(4)
+    make = lambda n: "".join(rnd.choice("aab  b,_\t\n\x01é²日") for _ in range(n))
+    pages = [(i, 1, make(rnd.randint(0, 25))) for i in range(60)]
+    chunks = chunk(spark.createDataFrame(pages, PAGE), single_page=True)
+    extra = [(i, rnd.choice([None, "", make(2), make(4)]), "Low", 0.1, 1.0, "", ",".join(
+        make(rnd.randint(1, 6)).replace(",", "") for _ in range(rnd.randint(0, 3))), True) for i in range(150)]
+    rules = spark.createDataFrame(extra, ru.default_rules(spark).schema)
+    cols = ["doc_id", "chunk_index", "rule_id", "evidence"]
+    one, two = (sorted(tuple(r) for r in f(chunks, rules).select(*cols).collect()) for f in (ma.match_rules, ma.match_rules_by_join))
+    assert one == two and len(one) > 1000
+
+
+def test_terms_of_two_words_are_looked_up_by_words(spark, monkeypatch):
+    rows = [{"rule_id": i, "def_key": None, "terms": [
+        {"position": 0, "keyword": f"w{i} the", "kind": "phrase"}, {"position": 1, "keyword": f"v{i}", "kind": "start"}]} for i in range(5000)]
+    block = ma._RuleBlock(pa.Table.from_pylist(rows), ma._word_turns(spark), [])
+    monkeypatch.setattr(ma._RuleBlock, "_occurs", lambda *_: pytest.fail("a term was looked for whole"))
+    text = "aw7 then,v9 the w12 the xv3"
+    at, exact = block.hits(text, text, "")
+    assert at.tolist() == [7, 12, 9] and exact == 2
+
+
 @pytest.mark.parametrize("evidence, confirmed, expected", [
     ("exact_phrase", True, .95), ("contextual", True, .95), ("exact_phrase", False, .88), ("llm_only", False, .82),
     ("contextual", False, .78), ("fallback", False, .72), ("llm_only", True, .82)])
