@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselens.functions.once import compute_once
+from clauselens.sources.tables import materialise
 
 _GRAM = 3
 # Winnowing: of every _WINDOW runs of _RUN words that begin one after another, a
@@ -80,7 +83,151 @@ def _hay_keys(hays: DataFrame, asked: DataFrame, group) -> DataFrame:
     return cut.select(*group, "hay_id", F.explode(F.array_distinct(keys)).alias("_key"))
 
 
-def containing_pairs(hays: DataFrame, needles: DataFrame, group) -> DataFrame:
+# --- keys that only hays with a needle's key keep ---------------------------
+
+# Letters of a needle's first and last word that its key shows, and bits of the filter: a table of fixed size.
+_SHOWN, _FILTER_BITS = 2, 24
+_EDGES = ("e1", "e2", "s1", "s2")
+
+
+def _hashed_words(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``_w``: hashes of the words, of their one and two last letters and of their one and two first ones."""
+    cut = compute_once(df, _words=F.split(text, " ", -1))
+    of = lambda f: F.transform("_words", lambda w: F.xxhash64(f(w)))
+    return compute_once(cut, _w=F.struct(
+        of(lambda w: w).alias("w"), of(lambda w: F.right(w, F.lit(1))).alias("e1"), of(lambda w: F.right(w, F.lit(2))).alias("e2"),
+        of(lambda w: F.left(w, F.lit(1))).alias("s1"), of(lambda w: F.left(w, F.lit(2))).alias("s2")))
+
+
+def _mixed(x):
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Words:
+    """The hashed words of a batch of texts, one after the other."""
+
+    def __init__(self, words: pa.StructArray):
+        of = {name: words.field(name) for name in ("w", *_EDGES)}
+        self.n = np.diff(of["w"].offsets.to_numpy())
+        self.hashes = {k: v.flatten().to_numpy(zero_copy_only=False).view(np.uint64) for k, v in of.items()}
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+        self.start = np.cumsum(self.n) - self.n
+        self.place = np.arange(len(self.row)) - self.start[self.row]
+
+    def runs(self, at, size):
+        """A hash of so many words from each of the places on."""
+        out, words = np.full(len(at), size, np.uint64), self.hashes["w"]
+        for k in range(size):
+            out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + words[at + k])
+        return out
+
+    def least_runs(self, at, size):
+        """The smallest of the hashes of _RUN words that begin at so many places from each place on."""
+        return np.minimum.reduce([self.runs(at + k, _RUN) for k in range(size)])
+
+    def wordy(self, at, size, first, last):
+        """Keys of so many words between ends of the word before and beginnings of the word behind."""
+        out = self.runs(at, size) + np.uint64(9 * size + 3 * first + last + 1)
+        if first:
+            out = _mixed(out + self.hashes[f"e{first}"][at - 1])
+        if last:
+            out = _mixed(out ^ self.hashes[f"s{last}"][at + size])
+        return _mixed(out)
+
+
+def _shape(size, first, last):
+    return 9 * size + 3 * first + last
+
+
+def _needle_keys(words: pa.Array, shape: pa.Array) -> pa.Array:
+    """The key of a needle: the smallest run of its inner words (shape 0), or its few inner words and the letters around."""
+    texts, shapes = _Words(words), shape.to_numpy(zero_copy_only=False)
+    keys = np.zeros(len(shapes), np.uint64)
+    for form in np.unique(shapes[shapes >= 0]):
+        rows = np.flatnonzero(shapes == form)
+        if form:
+            keys[rows] = texts.wordy(texts.start[rows] + 1, form // 9, form // 3 % 3, form % 3)
+        else:
+            # Windows of the inner words cover all of their runs.
+            inner = np.flatnonzero((shapes[texts.row] == 0) & (texts.place >= 1) & (texts.place + _RUN <= texts.n[texts.row] - 1))
+            opens = np.flatnonzero(np.diff(texts.row[inner], prepend=-1))
+            keys[rows] = np.minimum.reduceat(texts.runs(inner, _RUN), opens)
+    return pa.array(keys.view(np.int64))
+
+
+def _hay_keys_kept(shapes, bits):
+    """A function of hashed words to the different keys of a hay that the filter lets through."""
+
+    @F.arrow_udf("array<bigint>")
+    def kept(words: pa.Array) -> pa.Array:
+        texts, let = _Words(words), bits.value
+        rows, found = [], []
+
+        def keep(at, keys):
+            slot = (keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+            passed = np.flatnonzero(let[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+            rows.append(texts.row[at[passed]])
+            found.append(keys[passed])
+
+        left = texts.n[texts.row] - texts.place
+        for form in shapes:
+            if form:
+                at = np.flatnonzero((texts.place >= 1) & (left > form // 9))
+                keep(at, texts.wordy(at, form // 9, form // 3 % 3, form % 3))
+            else:
+                at = np.flatnonzero(left >= _LEAST_WORDS)
+                keep(at, texts.least_runs(at, _WINDOW))
+        row = np.concatenate([np.empty(0, np.int64), *rows])
+        key = np.concatenate([np.empty(0, np.uint64), *found]).view(np.int64)
+        order = np.lexsort((key, row))
+        row, key = row[order], key[order]
+        new = (np.diff(row, prepend=-1) != 0) | (np.diff(key, prepend=0) != 0)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=len(texts.n)))])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[new]))
+
+    return kept
+
+
+def _filtered_keys(hays: DataFrame, needles: DataFrame, group) -> tuple[DataFrame, DataFrame]:
+    """Keys of hays (group, hay_id, _key) and of needles (group, needle_id, needle, _key).
+
+    A needle of few words has all its inner words as its key, and the letters that its
+    outer words show to a hay.  Hays keep only keys that some needle may have, by a
+    table of bits of fixed size, so that the rest is neither stored nor shuffled.
+    """
+    spark = hays.sparkSession
+    parts = F.split("needle", " ", -1)
+    inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+    cut = compute_once(needles, _inner=inner, _first=F.get(parts, F.lit(0)), _last=F.element_at(parts, -1))
+    shown = lambda w: F.least(F.length(w), F.lit(_SHOWN))
+    shape = (
+        F.when(F.size("_inner") >= _LEAST_WORDS, 0)
+        .when(_longest(F.col("_inner")).isNotNull(), _shape(F.size("_inner"), shown("_first"), shown("_last")))
+        .otherwise(-1))
+    cut = cut.withColumn("_shape", shape.cast("int")).drop("_inner", "_first", "_last")
+    cut = _hashed_words(cut, "needle").withColumn("_word_key", F.arrow_udf(_needle_keys, "bigint")("_w", "_shape"))
+    tiny = F.col("_shape") == -1
+    keyed = materialise(cut.select(*needles.columns, "_shape", F.when(
+        tiny, _key(_TINY, F.substring("needle", 1, _GRAM))).otherwise(F.col("_word_key")).alias("_key")), "needles")
+
+    shapes = sorted(r[0] for r in keyed.select("_shape").distinct().collect())  # 55 at most
+    slots = keyed.filter(~tiny).select(F.shiftrightunsigned("_key", 64 - _FILTER_BITS).cast("int").alias("slot"))
+    bytes_ = slots.groupBy(F.shiftright("slot", 3).alias("at")).agg(
+        F.expr("bit_or(shiftleft(1, pmod(slot, 8)))").alias("bits")).toArrow()
+    bits = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
+    bits[bytes_["at"].to_numpy()] = bytes_["bits"].to_numpy()
+    kept = _hay_keys_kept([x for x in shapes if x >= 0], spark.sparkContext.broadcast(bits))
+    keys = _hashed_words(hays, "hay").select(*group, "hay_id", F.explode(kept("_w")).alias("_key"))
+    if -1 in shapes:
+        asked = keyed.filter(tiny).select(*group).distinct().withColumn("_wordy", F.lit(False)).withColumn("_tiny", F.lit(True))
+        short = _hay_keys(hays, asked, group).join(keyed.filter(tiny).select(*group, "_key").distinct(), [*group, "_key"], "left_semi")
+        keys = keys.unionByName(short).distinct()
+    return keys, keyed.drop("_shape")
+
+
+def containing_pairs(hays: DataFrame, needles: DataFrame, group, filtered: bool = False) -> DataFrame:
     """(group, hay_id, needle_id) for every needle inside a hay of its group.
 
     ``hays`` has the group columns, ``hay_id`` and ``hay``; ``needles`` has
@@ -88,13 +235,21 @@ def containing_pairs(hays: DataFrame, needles: DataFrame, group) -> DataFrame:
     words, so common words bring nothing together; needles of few words meet on
     their longest inner word or their first letters, for which only the hays of
     their groups give keys.  An empty needle is in every hay, a null one in none.
+
+    ``filtered`` gives the same pairs where hays are many and stored: it stores the keys of
+    the needles first, and hays leave out the keys that no needle has.
     """
     group = list(group)
-    keyed = _with_needle_key(needles.filter("needle is not null"))
-    asked = keyed.groupBy(*group).agg(
-        F.max(F.col("_kind") == _WORDY).alias("_wordy"), F.max(F.col("_kind") == _TINY).alias("_tiny"))
+    needles = needles.filter("needle is not null")
+    if filtered:
+        keys, keyed = _filtered_keys(hays, needles, group)
+    else:
+        keyed = _with_needle_key(needles)
+        asked = keyed.groupBy(*group).agg(
+            F.max(F.col("_kind") == _WORDY).alias("_wordy"), F.max(F.col("_kind") == _TINY).alias("_tiny"))
+        keys, keyed = _hay_keys(hays, asked, group), keyed.drop("_kind")
     # Only keys and ids of hays are multiplied; their texts join the candidates afterwards.
-    candidates = _hay_keys(hays, asked, group).join(keyed.drop("_kind"), [*group, "_key"])
+    candidates = keys.join(keyed, [*group, "_key"])
     return (
         candidates.join(hays, [*group, "hay_id"])
         .filter(F.contains("hay", F.col("needle")))

@@ -11,6 +11,7 @@ from clauselens import fixed_values as fv
 from clauselens.functions import text as tx
 from clauselens.functions.entities import key_entities
 from clauselens.operators import clauses as cl
+from clauselens.operators import containment
 from clauselens.operators import matching as ma
 from clauselens.operators import prompts as pr
 from clauselens.operators import rules as ru
@@ -295,6 +296,43 @@ def test_collapse_by_blocks_gives_the_same_rows(spark):
     assert sorted(repr((r["page_number"], r["clause_text"], r["confidence_score"])) for r in folded.collect()) == greedy(items)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_large_pieces_fold_alike(spark, seed):
+    rnd = random.Random(30 + seed)
+    words = [f"word{i}" for i in range(12)]
+    items = [("Cat", rnd.choice([None, 0, 1, 2]), " ".join(rnd.choices(words[:rnd.choice([4, 12])], k=rnd.randint(0, 9))), rnd.choice([.78, .88]))
+             for _ in range(200)]
+    folded = cl.collapse_in_pieces(clause_rows(spark, items), large_piece=0)
+    assert sorted(repr((r["page_number"], r["clause_text"], r["confidence_score"])) for r in folded.collect()) == greedy(items)
+
+
+def test_fold_of_a_large_piece_compares_few_keepers(monkeypatch):
+    """Of 2,000 clauses on one page none repeats another: bits tell all but few of 1,999,000 pairs apart."""
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(3000)}" for _ in range(40)) for _ in range(2000)]
+    looked = []
+
+    class Text(str):
+        def __eq__(self, other):
+            looked.append(1)
+            return str.__eq__(self, other)
+
+        __hash__ = str.__hash__
+
+    norms = [Text(t) for t in texts]
+    got = cl._fold_large(norms, [list(dict.fromkeys(t.split())) for t in texts], [1] * 2000, [.88] * 2000, [len(t) for t in texts])
+    assert got == [(i, 1) for i in range(2000)] and len(looked) < 20_000
+
+
+def test_similar_forms_meet_on_rare_tokens_only(spark, monkeypatch):
+    """Forms of a large group that share frequent words alone never come to a matrix, similar ones are linked."""
+    monkeypatch.setattr(cl, "_alike_crowded", lambda *_: pytest.fail("compared block against block"))
+    rows = [(1, "turn", i, "", [f"c{(i + k) % 20}" for k in range(12)] + [f"x{i // 2}y{k}" for k in range(20)] + [f"z{i}"]) for i in range(400)]
+    forms = spark.createDataFrame(rows, "doc_id long, _category string, node long, norm string, tokens array<string>")
+    links = {(r["a"], r["b"]) for r in cl._alike(forms, large=100).collect()}
+    assert links == {(i, i + 1) for i in range(0, 400, 2)}
+
+
 def test_links_of_large_groups_are_no_pairs(spark):
     """Nodes that are all alike are connected by a link each, where all pairs would be 44,850."""
     rows = [(1, "turn", i, "", [f"w{k}" for k in range(30)] + [f"x{i}"]) for i in range(300)]
@@ -387,6 +425,27 @@ def test_containing_pairs_against_all_pairs(spark):
     assert set(rows) == expected and len(rows) == len(expected)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_filtered_keys_give_the_same_pairs(spark, seed):
+    rnd = random.Random(20 + seed)
+    make = lambda n: " ".join(rnd.choices(["the", "of", "rent", "a", "lease", "é日", ""], k=n))
+    hays = [(i % 3, i, make(rnd.randint(1, 40))) for i in range(80)]
+    cut = []
+    for _, _, text in hays:
+        start = rnd.randrange(len(text) + 1)
+        cut.append(text[start:start + rnd.choice([0, 1, 2, 5, 9, 12, 17, 25, 33, 40, 60])])
+    needles = [(rnd.randrange(3), i, x) for i, x in enumerate([*cut, *cut, make(9), "of", "", None])]
+    hay_rows = spark.createDataFrame(hays, "g int, hay_id int, hay string")
+    got = containing_pairs(hay_rows, spark.createDataFrame(needles, "g int, needle_id int, needle string"), ["g"], filtered=True)
+    expected = {(g, h, n) for g, h, a in hays for k, n, b in needles if g == k and b is not None and b in a}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == expected and len(rows) == len(expected)
+    # Without tiny needles a hay gives no key that no needle has.
+    few = spark.createDataFrame([(0, 1, "the of rent a"), (0, 2, make(30))], "g int, needle_id int, needle string")
+    keys, _ = containment._filtered_keys(hay_rows, few, ["g"])
+    assert keys.count() < len(hays)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_long_needles_against_all_pairs(spark, seed):
     """Needles cut anywhere out of long hays, inside words too, around the least number of winnowed words."""
