@@ -85,8 +85,9 @@ def _hay_keys(hays: DataFrame, asked: DataFrame, group) -> DataFrame:
 
 # --- keys that only hays with a needle's key keep ---------------------------
 
-# Letters of a needle's first and last word that its key shows, and bits of the filter: a table of fixed size.
-_SHOWN, _FILTER_BITS = 2, 24
+# Letters of a needle's first and last word that its key shows, and bits of the filter: a table of fixed size,
+# in which a key has the bits that three parts of it name.
+_SHOWN, _FILTER_BITS, _SHIFTS = 2, 24, (40, 16, 0)
 _EDGES = ("e1", "e2", "s1", "s2")
 
 
@@ -166,10 +167,12 @@ def _hay_keys_kept(shapes, bits):
         rows, found = [], []
 
         def keep(at, keys):
-            slot = (keys >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
-            passed = np.flatnonzero(let[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-            rows.append(texts.row[at[passed]])
-            found.append(keys[passed])
+            for shift in _SHIFTS:
+                slot = (keys >> np.uint64(shift)).astype(np.int64) & ((1 << _FILTER_BITS) - 1)
+                passed = np.flatnonzero(let[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
+                at, keys = at[passed], keys[passed]
+            rows.append(texts.row[at])
+            found.append(keys)
 
         left = texts.n[texts.row] - texts.place
         for form in shapes:
@@ -213,7 +216,8 @@ def _filtered_keys(hays: DataFrame, needles: DataFrame, group) -> tuple[DataFram
         tiny, _key(_TINY, F.substring("needle", 1, _GRAM))).otherwise(F.col("_word_key")).alias("_key")), "needles")
 
     shapes = sorted(r[0] for r in keyed.select("_shape").distinct().collect())  # 55 at most
-    slots = keyed.filter(~tiny).select(F.shiftrightunsigned("_key", 64 - _FILTER_BITS).cast("int").alias("slot"))
+    part = lambda shift: F.shiftrightunsigned("_key", shift).bitwiseAND(F.lit((1 << _FILTER_BITS) - 1)).cast("int")
+    slots = keyed.filter(~tiny).select(F.explode(F.array(*[part(x) for x in _SHIFTS])).alias("slot"))
     bytes_ = slots.groupBy(F.shiftright("slot", 3).alias("at")).agg(
         F.expr("bit_or(shiftleft(1, pmod(slot, 8)))").alias("bits")).toArrow()
     bits = np.zeros(1 << (_FILTER_BITS - 3), np.uint8)

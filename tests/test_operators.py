@@ -446,6 +446,15 @@ def test_filtered_keys_give_the_same_pairs(spark, seed):
     assert keys.count() < len(hays)
 
 
+def test_keys_of_no_needle_hardly_pass_the_filter(spark):
+    """With many needles of all shapes, a hay still keeps hardly a key but its own."""
+    rnd = random.Random(9)
+    make = lambda lo, hi: " ".join(f"w{rnd.randrange(5000)}" for _ in range(rnd.randint(lo, hi)))
+    rows = lambda lo, hi, n, name: spark.createDataFrame([(0, i, make(lo, hi)) for i in range(n)], f"g int, {name}_id int, {name} string")
+    keys, _ = containment._filtered_keys(rows(60, 90, 1000, "hay"), rows(4, 12, 30_000, "needle"), ["g"])
+    assert keys.count() < 100
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_long_needles_against_all_pairs(spark, seed):
     """Needles cut anywhere out of long hays, inside words too, around the least number of winnowed words."""
